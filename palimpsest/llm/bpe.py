@@ -8,6 +8,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -15,7 +16,9 @@ from pyspark.sql import types as T
 #: Words of more bytes take the query that contracts every occurrence of the minimum-rank pair at once.
 LONG_WORD = 64
 #: Encoded words a worker keeps between batches; beyond, it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
+#: Characters of text that are split into words at a time, and words that one query merges.
+SLICE_CHARS, QUERY_WORDS = 3_000_000, 100_000
 
 
 class BpeTable:
@@ -26,7 +29,7 @@ class BpeTable:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.cache: dict[bytes | str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         token = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array(self.ranks.keys(), pa.binary())})
         left, right, whole = [], [], []
         for piece, rank in self.ranks.items():
@@ -76,8 +79,9 @@ class BpeTable:
                 todo.append(w)
             else:
                 self.cache[w] = rank.to_bytes(4, "little")
-        if todo:
-            self.cache.update(zip(todo, self.merge_words([w.encode() for w in todo])))
+        for i in range(0, len(todo), QUERY_WORDS):
+            part = todo[i : i + QUERY_WORDS]
+            self.cache.update(zip(part, self.merge_words([w.encode() for w in part])))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -87,7 +91,7 @@ class BpeTable:
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
         out, first = [], 0
         while first < len(ids):
-            last = max(first + 1, int(np.searchsorted(np.cumsum(lengths[first:]), 2_000_000, "right")) + first)
+            last = max(first + 1, int(np.searchsorted(np.cumsum(lengths[first:]), 1_000_000, "right")) + first)
             n = lengths[first:last]
             lo = int(lengths[:first].sum())
             rows = pa.table({"d": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(int(n.sum()), dtype=np.int32), "t": flat[lo : lo + int(n.sum())]})
@@ -152,18 +156,24 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text")
     Each match of `pattern` is merged by itself, special strings are ordinary
     text. Null texts are empty: no ids. The rank file is a path every executor
     can open, as the installed tokenizer package is. Columns of those names are
-    replaced. Memory: one Arrow batch and a bounded cache of words.
+    replaced. Memory: a slice of texts and a bounded cache of words.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
 
     def run(it):
         table = bpe_table(path, pattern)
         for batch in it:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids = table.encode(texts)
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            cols = [*batch.columns, pa.array(ids, pa.binary()), n, pa.array(table.decode(ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "ids", "n_tokens", "decoded"])
+            size = np.cumsum([0, *(x or 0 for x in pc.utf8_length(batch.column(text)).to_pylist())])
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, size[first] + SLICE_CHARS, "right")) - 1)
+                part = batch.slice(first, last - first)
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                ids = table.encode(texts)
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                cols = [*part.columns, pa.array(ids, pa.binary()), n, pa.array(table.decode(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "ids", "n_tokens", "decoded"])
+                first = last
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
     return docs.mapInArrow(run, schema)
