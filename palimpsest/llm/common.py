@@ -39,15 +39,16 @@ def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
 
 
 def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text) with null keys dropped and each key once.
+    """Rows with null keys dropped and each key once.
 
     Reads only the key column to see whether a key repeats. Where one does, the
-    greatest text under it (nulls smallest) stands for the document.
+    row with the greatest text (nulls smallest) stands for the document.
     """
-    docs = docs.select(key, "text").where(F.col(key).isNotNull())
+    docs = docs.where(F.col(key).isNotNull())
     if docs.groupBy(key).count().where("count > 1").isEmpty():
         return docs
-    return docs.groupBy(key).agg(F.max("text").alias("text"))
+    row = F.max_by(F.struct(*[c for c in docs.columns if c != key]), F.coalesce("text", F.lit("")))
+    return docs.groupBy(key).agg(row.alias("_row")).select(key, "_row.*").select(*docs.columns)
 
 
 def batches(texts: pa.ChunkedArray | pa.Array, limit: int = 1 << 18):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, bpe, chat, cotraining, mixing, rp_forest, toxicity, url_reputation
+from palimpsest.llm import audio, bpe, chat, cotraining, mixing, rp_forest, suffix_dedup, toxicity, url_reputation
 from palimpsest.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -21,6 +21,12 @@ RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page whose id has a label of quality 0 counts as bad, of quality 1 as good."""
     bad = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -95,11 +101,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
+    for f in (op1_suffix_dedup, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
 }
 
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+with bytes as (select doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
+strings as (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) k from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) p from bytes)),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by k order by doc_id, p) n from strings) where n > 1),
+spans as (select doc_id, min(p) a, max(p) + 100 b from (
+    select doc_id, p, sum(new) over (partition by doc_id order by p) g from (
+        select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1 end new from later)) group by doc_id, g),
+gaps as (select doc_id, a, coalesce(lag(b) over (partition by doc_id order by a), 0) since, b, row_number() over (partition by doc_id order by a desc) = 1 final from spans),
+cut as (select g.doc_id, sum(b - a) removed, count(*) n,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)) || case when final then substr(h, 2 * b + 1) else '' end, '' order by a) kept
+    from gaps g join bytes using (doc_id) group by g.doc_id)
+select doc_id, length(h) // 2 n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256
+from bytes left join cut using (doc_id)
+""",
     "op8_chat_format": f"""
 with rows as (
     select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
