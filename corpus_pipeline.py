@@ -1,10 +1,76 @@
-"""The corpus pipeline over `documents`: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline over `documents`: STAGES in order, each over all that its predecessor kept.
+
+toxicity drops the documents that the classifier rejects; the n-gram join keeps
+the smallest id of each group of near-duplicates; suffix dedup removes repeated
+passages; mixing repeats documents to the target weights in a random order; BPE
+encodes what is left and checks the way back.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palimpsest.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
+from palimpsest.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5 by a model fitted on a bounded sample of `labels`."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model, 0.5).where("toxic_predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group that links connect."""
+    keep = ngram_join.ngram_join(docs).where("doc_id = component_id").select("doc_id")
+    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated 100-byte strings; a character that lost a byte goes, n_chars is counted anew."""
+    out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+    whole = F.size("spans") == 0
+    text = F.when(whole, F.col("text")).otherwise(F.decode(_whole_characters("kept"), "utf-8"))
+    out = out.withColumn("text", text)
+    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+
+
+@F.pandas_udf(T.BinaryType())
+def _whole_characters(kept):
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore").encode())
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, n_tokens, decodes: the tokens of each copy, and whether they decode to its text."""
+    coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return coded.select("doc_id", "source", "ids", "n_tokens", same.alias("decodes"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+ORACLE_SQL = None  # trained scores, links and token ids are beyond SQL; tests compare with brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

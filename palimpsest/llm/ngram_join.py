@@ -73,13 +73,11 @@ def shingle_hashes(x: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[
         h, own = mix64(h[whole] + np.uint64(words)), text[: len(whole)][whole]
     short = np.flatnonzero((count > 0) & (count < words))
     if len(short):
-        few = []
-        for i in short:
-            a = w[first[i]]
-            for k in range(1, count[i]):
-                a = a * base + w[first[i] + k]
-            few.append(a + np.uint64(count[i]))
-        h, own = np.concatenate([h, mix64(np.array(few, np.uint64))]), np.concatenate([own, short])
+        few = w[first[short]]
+        for k in range(1, words - 1):
+            more = count[short] > k
+            few[more] = few[more] * base + w[first[short[more]] + k]
+        h, own = np.concatenate([h, mix64(few + count[short].astype(np.uint64))]), np.concatenate([own, short])
     h = h >> np.uint64(64 - HASH_BITS)
     o = np.argsort(h)
     o = o[np.argsort(own[o].astype(np.int32), kind="stable")]

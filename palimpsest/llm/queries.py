@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, bpe, chat, cotraining, mixing, rp_forest, suffix_dedup, toxicity, url_reputation
+from palimpsest.llm import audio, bpe, chat, cotraining, mixing, ngram_join, rp_forest, suffix_dedup, toxicity, url_reputation
 from palimpsest.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -27,6 +27,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page whose id has a label of quality 0 counts as bad, of quality 1 as good."""
     bad = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -101,7 +105,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
+    for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
 }
 
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
