@@ -1,0 +1 @@
+"""Conversation-memory analytics on Spark: rounds, indexes over them, ranked retrieval and its evaluation."""
