@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.sources.schemas import ROUND, STATS
 
@@ -14,7 +15,7 @@ def read_rounds(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     Files whose name begins with `index` are no rounds. Unreadable ones are left
     out, or end the job if `strict`.
     """
-    reader = spark.read.schema(ROUND if strict else ROUND.add("_bad", "string")).option("multiLine", True).option("pathGlobFilter", "*.json")
+    reader = spark.read.schema(ROUND if strict else T.StructType([*ROUND.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("pathGlobFilter", "*.json")
     reader = reader.option("mode", "FAILFAST") if strict else reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     rounds = reader.json(path).withColumn("round_file", F.col("_metadata.file_name"))
     rounds = rounds.where(~F.col("round_file").startswith("index") & (F.col("round_file") != "stats.json"))
