@@ -59,16 +59,16 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 1, key: str = "doc_
     """
     docs = docs.drop("copy_no", "shuffle_key")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
-    rates = rates.select(F.col("source").alias("_source"), pieces.alias("_m"), _cdf(F.col("rate") / pieces).alias("_cdf"))
-    if rates.select("_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    rates = rates.select(F.col("source").alias("__source"), pieces.alias("__pieces"), _cdf(F.col("rate") / pieces).alias("__cdf"))
+    if rates.select("__source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
-    one = lambda t: F.size(F.filter("_cdf", lambda c: c < _uniform(F.lit(seed), F.col(key), t)))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_m") - 1), F.lit(0), lambda a, t: a + one(t))
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
+    one = lambda t: F.size(F.filter("__cdf", lambda c: c < _uniform(F.lit(seed), F.col(key), t)))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("__pieces") - 1), F.lit(0), lambda a, t: a + one(t))
     copies = (
-        joined.withColumn("_n", count)
-        .where("_n > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        joined.withColumn("__copies", count)
+        .where("__copies > 0")
+        .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "copy_no")))
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
