@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a leaf that one task reads at a time.
-CHUNK_ROWS = 4096
+#: Rows of a tree that one task reads at a time: neighbouring leaves share a block, a larger leaf has several.
+BLOCK_ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,24 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
+def _blocks(per_tree: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, int]]:
+    """(tree, leaf) -> (first block, number of blocks)."""
+    out, block = {}, 0
+    for t, counts in enumerate(per_tree):
+        room = 0
+        for leaf, n in enumerate(counts):
+            if n > BLOCK_ROWS:
+                parts = int(-(-n // BLOCK_ROWS))
+                out[t, leaf] = (block + 1, parts)
+                block, room = block + parts, 0
+            else:
+                if n > room:
+                    block, room = block + 1, BLOCK_ROWS
+                out[t, leaf] = (block, 1)
+                room -= n
+    return out
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = ForestParams()) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best by inner product among the rows that the forest reaches.
 
@@ -117,7 +135,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     Fewer than k candidates give fewer rows; empty tables give none.
 
     The trees are fitted on at most params.sample rows and broadcast (size bound
-    by the sample); every row is indexed. Leaves are read in chunks of CHUNK_ROWS.
+    by the sample); every row is indexed. Leaves are read in blocks of about BLOCK_ROWS rows.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -153,39 +171,46 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
         per_tree[c["tree"]][c["leaf"]] = c["count"]
     sizes = spark.sparkContext.broadcast(per_tree)
     wanted = max(params.search_rows, params.search * rows)
+    blocks = _blocks(per_tree)
+    placed = spark.sparkContext.broadcast(blocks)
 
     def visit(it):
         for p in it:
             for a, b, v in zip(p["a"], p["b"], p["v"]):
-                hits = forest.value.search(np.asarray(v, float), sizes.value, wanted)
-                parts = [(t, f, c) for t, f in hits for c in range(int(-(-sizes.value[t][f] // CHUNK_ROWS)) or 1)]
-                t, f, c = zip(*parts)
-                yield pd.DataFrame({"a": a, "b": b, "v": [v] * len(parts), "tree": t, "leaf": f, "chunk": c})
-
-    asked = flat(query_vectors).mapInPandas(visit, "a long, b long, v array<double>, tree int, leaf long, chunk long")
-    table = spark.createDataFrame([(c["tree"], c["leaf"], int(-(-c["count"] // CHUNK_ROWS))) for c in counts], "tree int, leaf long, chunks long")
-    indexed = indexed.join(F.broadcast(table), ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("b", "a"), "chunks"))
+                to: dict[int, list[int]] = {}
+                for t, f in forest.value.search(np.asarray(v, float), sizes.value, wanted):
+                    first, parts = placed.value[t, f]
+                    for c in range(first, first + parts):
+                        to.setdefault(c, []).append(f)
+                yield pd.DataFrame({"a": a, "b": b, "v": [v] * len(to), "block": list(to), "leaves": list(to.values())})
+
+    asked = flat(query_vectors).mapInPandas(visit, "a long, b long, v array<double>, block long, leaves array<long>")
+    table = spark.createDataFrame([(t, f, *x) for (t, f), x in blocks.items()], "tree int, leaf long, first long, parts long")
+    indexed = indexed.join(F.broadcast(table), ["tree", "leaf"]).select(
+        "a", "b", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("b", "a"), "parts")).alias("block")
+    )
 
     def rerank(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qa": [], "qb": [], "a": [], "b": [], "score": []})
-        if not len(ask) or not len(rows):
-            return none
-        v = np.stack(rows["v"].to_numpy())
-        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-        found = []
-        for i in range(0, len(ask), 512):
-            part = ask.iloc[i : i + 512]
-            q = np.stack(part["v"].to_numpy())
-            top = min(k + 1, len(v))
-            s = q @ v.T
-            best = np.argpartition(-s, top - 1, axis=1)[:, :top] if top < len(v) else np.tile(np.arange(len(v)), (len(q), 1))
-            exact = (q[:, None, :] * v[best]).sum(-1)
-            n = best.shape[1]
-            found.append(pd.DataFrame({"qa": np.repeat(part["a"].to_numpy(), n), "qb": np.repeat(part["b"].to_numpy(), n), "a": a[best].ravel(), "b": b[best].ravel(), "score": exact.ravel()}))
-        return pd.concat(found)
-
-    by = ["tree", "leaf", "chunk"]
-    pairs = asked.groupBy(*by).cogroup(indexed.groupBy(*by)).applyInPandas(rerank, "qa long, qb long, a long, b long, score double")
+        found = [pd.DataFrame({"q": [], "r": [], "score": []})]
+        if len(ask) and len(rows):
+            v, q = np.stack(rows["v"].to_numpy()), np.stack(ask["v"].to_numpy())
+            at = np.repeat(np.arange(len(ask)), ask["leaves"].map(len))
+            asks = pd.Series(at).groupby(np.concatenate(ask["leaves"].to_numpy())).indices
+            for leaf, own in pd.Series(range(len(rows))).groupby(rows["leaf"].to_numpy()).indices.items():
+                who = at[asks[leaf]] if leaf in asks else []
+                for i in range(0, len(who), 512):
+                    part = who[i : i + 512]
+                    s = q[part] @ v[own].T
+                    top = min(k + 1, len(own))
+                    best = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                    exact = (q[part][:, None, :] * v[own[best]]).sum(-1)
+                    found.append(pd.DataFrame({"q": np.repeat(part, top), "r": own[best].ravel(), "score": exact.ravel()}))
+        f = pd.concat(found)
+        f = f[f.groupby("q")["score"].rank(method="min", ascending=False) <= k + 1]
+        q, r = f["q"].to_numpy(int), f["r"].to_numpy(int)
+        return pd.DataFrame({"qa": ask["a"].to_numpy()[q], "qb": ask["b"].to_numpy()[q], "a": rows["a"].to_numpy()[r], "b": rows["b"].to_numpy()[r], "score": f["score"].to_numpy()})
+
+    pairs = asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInPandas(rerank, "qa long, qb long, a long, b long, score double")
     best = pairs.distinct().withColumn("n", F.rank().over(W.partitionBy("qa", "qb").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
     m = members.select(F.col("key.a").alias("a"), F.col("key.b").alias("b"), "vec_id")
     hits = best.join(m, ["a", "b"])
