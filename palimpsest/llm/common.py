@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -33,6 +35,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside other stages' workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Groups to deal blobs into: a multiple of the session's shuffle partitions, so it grows with the job."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, release, unpack
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.suffix_dedup import _BYTE, _power
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
 HASH_BITS = 56
-FLUSH = 6_000_000  # shingles that a task holds before it sends them
+FLUSH = 2_000_000  # shingles that a task holds before it sends them
 HOT_HERE = 4096  # documents of a task that share a shingle, beyond which the shingle counts as saturated everywhere
 SATURATED = (1 << 31) - 1
 STAR_ROUNDS = 6  # after so many rounds of leaders, all candidates that are left are paired
@@ -108,11 +108,11 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
 
-def _send(docs: list[tuple], shingles: list[tuple], buckets: int, hot_here: int) -> list:
+def _send(docs: list[tuple], shingles: list[tuple], buckets: int, chunks: int, hot_here: int) -> list:
     """A task's documents and the shingles of one document of each set of equal ones."""
     ids, n, sig1, sig2 = (np.concatenate(c) for c in zip(*docs))
     out: list = []
-    _rows(DOCS, buckets + ids % buckets, [ids, n, sig1, sig2], out)
+    _rows(DOCS, buckets + ids % chunks, [ids, n, sig1, sig2], out)
     o = np.lexsort((ids, sig2, sig1))
     lead = ids[o][np.r_[True, (sig1[o][1:] != sig1[o][:-1]) | (sig2[o][1:] != sig2[o][:-1])]]
     doc, h = (np.concatenate(c) for c in zip(*shingles))
@@ -125,7 +125,7 @@ def _send(docs: list[tuple], shingles: list[tuple], buckets: int, hot_here: int)
     size = np.diff(np.r_[begin, len(h)])
     if (size > hot_here).any():
         hot = np.repeat(size > hot_here, size)
-        _rows(SHARED, buckets + doc[hot] % buckets, [doc[hot], h[hot], np.full(hot.sum(), SATURATED, np.int64)], out)
+        _rows(SHARED, buckets + doc[hot] % chunks, [doc[hot], h[hot], np.full(hot.sum(), SATURATED, np.int64)], out)
         mark = h[begin[size > hot_here]]
         doc, h = np.r_[doc[~hot], np.full(2 * len(mark), -1)], np.r_[h[~hot], mark, mark]
         o = np.argsort(h, kind="stable")
@@ -135,7 +135,7 @@ def _send(docs: list[tuple], shingles: list[tuple], buckets: int, hot_here: int)
     return out
 
 
-def _find_shingles(words: int, buckets: int, hot_here: int):
+def _find_shingles(words: int, buckets: int, chunks: int, hot_here: int):
     def run(it):
         docs, shingles, held = [], [], 0
         for batch in it:
@@ -153,15 +153,17 @@ def _find_shingles(words: int, buckets: int, hot_here: int):
                 shingles.append((own[text], h))
                 held += len(h) + len(own)
                 if held >= FLUSH:
-                    yield _batch(_send(docs, shingles, buckets, hot_here))
+                    yield _batch(_send(docs, shingles, buckets, chunks, hot_here))
                     docs, shingles, held = [], [], 0
         if docs:
-            yield _batch(_send(docs, shingles, buckets, hot_here))
+            yield _batch(_send(docs, shingles, buckets, chunks, hot_here))
+        docs = shingles = None
+        release()
 
     return run
 
 
-def _answer(buckets: int):
+def _answer(buckets: int, chunks: int):
     """Each document that shares a shingle learns of it and of how many documents have it."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -182,7 +184,7 @@ def _answer(buckets: int):
             shared = np.repeat(size > 1, size) & (doc >= 0)
             df = np.repeat(df, size)[shared]
             doc, h = doc[shared], h[shared]
-            _rows(SHARED, buckets + doc % buckets, [doc, h, df.astype(np.int64)], out)
+            _rows(SHARED, buckets + doc % chunks, [doc, h, df.astype(np.int64)], out)
         if not out:
             return pa.table({"bucket": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         return pa.Table.from_batches([_batch(out)])
@@ -226,9 +228,10 @@ def _assemble(threshold: Fraction):
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE) -> DataFrame:
     """doc_id, n, sig1, sig2, unshared, prefix, shared for each document; see _assemble."""
-    buckets = n_buckets(docs.sparkSession)
-    blobs = docs.select("doc_id", "text").mapInArrow(_find_shingles(words, buckets, hot_here), _BLOBS)
-    answered = blobs.groupBy("bucket").applyInArrow(_answer(buckets), _BLOBS)
+    # a bucket of shingles answers each chunk of documents in one row, so these numbers multiply
+    buckets, chunks = n_buckets(docs.sparkSession, 2), n_buckets(docs.sparkSession, 1)
+    blobs = docs.select("doc_id", "text").mapInArrow(_find_shingles(words, buckets, chunks, hot_here), _BLOBS)
+    answered = blobs.groupBy("bucket").applyInArrow(_answer(buckets, chunks), _BLOBS)
     return answered.groupBy("bucket").applyInArrow(_assemble(threshold), _SETS)
 
 
