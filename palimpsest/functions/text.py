@@ -168,15 +168,17 @@ def round_text(prompt: Column | str, response: Column | str, names: Column | str
 
 def blocks_text(blocks: Column | str, sep: str = " ", thinking: bool = True) -> Column:
     """Text of message blocks (type, text): text blocks, and thinking blocks in their brackets."""
-    kept = F.filter(col(blocks), lambda b: b["type"].isin(*(["text", "thinking"] if thinking else ["text"])) & b["text"].isNotNull())
+    kept = F.filter(col(blocks), lambda b: b["type"].isin(*(["text", "thinking"] if thinking else ["text"])) & (F.coalesce(b["text"], F.lit("")) != ""))
     mark = lambda b: F.when(b["type"] == "thinking", F.concat(F.lit("[thinking] "), b["text"], F.lit(" [/thinking]"))).otherwise(b["text"])
     return F.coalesce(F.array_join(F.transform(kept, mark), sep), F.lit(""))
 
 
 def size_label(n: Column | str) -> Column:
-    """Bytes as KB (two decimals under one MB) or MB."""
+    """Bytes as KB, with up to two decimals under one KB and none above, or as MB with up to two decimals."""
     n = col(n)
-    return F.when(n < 1024 * 1024, F.concat(F.format_string("%.2f", n / 1024), F.lit("KB"))).otherwise(F.concat(F.format_string("%.2f", n / (1024 * 1024)), F.lit("MB")))
+    two = lambda x: F.regexp_replace(F.format_string("%.2f", F.floor(x * 100 + 0.5) / 100), r"\.?0+$", "")
+    whole = F.floor(n / 1024 + 0.5).cast("string")
+    return F.when(n < 1024, F.concat(two(n / 1024), F.lit("KB"))).when(n < 1 << 20, F.concat(whole, F.lit("KB"))).otherwise(F.concat(two(n / (1 << 20)), F.lit("MB")))
 
 
 def call_bytes(call: Column) -> Column:
@@ -232,7 +234,7 @@ def recency_entry(rank: Column, file: Column, tools: Column, prompt: Column | st
 def rebuild_segments(response: Column | str, tool_calls: Column | str) -> Column:
     """Segments for rounds that lack them: the whole text, then a mark for each tool call."""
     text = F.filter(
-        F.array(F.struct(F.lit("text").alias("type"), col(response).alias("text"), F.lit(None).cast("int").alias("toolCallIndex"))), lambda s: F.coalesce(s["text"], F.lit("")) != ""
+        F.array(F.struct(F.lit("text").alias("type"), col(response).alias("text"), F.lit(None).cast("int").alias("toolCallIndex"))), lambda s: trim_unicode(F.coalesce(s["text"], F.lit(""))) != ""
     )
     n = F.coalesce(F.size(col(tool_calls)), F.lit(0))
     marks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit("toolCall").alias("type"), F.lit(None).cast("string").alias("text"), i.alias("toolCallIndex"))))
@@ -250,8 +252,28 @@ def checkpoint_text(summary: Column | str) -> Column:
     """A checkpoint's task and its lists, each under a title; empty lists are left out."""
     s = col(summary)
     part = lambda title, f: F.when(F.size(s[f]) > 0, F.concat(F.lit(f"{title}:\n- "), F.array_join(s[f], "\n- ")))
-    task = F.concat(F.lit("Current task: "), F.coalesce(s["currentTask"], F.lit("")))
-    return F.concat_ws("\n\n", task, part("Progress made", "progressMade"), part("Current state", "currentState"), part("Next steps", "nextSteps"), part("Key findings", "keyFindings"))
+    task = F.concat(F.lit("Current Task: "), F.coalesce(s["currentTask"], F.lit("")))
+    lists = (("Progress Made", "progressMade"), ("Current State", "currentState"), ("Next Steps", "nextSteps"), ("Key Findings / Decisions", "keyFindings"))
+    return F.concat_ws("\n", task, *[part(*x) for x in lists])
+
+
+def checkpoint_of_calls(tool_calls: Column | str, name: str = "checkpoint", accepted: str = "Checkpoint recorded") -> Column:
+    """The summary in the arguments of the last call of that name whose result says that it was accepted; null without one."""
+    shape = "currentTask string, progressMade array<string>, currentState array<string>, nextSteps array<string>, keyFindings array<string>"
+    taken = F.filter(col(tool_calls), lambda t: t["name"].contains(name) & t["result_summary"].contains(accepted))
+    parsed = F.transform(taken, lambda t: F.from_json(t["arguments"], shape))
+    last = F.try_element_at(F.filter(parsed, lambda p: p["currentTask"].isNotNull() & p["progressMade"].isNotNull()), F.lit(-1))
+    empty = F.array().cast("array<string>")
+    lists = [F.coalesce(last[f], empty).alias(f) for f in ("progressMade", "currentState", "nextSteps", "keyFindings")]
+    return F.when(last.isNotNull(), F.struct(last["currentTask"].alias("currentTask"), *lists))
+
+
+def has_signal(log: Column | str, signals: tuple[str, ...] = ("search_interactions", "get_round_details", "get_tool_details", "RECENCY LIST", "RELEVANCE LIST")) -> Column:
+    """Whether a session's log shows that retrieval was used in it: any of the signals."""
+    out = F.lit(False)
+    for s in signals:
+        out = out | col(log).contains(s)
+    return out
 
 
 def expanded_round(arguments: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -60,3 +62,41 @@ def select_golden(candidates: list[tuple[str, str]], count: int = 30, seed: int
     control = [c for c in by_rank if c[1] == "control"][: n - len(hard)]
     rest = [c for c in by_rank if c not in hard and c not in control][: n - len(hard) - len(control)]
     return [c[0] for c in shuffled(hard + control + rest, seed + 1)]
+
+
+def render_worksheet(pool: list[dict]) -> str:
+    """Markdown to label on: for each query (query, prompt, difficulty, candidates of (file, excerpt)) a list of boxes. Driver-side."""
+    out = ["# Golden worksheet"]
+    for n, q in enumerate(pool, 1):
+        boxes = "\n".join(f"- [ ] {c['file']}\n      excerpt: {c['excerpt']}" for c in q["candidates"])
+        quoted = q["prompt"].replace("\n", "\n> ")
+        out.append(f"## {n}. {q['query']}\n\nPrompt:\n\n> {quoted}\n\nDifficulty: {q['difficulty']}\n\nTick true labels with [x]; add (primary) to one of them.\n\n{boxes}")
+    return "\n\n".join(out) + "\n"
+
+
+def parse_worksheet(text: str) -> dict[str, tuple[list[str], str | None, list[str]]]:
+    """query -> (labels, primary, warnings). A primary label counts without a tick, with a warning; two are an error."""
+    out: dict[str, tuple[list[str], str | None, list[str]]] = {}
+    for part in re.split(r"(?m)^(?=[ \t]*##\s+\d+\.\s)", text)[1:]:
+        head, *lines = part.strip().split("\n")
+        query = re.sub(r"^##\s+\d+\.\s+", "", head.strip())
+        labels, primary, warnings = [], None, []
+        for line in (x.strip() for x in lines if re.match(r"\s*-\s+\[.*\]", x)):
+            m = re.fullmatch(r"-\s+\[([ xX])\]\s+(\S+)(.*)", line)
+            if m is None:
+                warnings.append(f"{query}: can not read {line}")
+                continue
+            ticked, main = m[1] != " ", "(primary)" in m[3]
+            if main and primary not in (None, m[2]):
+                raise ValueError(f"{query}: several primary labels")
+            if main:
+                primary = m[2]
+                warnings += [] if ticked else [f"{query}: {m[2]} is primary without a tick"]
+            labels += [m[2]] if ticked or main else []
+        out[query] = (list(dict.fromkeys(labels)), primary, warnings)
+    return out
+
+
+def check_labels(labels: DataFrame, pool: DataFrame) -> DataFrame:
+    """Labels (query, label) that are not in the query's pool (query, round_file); none should be."""
+    return labels.join(pool.select("query", F.col("round_file").alias("label")), ["query", "label"], "left_anti")

@@ -175,3 +175,14 @@ def embed_rows(rounds: DataFrame, clean: Column, response: Column) -> DataFrame:
         part(":prompt", clean, ~short), part(":response", response), part(":combined", F.when(short, response).otherwise(F.concat(clean, F.lit("\n\n"), response))), part(":summary", summary, F.coalesce(summary != "", F.lit(False)))
     )
     return rounds.select("round_file", F.explode(F.array_compact(rows)).alias("r")).select("round_file", "r.*")
+
+
+def record_backlog(backlog: DataFrame, script: str, shards: DataFrame, at: str) -> DataFrame:
+    """The backlog with a script's entries replaced by what it left of other hosts' shards (shard, n_rows, rounds)."""
+    added = shards.select(F.lit(script).alias("script"), "shard", "n_rows", "rounds", F.lit(at).alias("recorded_at"))
+    return backlog.where(F.col("script") != script).unionByName(added)
+
+
+def clear_backlog(backlog: DataFrame, script: str, shards: list[str]) -> DataFrame:
+    """The backlog without a script's entries for these shards: their host has done them."""
+    return backlog.where(~((F.col("script") == script) & F.col("shard").isin(shards)))

@@ -151,7 +151,7 @@ def _host_rounds(lines: list[str], now: int, skip_short: bool) -> list[dict]:
                 said = " ".join(
                     b["text"] if b["type"] == "text" else f"[thinking] {b['text']} [/thinking]"
                     for b in content
-                    if isinstance(b, dict) and b.get("type") in ("text", "thinking") and isinstance(b.get("text"), str)
+                    if isinstance(b, dict) and b.get("type") in ("text", "thinking") and isinstance(b.get("text"), str) and b["text"]
                 )
                 open_.result(said, m.get("toolCallId") if isinstance(m.get("toolCallId"), str) else None)
     if open_:

@@ -115,6 +115,8 @@ _LEX = f"""qw as (select item_id::varchar query, unnest(list_distinct({_SPLIT_GO
 dw as (select doc_id::varchar round_file, unnest(list_distinct({_SPLIT_GOLD})) w from documents),
 lex as (select *, row_number() over (partition by query order by score desc, round_file) as rank from (select query, round_file, count(*) score from qw join dw using (w) group by all) qualify rank <= 12)"""
 
+_SIZE = r"case when {0} < 1024 then regexp_replace(printf('%.2f', floor({0} / 1024 * 100 + 0.5) / 100), '\.?0+$', '') || 'KB' else floor({0} / 1024 + 0.5)::bigint || 'KB' end"
+
 ORACLE: dict[str, str] = {
     "bm25_tokens": f"select doc_id, len(t) n_tokens, len(list_distinct(t)) n_terms, md5(array_to_string(t, ' ')) digest from (select doc_id, {_TOKENS} t from documents)",
     "bm25_term_freq": f"select term, sum(tf)::bigint tf, count(*) df, max(tf) most from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TOKENS}) term from documents) group by all) group by term",
@@ -160,7 +162,7 @@ ORACLE: dict[str, str] = {
         select query, round_file, count(distinct keyword) matched, total::bigint total, round(count(distinct keyword) / total, 6) score, array_to_string(list_sort(list_distinct(list(tool_name))), ',') tools
         from t join k on contains(searchable, keyword) group by query, round_file, total""",
     "tool_summary": f"""with {_EVENTS}, n as (select user_id, event_type, count(*) c, sum(strlen(props)) b, min((ts, event_id)) f from e group by all)
-        select user_id, sum(c)::bigint || ' tools (' || string_agg(event_type || '×' || c || ' (' || printf('%.2f', floor(b * 100 / 1024 + 0.5) / 100) || 'KB)', ', ' order by f) || ')' summary from n group by user_id""",
+        select user_id, sum(c)::bigint || ' tools (' || string_agg(event_type || '×' || c || ' (' || {_SIZE.format('b')} || ')', ', ' order by f) || ')' summary from n group by user_id""",
     "asof_candidates": f"with {_EVENTS} select a.round_file query, count(*) n from e a join e b on a.user_id = b.user_id and b.ts < a.ts group by a.round_file",
     "eval_hit_recall_mrr": f"{_RATED} select query, n_labels, hit, round(recall, 6) recall, round(mrr, 6) mrr, first_hit_rank from per",
     "eval_macro": f"{_RATED} select count(n_labels) query_count, count(*) filter (n_labels is null) empty_label_count, round(avg(hit), 6) hit_at_5, round(avg(recall), 6) recall_at_5, round(avg(mrr), 6) mrr from q left join per using (query)",
@@ -210,7 +212,7 @@ ORACLE: dict[str, str] = {
     "fault_bins": """select case when event_id % 11 = 0 then event_type when event_id % 5 = 0 then 'no-fault-within-round' when event_id % 5 = 1 then 'external' when event_id % 5 = 3 and event_id % 2 = 0 then event_type else 'ambiguous' end bin,
         case when value >= 10 then 'x' else 'y' end best, count(*) n from events group by all""",
     "envelope_extract": f"select conv_id session, true was_envelope, md5(arg_max({_trim('text')}, turn)) digest from conversations where role = 'user' and {_trim('text')} <> '' group by conv_id",
-    "excerpts": f"""select doc_id, case when length(f) <= 250 then f else {_trim('left(f, 249)')} || '…' end excerpt, printf('%.2f', floor(strlen(text) * 100 / 1024 + 0.5) / 100) || 'KB' size from (select doc_id, text, {_trim(f"regexp_replace(text, '{_WS}+', ' ', 'g')")} f from documents)""",
+    "excerpts": f"""select doc_id, case when length(f) <= 250 then f else {_trim('left(f, 249)')} || '…' end excerpt, {_SIZE.format('strlen(text)')} size from (select doc_id, text, {_trim(f"regexp_replace(text, '{_WS}+', ' ', 'g')")} f from documents)""",
     "detail_page": "select doc_id, md5(case when n <= 2 then '(empty)' else array_to_string(l[3:6], chr(10)) end) digest, 3::bigint first_line, least(n, 6) last_line, n total_lines, case when n > 6 then 7::bigint end next_line from (select doc_id, string_split(text, chr(10)) l, len(string_split(text, chr(10))) n from documents)",
     "detail_regex_match": """with l as (select doc_id, string_split(text, chr(10)) l from documents), x as (select doc_id, l, unnest(l) line, unnest(range(1, len(l) + 1)) line_no from l),
         h as (select doc_id, line_no, array_to_string(l[line_no:line_no + 1], chr(10)) c, row_number() over (partition by doc_id order by line_no) match_no, count(*) over (partition by doc_id) total from x where regexp_matches(line, '[Tt]h[aeiou]n'))

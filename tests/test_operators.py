@@ -247,3 +247,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = grouping.topics(v.withColumn("forced", F.lit(None).cast("int")))
     assert sorted(map(tuple, spark.table("topics_out").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_worksheet():
+    pool = [{"query": f"q{i}.json", "prompt": "a\nb", "difficulty": "hard", "candidates": [{"file": f"{c}.json", "excerpt": "e"} for c in "xyz"]} for i in range(2)]
+    sheet = golden.render_worksheet(pool)
+    assert {k: v[0] for k, v in golden.parse_worksheet(sheet).items()} == {"q0.json": [], "q1.json": []}
+    ticked = sheet.replace("- [ ] x.json", "- [x] x.json", 1).replace("- [ ] y.json", "- [ ] y.json (primary)", 1).replace("- [ ] z.json", "- [?] z.json", 1)
+    labels, primary, warnings = golden.parse_worksheet(ticked)["q0.json"]
+    assert (labels, primary, len(warnings)) == (["x.json", "y.json"], "y.json", 2)
+    with pytest.raises(ValueError):
+        golden.parse_worksheet(ticked.replace("- [x] x.json", "- [x] x.json (primary)"))
+
+
+def test_labels_outside_the_pool(spark):
+    pool = spark.createDataFrame([("q", "a")], "query string, round_file string")
+    assert [r.label for r in golden.check_labels(spark.createDataFrame([("q", "a"), ("q", "b")], "query string, label string"), pool).collect()] == ["b"]
+
+
+def test_backlog(spark):
+    schema = "script string, shard string, n_rows long, rounds array<string>, recorded_at string"
+    b = spark.createDataFrame([("s", "old", 1, ["a"], "t0"), ("other", "x", 1, [], "t0")], schema)
+    b = maintain.record_backlog(b, "s", spark.createDataFrame([("new", 2, ["b"])], "shard string, n_rows long, rounds array<string>"), "t1")
+    assert sorted((r.script, r.shard) for r in b.collect()) == [("other", "x"), ("s", "new")]
+    assert [r.shard for r in maintain.clear_backlog(b, "s", ["new"]).collect()] == ["x"]

@@ -96,12 +96,12 @@ def test_shuffle_is_a_permutation_and_stable():
 
 def test_sizes(spark):
     df = spark.createDataFrame([(500,), (2048,), (3 << 20,)], "n int").select(X.size_label("n"))
-    assert [r[0] for r in df.collect()] == ["0.49KB", "2.00KB", "3.00MB"]
+    assert [r[0] for r in df.collect()] == ["0.49KB", "2KB", "3MB"]
 
 
 def test_checkpoint(spark):
     df = spark.sql("select named_struct('currentTask', 't', 'progressMade', array('a', 'b'), 'currentState', array(), 'nextSteps', array(), 'keyFindings', array('k')) s")
-    assert df.select(X.checkpoint_text("s")).first()[0] == "Current task: t\n\nProgress made:\n- a\n- b\n\nKey findings:\n- k"
+    assert df.select(X.checkpoint_text("s")).first()[0] == "Current Task: t\nProgress Made:\n- a\n- b\nKey Findings / Decisions:\n- k"
 
 
 def test_budget_is_monotone(spark):
@@ -110,3 +110,19 @@ def test_budget_is_monotone(spark):
     got = [r[0] for r in spark.range(101).select(context_budget(F.col("id") / 100)).collect()]
     assert got == sorted(got) and got[0] == 2000 and got[100] == 10_240
     assert recency_budget(1000) == 2000 and not math.isnan(got[50])
+
+
+def test_last_accepted_checkpoint(spark):
+    from palimpsest.sources.schemas import TOOL_CALL, struct
+
+    call = lambda n, a, r: (0, None, n, a, r, None, False)
+    ok = '{"currentTask": "%s", "progressMade": ["p"]}'
+    calls = [call("x_checkpoint", ok % "one", "Checkpoint recorded"), call("x_checkpoint", ok % "two", "Checkpoint recorded."), call("x_checkpoint", ok % "no", "rejected"), call("x_checkpoint", "{", "Checkpoint recorded")]
+    from pyspark.sql import types as T
+
+    got = spark.createDataFrame([(calls,), ([],)], struct(c=T.ArrayType(TOOL_CALL))).select(X.checkpoint_of_calls("c").alias("s")).collect()
+    assert (got[0].s.currentTask, got[0].s.progressMade, got[0].s.nextSteps, got[1].s) == ("two", ["p"], [], None)
+
+
+def test_signals(spark):
+    assert [one(spark, t, X.has_signal("t"))[0] for t in ("a search_interactions b", "nothing")] == [True, False]
