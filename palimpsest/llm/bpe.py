@@ -13,38 +13,48 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import release
+
 #: Words of more bytes take the query that contracts every occurrence of the minimum-rank pair at once.
 LONG_WORD = 64
-#: Encoded words a worker keeps between batches; beyond, it starts anew.
+#: Encoded words a task keeps; beyond, it starts anew.
 CACHE_WORDS = 600_000
 #: Characters of text that are split into words at a time, and words that one query merges.
 SLICE_CHARS, QUERY_WORDS = 3_000_000, 100_000
 
 
+@lru_cache(maxsize=2)
+def read_ranks(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table, np.ndarray]:
+    """(ranks, tokens (id, piece in hex), merges (ab, c), the id of each byte) of a rank file."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    pairs, whole = [], []
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pairs.append(a << 32 | b), whole.append(rank)
+    token = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array([k.hex() for k in ranks], pa.string())})
+    merges = pa.table({"ab": pa.array(pairs, pa.int64()), "c": pa.array(whole, pa.int32())})
+    return ranks, token, merges, np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+
 class BpeTable:
-    """Ranks of a rank file and their merge table in an in-memory DuckDB."""
+    """Ranks of a rank file, its merge table in an in-memory DuckDB of one thread, and a cache of encoded words."""
 
     def __init__(self, path: str, pattern: str):
         self.words = regex.compile(pattern)
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.cache: dict[bytes | str, bytes] = {}
+        self.ranks, token, merges, self.byte_id = read_ranks(path)
+        self.cache: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        token = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array(self.ranks.keys(), pa.binary())})
-        left, right, whole = [], [], []
-        for piece, rank in self.ranks.items():
-            for cut in range(1, len(piece)):
-                a, b = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), whole.append(rank)
-        merge = pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()), "c": pa.array(whole, pa.int32())})
-        self.db.register("token_arrow", token)
-        self.db.register("merge_arrow", merge)
-        self.db.execute("create table token as select id, lower(hex(piece)) piece from token_arrow").fetchall()
-        self.db.execute("create table merges as select (a::bigint << 32) | b ab, c from merge_arrow").fetchall()
-        self.byte_id = np.full(256, -1, np.int32)
-        for b in range(256):
-            self.byte_id[b] = self.ranks.get(bytes([b]), -1)
+        for name, rows in (("token", token), ("merges", merges)):
+            self.db.register("rows_arrow", rows)
+            self.db.execute(f"create table {name} as from rows_arrow").fetchall()
+            self.db.unregister("rows_arrow")
+
+    def close(self) -> None:
+        self.cache.clear()
+        self.db.close()
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -96,13 +106,15 @@ class BpeTable:
             lo = int(lengths[:first].sum())
             rows = pa.table({"d": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(int(n.sum()), dtype=np.int32), "t": flat[lo : lo + int(n.sum())]})
             self.db.register("ids_arrow", rows)
-            got = dict(self.db.execute("select d, string_agg(piece, '' order by p) from ids_arrow join token on t = id group by d").fetchall())
+            got = dict(self.db.execute(_DECODE).fetchall())
             self.db.unregister("ids_arrow")
             out += [bytes.fromhex(got.get(k, "")) for k in range(len(n))]
             first = last
         return out
 
 
+#: Sorted once for all texts; on one thread the aggregate takes its rows in that order.
+_DECODE = "select d, string_agg(piece, '') from (select d, piece from ids_arrow join token on t = id order by p) group by d"
 #: One round contracts the leftmost pair of least rank of every word that still has a pair in the merge table.
 _SHORT = """
 with recursive state as (
@@ -145,11 +157,6 @@ select w, t from state where done order by w, p
 """
 
 
-@lru_cache(maxsize=2)
-def bpe_table(path: str, pattern: str) -> BpeTable:
-    return BpeTable(path, pattern)
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """All columns of `docs` with ids (binary, little-endian unsigned 32-bit), n_tokens and decoded (binary).
 
@@ -161,7 +168,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text")
     docs = docs.drop("ids", "n_tokens", "decoded")
 
     def run(it):
-        table = bpe_table(path, pattern)
+        table = BpeTable(path, pattern)
         for batch in it:
             size = np.cumsum([0, *(x or 0 for x in pc.utf8_length(batch.column(text)).to_pylist())])
             first = 0
@@ -174,6 +181,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text")
                 cols = [*part.columns, pa.array(ids, pa.binary()), n, pa.array(table.decode(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "ids", "n_tokens", "decoded"])
                 first = last
+        table.close()
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
     return docs.mapInArrow(run, schema)
