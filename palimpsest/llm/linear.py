@@ -23,30 +23,35 @@ def ngram_bins(text: str | None, orders: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def present(bins: list[np.ndarray], used: np.ndarray | None = None) -> np.ndarray:
-    """Distinct bins, of those marked in `used` where given."""
+def counted(bins: list[np.ndarray], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct bins, log(1 + how often each occurs)), of those marked in `used` where given."""
     if used is not None:
         bins = [b[used[b]] for b in bins]
-    return np.unique(np.concatenate(bins)) if bins else np.zeros(0, np.uint32)
+    if not bins:
+        return np.zeros(0, np.uint32), np.zeros(0)
+    b, n = np.unique(np.concatenate(bins), return_counts=True)
+    return b, np.log1p(n)
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient descent on the mean loss with l2 / (2 n) |w|^2."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 200, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient descent on the mean (weighted) loss with l2 / (2 n) |w|^2."""
     n, m = x.shape
-    x = np.hstack([x, np.ones((n, 1), x.dtype)])
-    v = np.ones(m + 1) / np.sqrt(m + 1)
+    s = np.ones(n) if weight is None else weight / weight.mean()
+    s = s.astype(x.dtype)  # products stay in x's precision
+    v = np.ones(m, x.dtype) / np.sqrt(m).astype(x.dtype)
     for _ in range(15):
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (0.25 * float(np.linalg.norm(x @ v)) ** 2 / n + l2 / n + 1e-9)
+        v = x.T @ (s * (x @ v))
+        v /= np.linalg.norm(v) + x.dtype.type(1e-12)
+    top = float((s * (x @ v) ** 2).sum()) + float(s.sum())  # bounds the matrix with its column of ones, twice over
+    rate = 1 / (0.5 * top / n + l2 / n + 1e-9)
     w, z, t = np.zeros(m + 1), np.zeros(m + 1), 1.0
-    ridge = np.r_[np.full(m, l2 / n), 0]
     for _ in range(steps):
-        g = x.T @ (sigmoid(x @ z) - y) / n + ridge * z
+        e = (s * (sigmoid(x @ z[:-1].astype(x.dtype) + z[-1]) - y)).astype(x.dtype)
+        g = np.r_[x.T @ e + l2 * z[:-1], e.sum()] / n
         new, t2 = z - rate * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:-1], float(w[-1])

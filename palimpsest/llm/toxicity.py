@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -10,22 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.linear import BINS, fit_logistic, ngram_bins, present, sigmoid
+from palimpsest.llm.common import release
+from palimpsest.llm.linear import BINS, counted, fit_logistic, ngram_bins, sigmoid
 
 ORDERS = (3, 4, 5)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Score = sigmoid(bias + sum of weight[bin] over the distinct n-gram bins of a text)."""
+    """Score = sigmoid(bias + sum of weight[bin] * log(1 + occurrences) over the n-gram bins of a text)."""
 
     weight: np.ndarray  # float64[BINS], 0 where a bin is not used
     bias: float
     orders: tuple[int, ...] = ORDERS
 
     def score(self, text: str | None) -> float:
-        hit = present(ngram_bins(text, self.orders), self.weight != 0)
-        return float(sigmoid(self.bias + self.weight[hit].sum()))
+        hit, value = counted(ngram_bins(text, self.orders), self.used)
+        return float(sigmoid(self.bias + (self.weight[hit] * value).sum()))
+
+    @cached_property
+    def used(self) -> np.ndarray:
+        return self.weight != 0
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, fold, per_class: int) -> DataFrame:
@@ -42,31 +48,36 @@ def training_sample(docs: DataFrame, labels: DataFrame, fold, per_class: int) ->
     return docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y")
 
 
-def train(rows: list[tuple[str | None, int]], keep: int = 3000, least_z: float = 4.0, orders=ORDERS) -> ToxicityModel:
-    """Fit on a bounded sample: features are presence times the log-count ratio; the `keep` most telling bins are used.
+def train(rows: list[tuple[str | None, int]], keep: int = 4000, least_z: float = 2.0, l2: float = 3.0, orders=ORDERS) -> ToxicityModel:
+    """Fit on a bounded sample: features are log counts times the log-count ratio of their bin, for the `keep` most telling bins.
 
-    With one class or none the score is the smoothed share of class 1.
+    The classes weigh alike. With one class or none the score is the smoothed share of class 1.
     """
     y = np.array([int(r[1]) for r in rows], float)
     weight = np.zeros(BINS)
-    prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(weight, prior, orders)
-    sets = [present(ngram_bins(t, orders)) for t, _ in rows]
-    counts = np.ones((2, BINS))
-    for s, c in zip(sets, y):
-        counts[int(c), s] += 1
-    share = counts / counts.sum(1, keepdims=True)
+        return ToxicityModel(weight, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0, orders)
+    texts = [counted(ngram_bins(t, orders)) for t, _ in rows]
+    total, having = np.ones((2, BINS)), np.ones((2, BINS))
+    for (bins, value), c in zip(texts, y.astype(int)):
+        total[c, bins] += value
+        having[c, bins] += 1
+    share = total / total.sum(1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    z = np.abs(ratio) / np.sqrt(1 / counts[0] + 1 / counts[1])
+    z = np.abs(ratio) / np.sqrt(1 / having[0] + 1 / having[1])
     chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
     chosen = chosen[z[chosen] >= least_z]
     if not len(chosen):
-        return ToxicityModel(weight, prior, orders)
-    x = np.zeros((len(sets), len(chosen)))
-    for i, s in enumerate(sets):
-        x[i, np.isin(chosen, s)] = 1
-    w, b = fit_logistic(x * ratio[chosen], y, l2=0.3)
+        return ToxicityModel(weight, 0.0, orders)
+    at = np.full(BINS, -1)
+    at[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(texts), len(chosen)), np.float32)
+    for i, (bins, value) in enumerate(texts):
+        k = at[bins]
+        x[i, k[k >= 0]] = value[k >= 0]
+    x *= ratio[chosen].astype(np.float32)
+    alike = np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum()))
+    w, b = fit_logistic(x, y, l2, weight=alike)
     weight[chosen] = w * ratio[chosen]
     return ToxicityModel(weight, b, orders)
 
@@ -87,6 +98,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
             s = pa.array([m.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             flag = pa.array((s.to_numpy() >= threshold).astype("int32"), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, s, flag], [*batch.schema.names, "toxicity", "toxic_predicted"])
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
