@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import release
+
 HEADER = 44  # bytes of the WAV form before the samples
 
 
@@ -195,6 +197,7 @@ def audio_features(rows: DataFrame, params: AudioParams = AudioParams()) -> Data
                     spans.append([{"start_s": a, "end_s": b} for a, b in s])
                 cols = [*part.columns, pa.array(payload, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, span)]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "payload", "tensors", "segments"])
+        release()
 
     seg = T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
     schema = [*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("tensors", T.BinaryType()), T.StructField("segments", seg)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import release
 from palimpsest.llm.linear import fit_logistic, sigmoid
 
 WIDTH = 64  # hashed categories of the metadata view
@@ -156,6 +157,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataF
             meta = np.array([meta_features(*m) for m in zip(*[[x or "" if i < 2 else x for x in c] for i, c in enumerate(cols[1:])])])
             s = model.score(text, meta)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], [*batch.schema.names, "quality_score", "keep"])
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
     return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, ranges, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, ranges, release, unpack
 from palimpsest.llm.suffix_array import adjacent_equal, two_stage
 
 K = 28
@@ -168,6 +168,8 @@ def _find_pieces(length: int, buckets: int, hot_here: int):
                     parts, held = [], 0
         if parts:
             yield _to_batch(_local(parts, buckets, hot_here))
+        parts = None
+        release()
 
     return run
 
@@ -265,6 +267,7 @@ def _cut_pieces(length: int, buckets: int):
                     size = 0
         if held[0]:
             yield flush()
+        release()
 
     return run
 
