@@ -108,8 +108,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
 }
 
+
+
+def _strength_sql(level: str) -> str:
+    return f"""(select least(greatest(coalesce(p * (1 - p) / case when b > 0 then b end - 1, 200), 2), 200) from (
+        select p, (sq - sn * p * p - (k - 1) * p * (1 - p)) / nullif(sn - snn / sn, 0) b from (
+            select sum(bad) / sum(n) p, sum(n)::double sn, count(*)::double k, sum(bad * bad / n) sq, sum(n * n)::double snn from {level} where n > 0)))"""
+
+
+def _rules_sql(column: str) -> str:
+    """The rules as a case expression, longest first."""
+    one = lambda r: f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, column)}'"
+    return "case " + " ".join(one(r) for r in sorted(RULES, key=lambda r: -len(r.text))) + " end"
+
+
+_SUFFIXES = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_reputation": f"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_reputation.UPPER}', '{url_reputation.LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+o as (select doc_id page_id, max(1 - quality) bad from labels where quality in (0, 1) group by doc_id),
+h0 as (select host, count(bad) n, coalesce(sum(bad), 0) bad, string_split(host, '.') l from p left join o using (page_id) group by host),
+hosts as (select host, n, bad, array_to_string(l[-2:], '.') two, array_to_string(l[-3:], '.') three, l[-1] one from h0),
+named as (select host, n, bad, case when two in ({_SUFFIXES}) then three else two end as dom, case when two in ({_SUFFIXES}) then two else one end suf from hosts),
+doms as (select dom, first(suf) suf, sum(n) n, sum(bad) bad from named group by dom),
+sufs as (select suf, sum(n) n, sum(bad) bad from doms group by suf),
+k as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) m0, {_strength_sql("sufs")} ks, {_strength_sql("doms")} kd, {_strength_sql("named")} kh from sufs),
+s as (select suf, (bad + ks * m0) / (n + ks) ms from sufs, k),
+d as (select dom, (bad + kd * ms) / (n + kd) md from doms join s using (suf), k),
+r as (select host, (bad + kh * md) / (n + kh) m, n + kh w from named join d using (dom), k)
+select page_id, host, path, {_rules_sql("text")} as rule, coalesce({_rules_sql("verdict")}, case when m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.25 then 'block' else 'allow' end) verdict
+from p join r using (host)
+""",
     "op1_suffix_dedup": """
 with bytes as (select doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
 strings as (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) k from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) p from bytes)),
