@@ -56,7 +56,7 @@ def wav_samples(media: bytes) -> tuple[np.ndarray, int]:
 
 @lru_cache(maxsize=8)
 def _low_pass(up: int, down: int, taps: int) -> np.ndarray:
-    n = taps * up
+    n = taps * up - 1 + taps * up % 2  # odd, so its delay is whole samples
     t = np.arange(n) - (n - 1) / 2
     cut = 0.5 / max(up, down)
     h = 2 * cut * np.sinc(2 * cut * t) * np.hamming(n)

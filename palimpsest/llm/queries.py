@@ -134,7 +134,7 @@ hosts as (select host, n, bad, array_to_string(l[-2:], '.') two, array_to_string
 named as (select host, n, bad, case when two in ({_SUFFIXES}) then three else two end as dom, case when two in ({_SUFFIXES}) then two else one end suf from hosts),
 doms as (select dom, first(suf) suf, sum(n) n, sum(bad) bad from named group by dom),
 sufs as (select suf, sum(n) n, sum(bad) bad from doms group by suf),
-k as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) m0, {_strength_sql("sufs")} ks, {_strength_sql("doms")} kd, {_strength_sql("named")} kh from sufs),
+k as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 10) m0, {_strength_sql("sufs")} ks, {_strength_sql("doms")} kd, {_strength_sql("named")} kh from sufs),
 s as (select suf, (bad + ks * m0) / (n + ks) ms from sufs, k),
 d as (select dom, (bad + kd * ms) / (n + kd) md from doms join s using (suf), k),
 r as (select host, (bad + kh * md) / (n + kh) m, n + kh w from named join d using (dom), k)

@@ -80,7 +80,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, bound: Bound = Bound(
     pages (page_id, host), outcomes (page_id, bad 0/1 or null, then unused). A
     suffix is shrunk to the overall share, a registered domain to its suffix, a
     host to its domain; each level's prior strength comes from the spread of its
-    units. Counts over all pages, combined before the shuffle.
+    units. Without labels a tenth counts as bad. Counts over all pages, combined
+    before the shuffle.
     """
     o = outcomes.where(F.col("bad").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = pages.join(o, "page_id", "left")
@@ -89,7 +90,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, bound: Bound = Bound(
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("_m0"))
+    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("_m0"))
     one = total
     for level, name in ((suffixes, "_ks"), (domains, "_kd"), (hosts, "_kh")):
         one = one.join(F.broadcast(_strength(level, name, bound)))
