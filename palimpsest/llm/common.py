@@ -27,14 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:{own}"
 
 
+_cuts: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: the lineage ends in files every executor can reach."""
+    """Write `df` to the shared folder and read it back: the lineage ends in files every executor can reach.
+
+    The files stay until drop_cuts, as later tables read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _cuts.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete what materialize wrote in this session, once the results that read it are stored."""
+    jvm = spark.sparkContext._jvm
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task, beside other stages' workers."""
     gc.collect()
@@ -45,6 +60,12 @@ def release() -> None:
         pass
 
 
+def narrow(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """`df`, which has about so many rows, in as few tasks as they need: with many shuffle partitions, small steps are all overhead."""
+    n = max(1, -(-rows // per_task))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Groups to deal blobs into: a multiple of the session's shuffle partitions, so it grows with the job."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

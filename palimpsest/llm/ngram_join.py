@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, release, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, narrow, one_row_per_id, pack, release, unpack
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.suffix_dedup import _BYTE, _power
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
 HASH_BITS = 56
-FLUSH = 2_000_000  # shingles that a task holds before it sends them
+FLUSH = 1_200_000  # shingles that a task holds before it sends them
 HOT_HERE = 4096  # documents of a task that share a shingle, beyond which the shingle counts as saturated everywhere
 SATURATED = (1 << 31) - 1
-STAR_ROUNDS = 6  # after so many rounds of leaders, all candidates that are left are paired
+STAR_ROUNDS = 2  # after so many rounds of leaders, all candidates that are left are paired
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -273,16 +273,20 @@ def _verify_bucket(threshold: Fraction):
     return run
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESHOLD, group: int = 256) -> DataFrame:
-    """Those (u, v) whose sets reach the threshold. A leader u with many partners is dealt to several groups."""
+def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESHOLD, group: int = 256, rows: int | None = None) -> DataFrame:
+    """Those (u, v) whose sets reach the threshold. A leader u with many partners is dealt to several groups.
+
+    `rows` is about the number of pairs; it is counted if not given.
+    """
+    rows = pairs.count() if rows is None else rows
     buckets = n_buckets(pairs.sparkSession)
     count = pairs.groupBy("u").count().select("u", F.ceil(F.col("count") / group).alias("parts"))
-    dealt = pairs.join(count, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("salt"), "v")
+    dealt = narrow(pairs.join(materialize(narrow(count, rows)), "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("salt"), "v"), rows)
     body = sets.select("doc_id", "n", "shared")
     partners = dealt.join(body, dealt["v"] == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
-    leaders = dealt.select("u", "salt").distinct().join(body, F.col("u") == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
-    rows = partners.union(leaders).withColumn("bucket", F.pmod(F.xxhash64("u", "salt"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long")
+    leaders = narrow(dealt.select("u", "salt").distinct(), rows).join(body, F.col("u") == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
+    dealt_sets = narrow(partners, rows, 10_000).union(narrow(leaders, rows, 10_000)).withColumn("bucket", F.pmod(F.xxhash64("u", "salt"), F.lit(buckets)))
+    return narrow(dealt_sets.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long"), rows, 5_000)
 
 
 def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -292,44 +296,54 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, round
     within a component are settled; the next round has other leaders. When few
     candidates are left, or after `rounds`, all that are left are paired, so no
     link between components is missed.
+
+    What is counted for a shingle or a leader is written before it is joined back:
+    a join of two written tables lets Spark split the rows of a hot key.
     """
     entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
     entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"))
-    met = entries.groupBy("h").count().where("count > 1").select("h")
-    entries = materialize(entries.join(met, "h"))
-    tried, links, labels = [], [], None
+    total = entries.count()
+    met = materialize(narrow(entries.groupBy("h").count().where("count > 1").select("h"), total))
+    entries = materialize(narrow(entries.join(met, "h"), total))
+    total = entries.count()
+    tried, labels = [], None
     for r in range(rounds + 1):
         rest = entries.withColumn("component", F.col("doc_id"))
         if labels is not None:
             rest = entries.join(labels, entries["doc_id"] == labels["node"], "left").select("h", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"))
+            rest = materialize(narrow(rest, total))
             mixed = rest.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
-            rest = materialize(rest.join(mixed, "h"))
-            if rest.isEmpty():
+            rest = materialize(narrow(rest.join(materialize(narrow(mixed, total)), "h"), total))
+            total = rest.count()
+            if not total:
                 break
-        by = rest.groupBy("h", "component").count().groupBy("h").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        crossing, total = by.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.sum("c")).first()
-        everything = r == rounds or (crossing or 0) <= 2 * (total or 0)
+        by = narrow(rest.groupBy("h", "component").count(), total).groupBy("h").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        crossing = narrow(by, total).agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
+        everything = r == rounds or crossing <= 16 * total
         if everything:
             other = rest
         else:
             key = F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r))
             other = rest.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "pos", "component"), key).alias("lead")).select("h", "lead.*")
+            other = materialize(narrow(other, total))
         other = other.select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
         met = rest.join(other, "h").where(F.col("component") != F.col("theirs")).where(_possible(threshold))
         if everything:
             pairs = met.where("u < doc_id").select("u", F.col("doc_id").alias("v"))
         else:
             pairs = met.select("u", F.col("doc_id").alias("v"))
-        pairs = pairs.distinct()
+        pairs = narrow(narrow(pairs, int(total + crossing) if everything else total).distinct(), total)
         if tried:
             old = reduce(DataFrame.union, tried)
             old = old.union(old.select("v", "u"))
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
+            pairs = narrow(pairs.join(old, ["u", "v"], "left_anti"), total)
         pairs = materialize(pairs)
-        if not pairs.isEmpty():
+        if n := pairs.count():
             tried.append(pairs)
-            links.append(materialize(verify_pairs(pairs, sets, threshold)))
-            labels = materialize(connected_components(reduce(DataFrame.union, links)))
+            links = verify_pairs(pairs, sets, threshold, rows=n)
+            if labels is not None:  # what is connected already stands for its links
+                links = links.union(labels.where("node <> component").select("node", "component"))
+            labels = connected_components(links, n + (labels.count() if labels is not None else 0))
         if everything:
             break
     if labels is None:
