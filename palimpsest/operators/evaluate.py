@@ -40,7 +40,7 @@ def rank_as_of(queries: DataFrame, vectors: DataFrame, rounds: DataFrame, k: int
     """
     rows = vectors.join(rounds.select("round_file", F.col("ts").alias("_ts")), "round_file")
     q = queries.withColumnRenamed("vector", "_q")
-    near = rows.join(F.broadcast(q), (F.col("_ts") < F.col("ts")) & (F.col("round_file") != F.col("query")))
+    near = rows.join(q, (F.col("_ts") < F.col("ts")) & (F.col("round_file") != F.col("query")))
     scored = near.withColumn("score", dot(F.col("_q"), F.col("vector"))).where("score is not null")
     return top(scored.groupBy("query", "round_file").agg(F.max("score").alias("score")), k)
 

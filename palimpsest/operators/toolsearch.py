@@ -24,10 +24,10 @@ def keywords(queries: DataFrame, query: str = "query", text: str = "text") -> Da
 def search_tools(rows: DataFrame, queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
     """(query, round_file, matched, total, score, tools): rounds with any keyword; score = matched distinct keywords / total.
 
-    `tools` are the calls with a hit as (index, name) by index. The keyword table is
-    the small side; it meets each row once, by a `contains` condition.
+    `tools` are the calls with a hit as (index, name) by index. The keyword table
+    meets each row by a `contains` condition; Spark broadcasts it while it is small.
     """
-    hits = rows.join(F.broadcast(keywords(queries, query, text)), F.col("searchable").contains(F.col("keyword")))
+    hits = rows.join(keywords(queries, query, text), F.col("searchable").contains(F.col("keyword")))
     out = hits.groupBy("query", "round_file", "total").agg(
         F.count_distinct("keyword").alias("matched"), F.array_sort(F.collect_set(F.struct(F.col("tool_index").alias("index"), F.col("tool_name").alias("name")))).alias("tools")
     )
