@@ -273,20 +273,21 @@ def _verify_bucket(threshold: Fraction):
     return run
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESHOLD, group: int = 256, rows: int | None = None) -> DataFrame:
+def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESHOLD, group: int = 256, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Those (u, v) whose sets reach the threshold. A leader u with many partners is dealt to several groups.
 
-    `rows` is about the number of pairs; it is counted if not given.
+    `rows` and `size` are about the numbers of pairs and of sets; they are counted if not given.
     """
     rows = pairs.count() if rows is None else rows
+    size = sets.count() if size is None else size
     buckets = n_buckets(pairs.sparkSession)
     count = pairs.groupBy("u").count().select("u", F.ceil(F.col("count") / group).alias("parts"))
     dealt = narrow(pairs.join(materialize(narrow(count, rows)), "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("salt"), "v"), rows)
     body = sets.select("doc_id", "n", "shared")
     partners = dealt.join(body, dealt["v"] == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
     leaders = narrow(dealt.select("u", "salt").distinct(), rows).join(body, F.col("u") == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
-    dealt_sets = narrow(partners, rows, 10_000).union(narrow(leaders, rows, 10_000)).withColumn("bucket", F.pmod(F.xxhash64("u", "salt"), F.lit(buckets)))
-    return narrow(dealt_sets.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long"), rows, 5_000)
+    dealt_sets = narrow(partners, rows + size, 2000).union(narrow(leaders, rows + size, 2000)).withColumn("bucket", F.pmod(F.xxhash64("u", "salt"), F.lit(buckets)))
+    return narrow(dealt_sets.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long"), rows + size, 4000)
 
 
 def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -302,7 +303,7 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, round
     """
     entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
     entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"))
-    total = entries.count()
+    size, total = sets.count(), entries.count()
     met = materialize(narrow(entries.groupBy("h").count().where("count > 1").select("h"), total))
     entries = materialize(narrow(entries.join(met, "h"), total))
     total = entries.count()
@@ -340,7 +341,7 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, round
         pairs = materialize(pairs)
         if n := pairs.count():
             tried.append(pairs)
-            links = verify_pairs(pairs, sets, threshold, rows=n)
+            links = verify_pairs(pairs, sets, threshold, rows=n, size=size)
             if labels is not None:  # what is connected already stands for its links
                 links = links.union(labels.where("node <> component").select("node", "component"))
             labels = connected_components(links, n + (labels.count() if labels is not None else 0))
