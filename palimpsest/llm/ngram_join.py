@@ -370,6 +370,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESH
     live = materialize(sets.where("prefix > 0").join(leads, F.col("doc_id") == F.col("lead"), "left_semi"))
     labels = links_and_components(live, threshold, rounds)
     several = classes.where("copies > 1").select("sig1", "sig2", "lead")
+    several = materialize(narrow(several, sets.count()))  # apart, so that the copies of a hot document can be split
     found = sets.select("doc_id", "n", "sig1", "sig2").join(several, ["sig1", "sig2"], "left")
     found = found.withColumn("lead", F.when(F.col("n") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")))
     found = found.join(labels, F.col("lead") == F.col("node"), "left")
