@@ -48,6 +48,15 @@ def bm25_tokens(text: Column | str) -> Column:
     return F.coalesce(F.flatten(F.transform(raw, lambda r: F.transform(F.concat(F.array(r), parts(r)), stem))), F.array().cast("array<string>"))
 
 
+def token_bag(text: Column | str) -> Column:
+    """The same tokens in another order and before stemming: stemming them once exploded stays in generated code."""
+    t = F.lower(col(text))
+    runs = lambda p: F.regexp_extract_all(t, F.lit(f"({p})"), 1)
+    joined = runs(r"[a-z0-9_./:-]*[./:-][a-z0-9_./:-]*")  # the runs that have parts
+    parts = F.flatten(F.transform(joined, lambda r: F.filter(F.split(r, "[./:-]+"), lambda p: p != "")))
+    return F.coalesce(F.concat(runs(TOKEN_CLASS), parts), F.array().cast("array<string>"))
+
+
 def golden_tokens(text: Column | str) -> Column:
     """Array of lower-case ASCII words; underscores and lower-to-upper borders separate."""
     spaced = F.regexp_replace(F.replace(col(text), F.lit("_"), F.lit(" ")), "([a-z0-9])([A-Z])", "$1 $2")
