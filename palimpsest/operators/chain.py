@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import scratch_path
 
-def walk_chain(targets: DataFrame, rounds: DataFrame, max_depth: int = 32) -> DataFrame:
+
+def walk_chain(targets: DataFrame, rounds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(target, depth, round_file, missing): each target (depth 0), its parent, and so on.
 
     A chain ends at the root, at a round that is not stored (missing), before a
-    round that it has already, or at max_depth links. Joins follow the links, so
-    all chains advance together; a step is one equi-join on the parent's key.
+    round that it has already, or at max_depth links (None or 0: no such limit).
+    A round is stored once, so it has one parent.
     """
+    return _walk_some(targets, rounds, max_depth) if max_depth else _walk_to_root(targets, rounds)
+
+
+def _walk_some(targets: DataFrame, rounds: DataFrame, max_depth: int) -> DataFrame:
+    """Joins follow the links, so all chains advance together; a step is one equi-join on the parent's key."""
     spark = targets.sparkSession
     links = rounds.select("round_file", F.col("parentId").alias("_parent"))
     start = targets.select("target", F.col("target").alias("round_file"), F.lit(0).alias("depth"), F.array(F.col("target")).alias("_path"))
@@ -31,6 +38,48 @@ def walk_chain(targets: DataFrame, rounds: DataFrame, max_depth: int = 32) -> Da
         select target, depth, round_file, missing from walk""")
 
 
+def _walk_to_root(targets: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Steps that double: the links known so far, and from each of them the ancestor as many links further up.
+
+    So a chain of n links takes log2(n) joins, and a cycle adds nothing once it
+    is round. Each step is a table in scratch space; the last one stays, as the
+    result reads it.
+    """
+    stored = rounds.select("round_file").distinct()
+    known = stored.select(F.col("round_file").alias("_up"), F.lit(False).alias("_gone"))
+    ups = rounds.select("round_file", F.col("parentId").alias("_up")).where("_up <> ''").distinct()
+    ups = _kept(ups.join(known, "_up", "left").select("round_file", "_up", F.coalesce("_gone", F.lit(True)).alias("_gone")))
+    have = targets.select("target", F.col("target").alias("round_file")).distinct().join(known.withColumnRenamed("_up", "round_file"), "round_file", "left")
+    have = _kept(have.select("target", F.lit(0).alias("depth"), "round_file", F.coalesce("_gone", F.lit(True)).alias("missing")))
+    step, n = 1, have[0].count()
+    while True:
+        new = have[0].join(ups[0], "round_file").select("target", (F.col("depth") + step).alias("depth"), F.col("_up").alias("round_file"), F.col("_gone").alias("missing"))
+        more = _kept(have[0].union(new).groupBy("target", "round_file").agg(F.min("depth").alias("depth"), F.max("missing").alias("missing")).select(*have[0].columns))
+        before, n = n, more[0].count()
+        _drop(have)
+        have = more
+        if n == before:
+            _drop(ups)
+            return have[0]
+        far = ups[0].select(F.col("round_file").alias("_up"), F.col("_up").alias("_far"), F.col("_gone").alias("_far_gone"))
+        further = _kept(ups[0].join(far, "_up").select("round_file", F.col("_far").alias("_up"), F.col("_far_gone").alias("_gone")))
+        _drop(ups)
+        ups, step = further, 2 * step
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = scratch_path(spark, "chain")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _drop(table: tuple[DataFrame, str]) -> None:
+    spark = table[0].sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table[1])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def origin_posterior(scores: Column) -> Column:
     """For fault scores of a chain, oldest first: the chance that each link is the origin, then that none is."""
     step = lambda a, f: F.struct(F.concat(a["p"], F.array(f * a["clean"])).alias("p"), (a["clean"] * (1 - f)).alias("clean"))

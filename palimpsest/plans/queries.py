@@ -550,6 +550,21 @@ def origin_posterior(s, d):
     return x.select("target", r6("p_outside").alias("p_outside"), r6("entropy").alias("entropy"), "top", r6(F.element_at("p_origin", -1)).alias("p_last"))
 
 
+@query
+def parent_chain_to_root(s, d):
+    """The whole chain of every event."""
+    r = _parents(s, d)
+    return chain.walk_chain(r.select(F.col("round_file").alias("target")), r).select("target", long("depth").alias("depth"), "round_file")
+
+
+@query
+def origin_posterior_to_root(s, d):
+    r = _parents(s, d)
+    links = chain.walk_chain(r.select(F.col("round_file").alias("target")), r).join(r.select("round_file", F.least(F.lit(1.0), F.col("value") / 100).alias("fault")), "round_file")
+    x = chain.origin_profile(links)
+    return x.select("target", r6("p_outside").alias("p_outside"), r6("entropy").alias("entropy"), "top", r6(F.element_at("p_origin", -1)).alias("p_last"))
+
+
 @query
 def flag_rule(s, d):
     e = C.event_rounds(s, d)

@@ -135,6 +135,20 @@ def test_chain_stops_at_cycles_and_gaps(spark):
     assert [(x.target, x.round_file, x.missing) for x in got] == [("a", "a", False), ("a", "b", False), ("c", "c", False), ("c", "gone", True)]
 
 
+@pytest.mark.parametrize("depth", [None, 0])
+def test_chain_reaches_the_root(spark, depth):
+    line = [(str(i), str(i - 1) if i else "") for i in range(150)]
+    knot = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "gone")]
+    r = spark.createDataFrame(line + knot, "round_file string, parentId string")
+    ask = spark.createDataFrame([("149",), ("70",), ("0",), ("a",), ("x",), ("lost",)], "target string")
+    got = {}
+    for x in chain.walk_chain(ask, r, depth).orderBy("target", "depth").collect():
+        got.setdefault(x.target, []).append((x.depth, x.round_file, x.missing))
+    want = {str(n): [(d, str(n - d), False) for d in range(n + 1)] for n in (149, 70, 0)}
+    want |= {"a": [(d, y, False) for d, y in enumerate("abcd")], "x": [(0, "x", False), (1, "gone", True)], "lost": [(0, "lost", True)]}
+    assert got == want
+
+
 def test_origin(spark):
     df = spark.createDataFrame([([0.5, 0.5],)], "f array<double>")
     assert df.select(chain.origin_posterior(F.col("f"))).first()[0] == [0.5, 0.25, 0.25]
