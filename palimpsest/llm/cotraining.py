@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import release
+from palimpsest.llm.common import materialize, release
 from palimpsest.llm.linear import fit_logistic, sigmoid
 
 WIDTH = 64  # hashed categories of the metadata view
+_ROW = np.dtype([("text", "<f4", 16), ("meta", "u1", 5)])  # a row's features, as they are stored
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -35,16 +36,24 @@ def text_features(text: str | None) -> np.ndarray:
     ])
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Hashed language, source and length class; nulls are values of their own."""
-    x = np.zeros(WIDTH + 1)
+def meta_bins(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
+    """Hashed language, source and length class, then the length class itself; nulls are values of their own."""
     bucket = -1 if n_chars is None else int(np.log2(max(int(n_chars), 0) + 1))
-    for part in (f"l={lang}", f"s={source}", f"n={bucket}", f"ln={lang}/{bucket}"):
-        x[zlib.crc32(part.encode()) % WIDTH] += 1
-    x[WIDTH] = max(bucket, 0) / 16
+    parts = (f"l={lang}", f"s={source}", f"n={bucket}", f"ln={lang}/{bucket}")
+    return [*(zlib.crc32(part.encode()) % WIDTH for part in parts), max(bucket, 0)]
+
+
+def meta_rows(bins: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(bins), WIDTH + 1))
+    np.add.at(x, (np.arange(len(bins))[:, None], bins[:, :-1]), 1)
+    x[:, WIDTH] = bins[:, -1] / 16
     return x
 
 
+def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    return meta_rows(np.array([meta_bins(lang, source, n_chars)]))[0]
+
+
 @dataclass(frozen=True)
 class View:
     mean: np.ndarray
@@ -61,10 +70,79 @@ class View:
         return self.a * self.margin(x) + self.c
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray) -> View:
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    w, b = fit_logistic((x - mean) / scale, y, l2=1.0, steps=150)
-    return View(mean, scale, w, b)
+def _sums(x: np.ndarray, y: np.ndarray, view: View | None) -> np.ndarray:
+    """For class 0, then 1: rows, sums and squares; for a view its loss, gradient and Hessian (intercept last)."""
+    out = []
+    for c in (0, 1):
+        r = x[y == c]
+        if view is None:
+            out.append(np.r_[len(r), r.sum(0), (r * r).sum(0)])
+            continue
+        z = np.c_[(r - view.mean) / view.scale, np.ones(len(r))]
+        m = z @ np.r_[view.w, view.b]
+        p = sigmoid(m)
+        out.append(np.r_[np.logaddexp(0, -m if c else m).sum(), z.T @ (p - c), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+    return np.array(out)
+
+
+def pool_sums(xs: tuple[np.ndarray, np.ndarray], past: list[list[View]], now: list[View | None], least: float) -> list[np.ndarray]:
+    """_sums for either view over the unlabelled rows `xs`, which add up over parts of them.
+
+    A row's pseudo-label for a view is the first of which the other view was sure to `least` in the rounds `past`.
+    """
+    out = []
+    for j, i in ((0, 1), (1, 0)):
+        y = np.full(len(xs[j]), -1)
+        for views in past:
+            p = sigmoid(views[i].margin(xs[i]))
+            y[(y < 0) & (p >= least)] = 1
+            y[(y < 0) & (1 - p >= least)] = 0
+        out.append(_sums(xs[j], y, now[j]))
+    return out
+
+
+def _fit_views(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, past: list[list[View]], pool, l2: float = 1.0, steps: int = 30) -> list[View]:
+    """Both views by Newton's method on labelled rows and on the pool, which is read once a step.
+
+    The pseudo-labels of a class weigh as much as its labelled rows together, at
+    most: so a large pool does not drown the labels, nor the classes' shares.
+    """
+    far = lambda now: pool(past, now) if past else [0.0, 0.0]
+    views, weights, total = [], [], []
+    for k, (x, other) in enumerate(zip(xs, far([None, None]))):
+        own, other = _sums(x, y, None), other + np.zeros((2, 1 + 2 * x.shape[1]))
+        weights.append(np.minimum(1, own[:, :1] / np.maximum(other[:, :1], 1)))
+        n, s, q = np.split((own + weights[k] * other).sum(0), [1, 1 + x.shape[1]])
+        mean = s / n
+        scale = np.sqrt(np.maximum(q / n - mean**2, 0)) + 1e-3
+        w, b = np.zeros(x.shape[1]), 0.0
+        if past:  # begin where the last round ended
+            v = past[-1][k]
+            w, b = v.w / v.scale * scale, v.b + float((mean - v.mean) / v.scale @ v.w)
+        views.append(View(mean, scale, w, b))
+        total.append(float(n[0]))
+    at, best, step, done = list(views), [np.inf, np.inf], [1.0, 1.0], [False, False]
+    move = [np.zeros(x.shape[1] + 1) for x in xs]
+    for _ in range(steps):
+        got = far(at)
+        for k, x in enumerate(xs):
+            if done[k]:
+                continue
+            v, d = at[k], x.shape[1] + 1
+            loss, g, h = np.split((_sums(x, y, v) + weights[k] * got[k]).sum(0), [1, 1 + d])
+            loss = float(loss[0]) + l2 / 2 * float(v.w @ v.w)
+            if loss <= best[k] * (1 + 1e-9):
+                h = h.reshape(d, d) + np.diag(np.r_[np.full(d - 1, l2), 1e-6])
+                g = g + l2 * np.r_[v.w, 0]
+                views[k], best[k], step[k], move[k] = v, loss, 1.0, np.linalg.solve(h, g)
+                done[k] = float(g @ move[k]) < 1e-6 * total[k]
+            else:
+                step[k] /= 2
+            u = views[k]
+            at[k] = u if done[k] else View(u.mean, u.scale, u.w - step[k] * move[k][:-1], u.b - step[k] * float(move[k][-1]))
+        if all(done):
+            break
+    return views
 
 
 def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
@@ -88,11 +166,12 @@ class QualityModel:
         return sigmoid(self.share * self.text.logit(text) + (1 - self.share) * self.meta.logit(meta))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, per_round: int = 100, least: float = 0.9) -> QualityModel:
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, least: float = 0.9, pool=None) -> QualityModel:
     """y: 0, 1, or -1 for unlabelled rows. A quarter of the labelled rows is kept for calibration and for the views' weights.
 
-    Each round, either view pseudo-labels up to per_round unlabelled rows of each
-    class of which it is sure to `least`, for the other view to learn from.
+    Each round, either view pseudo-labels all unlabelled rows of which it is sure
+    to `least`, for the other view to learn from. `pool` gives pool_sums of
+    unlabelled rows that are elsewhere, in the place of those in y.
     """
     known = np.flatnonzero(y >= 0)
     hold = np.zeros(len(y), bool)
@@ -101,16 +180,14 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4,
     if train.sum() < 4 or len(np.unique(y[train])) < 2:
         share = float((y[known] == 1).mean()) if len(known) else 0.5
         return QualityModel(None, None, 0.5, share)
-    own = [np.where(train, y, -1), np.where(train, y, -1)]
     xs = (text, meta)
-    for _ in range(rounds):
-        views = [_fit_view(x[t >= 0], t[t >= 0].astype(float)) for x, t in zip(xs, own)]
-        for i, j in ((0, 1), (1, 0)):
-            p = sigmoid(views[i].margin(xs[i]))
-            for c, sure in ((1, p), (0, 1 - p)):
-                free = np.flatnonzero((own[j] < 0) & (y < 0) & (sure >= least))
-                own[j][free[np.argsort(-sure[free], kind="stable")[:per_round]]] = c
-    views = [_calibrate(_fit_view(x[t >= 0], t[t >= 0].astype(float)), x[hold], y[hold].astype(float)) for x, t in zip(xs, own)]
+    if pool is None:
+        free = (text[y < 0], meta[y < 0])
+        pool = lambda past, now: pool_sums(free, past, now, least)
+    past: list[list[View]] = []
+    for _ in range(rounds + 1):
+        past.append(_fit_views((text[train], meta[train]), y[train], past, pool))
+    views = [_calibrate(v, x[hold], y[hold].astype(float)) for v, x in zip(past[-1], xs)]
     grid = np.linspace(0, 1, 11)
     if hold.sum() >= 10 and len(np.unique(y[hold])) == 2:
         logits = [v.logit(x[hold]) for v, x in zip(views, xs)]
@@ -121,23 +198,70 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4,
     return QualityModel(views[0], views[1], share, 0.5)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold=None, labelled: int = 3000, unlabelled: int = 3000) -> QualityModel:
-    """Train on at most labelled + unlabelled rows (a documented bound), the first by a hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, fold=None, labelled: int = 3000, least: float = 0.9) -> QualityModel:
+    """Train on at most `labelled` rows with labels (a documented bound), the first by a hash of doc_id, and on all documents without."""
     y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(F.lit(True) if fold is None else fold)
     y = y.groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(y, "doc_id", "left")
-    pick = lambda c, n: ids.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = F.broadcast(pick("_y is not null", labelled).union(pick("_y is null", unlabelled)))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(y, "doc_id")
+    sample = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(sample, "doc_id").select("text", "lang", "source", "n_chars", "_y")
-    got = sorted((r[0] or "", r[1] or "", r[2] or "", -1 if r[3] is None else r[3], -1 if r[4] is None else r[4]) for r in rows.collect())
-    return _fit_rows(got) if got else QualityModel(None, None, 0.5, 0.5)
+    got = sorted((r[0] or "", r[1] or "", r[2] or "", -1 if r[3] is None else r[3], r[4]) for r in rows.collect())
+    return _fit_rows(got, _pool(docs, y, least)) if got else QualityModel(None, None, 0.5, 0.5)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[list, list]:
+    """Texts, and language, source and length of each row."""
+    text, *rest = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
+    return text, list(zip(*[[x or "" if i < 2 else x for x in c] for i, c in enumerate(rest)]))
+
+
+def _pool(docs: DataFrame, y: DataFrame, least: float):
+    """pool_sums over all documents without a label in `y`: their features are stored once, in blocks, and each call is a pass over them."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.BinaryType())])
+
+    def features(it):
+        for batch in it:
+            text, meta = _columns(batch)
+            rows = np.zeros(len(text), _ROW)
+            if len(text):
+                rows["text"], rows["meta"] = [text_features(t) for t in text], [meta_bins(*m) for m in meta]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "row"])
+        release()
+
+    def pack(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column("row").to_pylist())], pa.binary())], ["rows"])
+
+    def blocks() -> DataFrame:
+        rows = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(features, schema)
+        return materialize(rows.join(y, "doc_id", "left_anti").select("row").mapInArrow(pack, "rows binary"))
+
+    stored: list[DataFrame] = []
+
+    def sums(past: list[list[View]], now: list[View | None]) -> list[np.ndarray]:
+        def run(it):
+            total = None
+            for batch in it:
+                for block in batch.column("rows").to_pylist():
+                    rows = np.frombuffer(block, _ROW)
+                    part = pool_sums((rows["text"].astype(float), meta_rows(rows["meta"])), past, now, least)
+                    total = part if total is None else [a + b for a, b in zip(total, part)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in total], ["text", "meta"])
+
+        if not stored:
+            stored.append(blocks())
+        parts = stored[0].mapInArrow(run, "text binary, meta binary").collect()
+        return [sum((np.frombuffer(r[k]).reshape(2, -1) for r in parts), 0.0) for k in (0, 1)]
+
+    return sums
 
 
-def _fit_rows(rows) -> QualityModel:
+def _fit_rows(rows, pool) -> QualityModel:
     text = np.array([text_features(r[0]) for r in rows])
     meta = np.array([meta_features(r[1], r[2], None if r[3] < 0 else r[3]) for r in rows])
     order = np.array([zlib.crc32(r[0].encode("utf-8", "surrogatepass")) for r in rows]).argsort(kind="stable")
-    return co_train(text[order], meta[order], np.array([r[4] for r in rows])[order])
+    return co_train(text[order], meta[order], np.array([r[4] for r in rows])[order], pool=pool)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
@@ -150,11 +274,10 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataF
 
     def run(it):
         for batch in it:
-            cols = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
             if not batch.num_rows:
                 continue
-            text = np.array([text_features(t) for t in cols[0]])
-            meta = np.array([meta_features(*m) for m in zip(*[[x or "" if i < 2 else x for x in c] for i, c in enumerate(cols[1:])])])
+            texts, metas = _columns(batch)
+            text, meta = np.array([text_features(t) for t in texts]), meta_rows(np.array([meta_bins(*m) for m in metas]))
             s = model.score(text, meta)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], [*batch.schema.names, "quality_score", "keep"])
         release()

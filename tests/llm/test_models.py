@@ -67,6 +67,33 @@ def test_views_teach_each_other():
     assert cotraining.co_train(a, b, np.full(600, -1)).score(a, b)[0] == 0.5
 
 
+def test_rare_junk_among_unlabelled_rows_is_learned():
+    """Fifty rows, of which one view is sure, but less than of thousands of others, teach the other view a new sign of junk."""
+    r = np.random.default_rng(1)
+    y, rare = r.integers(0, 2, 5000), np.zeros(5000, bool)
+    rare[200:250], y[200:250] = True, 0
+    text = np.c_[r.normal(0, 0.3, 5000) + 3 * (y | rare), rare]
+    meta = np.c_[r.normal(0, 0.2, 5000) + np.where(rare, -1, 4 * y - 2), r.normal(size=5000)]
+    m = cotraining.co_train(text, meta, np.where(np.arange(5000) < 200, y, -1))
+    assert m.text.w[1] < -0.01
+
+
+def test_all_unlabelled_documents_are_in_the_pool(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(cotraining, "_fit_rows", lambda rows, pool: got.append((rows, pool)))
+    docs = spark.range(0, 7000, 1, 5).selectExpr("nullif(id, 6999) doc_id", "concat('words of document ', id) text", "'en' lang", "'web' source", "20L n_chars")
+    labels = spark.range(40).selectExpr("id doc_id", "int(id % 2) quality")
+    cotraining.fit(docs, labels)
+    rows, pool = got[0]
+    yes = [cotraining.View(np.zeros(n), np.ones(n), np.zeros(n), 9.0) for n in (16, 65)]
+    text, meta = pool([yes], [None, None])
+    assert len(rows) == 40 and text[:, 0].tolist() == meta[:, 0].tolist() == [0, 6960]
+    every = docs.where("doc_id is null or doc_id >= 40").collect()
+    xs = np.array([cotraining.text_features(d.text) for d in every]), np.array([cotraining.meta_features(d.lang, d.source, d.n_chars) for d in every])
+    for a, b in zip(pool([yes], yes), cotraining.pool_sums(xs, [yes], yes, 0.9)):
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-3)
+
+
 def test_co_training_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (None, "x", "en", "s", 1), (1, "", "", "", 0)], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int")
