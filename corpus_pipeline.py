@@ -8,6 +8,8 @@ encodes what is left and checks the way back.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +34,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 100-byte strings; a character that lost a byte goes, n_chars is counted anew."""
+    """Texts without the bytes of repeated 100-byte strings; a character that lost a byte goes, n_chars is counted anew.
+
+    What stands before a removed run and what stands after it never make a character together.
+    """
     out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
     whole = F.size("spans") == 0
-    text = F.when(whole, F.col("text")).otherwise(F.decode(_whole_characters("kept"), "utf-8"))
+    text = F.when(whole, F.col("text")).otherwise(F.decode(_whole_characters("kept", F.col("spans")["start"], F.col("spans")["end"]), "utf-8"))
     out = out.withColumn("text", text)
     return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
 @F.pandas_udf(T.BinaryType())
-def _whole_characters(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore").encode())
+def _whole_characters(kept, starts, ends):
+    def one(b, s, e):
+        s, n = np.array(s, np.int64), np.array(e, np.int64) - np.array(s, np.int64)
+        cuts = (s - np.cumsum(n) + n).tolist()
+        return b"".join(bytes(b[i:j]).decode("utf-8", "ignore").encode() for i, j in zip([0, *cuts], [*cuts, len(b)]))
+
+    return pd.Series([one(*x) for x in zip(kept, starts, ends)], dtype=object)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,13 @@ def test_pipeline_stages(spark):
     assert last.count() == mixed.count() and last.where("not decodes").count() == 0
 
 
+def test_bytes_around_a_removed_run_do_not_fuse(spark):
+    same = " ".join(str(i) for i in range(60))
+    docs = spark.createDataFrame([(1, f"a é{same}ü", "x", "s", 9), (2, f"b ĩ{same}è c", "x", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, "").orderBy("doc_id").collect()
+    assert [r.text for r in out] == [f"a é{same}ü", "b  c"] and out[1].n_chars == 4
+
+
 def test_library_stands_without_this_part(monkeypatch):
     import __spark_entry__ as entry
 
