@@ -27,22 +27,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model, 0.5).where("toxic_predicted = 0").select(*COLUMNS)
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with doc_id a key of the row, and the document's own id as _id.
+
+    Where ids repeat or are null, rows are numbered in order of their ids (nulls
+    last), then texts: so each is a document of its own. Otherwise the id is the key.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_id", F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *[c for c in COLUMNS if c != "doc_id"])
+    return materialize(ordered.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
+
+
+def _own_ids(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("_id")).select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that links connect."""
+    """The document of smallest id of each group that links connect; a row is a document, also without an id or with another's."""
+    docs = _row_keys(docs)
     keep = ngram_join.ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    return _own_ids(docs.join(keep, "doc_id", "left_semi"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 100-byte strings; a character that lost a byte goes, n_chars is counted anew.
 
-    What stands before a removed run and what stands after it never make a character together.
+    What stands before a removed run and what stands after it never make a character together. Rows without an id or
+    with another's stay, as documents of their own.
     """
-    out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+    out = suffix_dedup.suffix_dedup(_row_keys(docs))
     whole = F.size("spans") == 0
     text = F.when(whole, F.col("text")).otherwise(F.decode(_whole_characters("kept", F.col("spans")["start"], F.col("spans")["end"]), "utf-8"))
     out = out.withColumn("text", text)
-    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+    return _own_ids(out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))))
 
 
 @F.pandas_udf(T.BinaryType())

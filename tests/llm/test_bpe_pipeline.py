@@ -109,6 +109,21 @@ def test_bytes_around_a_removed_run_do_not_fuse(spark):
     assert [r.text for r in out] == [f"a é{same}ü", "b  c"] and out[1].n_chars == 4
 
 
+def test_rows_without_ids_or_with_anothers_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    long = words(9)
+    given = [(1, words(1)), (1, words(2)), (2, words(3)), (2, words(3)), (None, words(4)), (None, words(5)), (None, words(1)), (3, long), (None, f"{long} {words(6)} {words(7)}"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    near = materialize(stages["ngram_join"](spark, docs, ""))
+    left = [(1, words(1)), (1, words(2)), (2, words(3)), (None, words(4)), (None, words(5)), (3, long), (None, f"{long} {words(6)} {words(7)}"), (None, None)]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.text) for r in near.collect()) == order(left)
+    cut = stages["suffix_dedup"](spark, near, "").collect()
+    want = [(d, f" {words(6)} {words(7)}" if t and t.startswith(f"{long} ") else t) for d, t in left]
+    assert order((r.doc_id, r.text) for r in cut) == order(want)
+
+
 def test_library_stands_without_this_part(monkeypatch):
     import __spark_entry__ as entry
 
