@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import is_short
+from palimpsest.functions.text import is_short, key_parts
 from palimpsest.functions.vectors import dot
 from palimpsest.operators.search import top
 
@@ -121,3 +122,26 @@ def weak_labels(rounds: DataFrame, expansions: DataFrame) -> DataFrame:
     """(query, label): a round's parent and the rounds it expanded, without itself, each once."""
     parent = rounds.where("parentId is not null and parentId <> ''").select(F.col("round_file").alias("query"), F.col("parentId").alias("label"))
     return parent.union(expansions.select("query", "label")).where("query <> label").distinct()
+
+
+def presented(entries: DataFrame, positions: int = 5) -> DataFrame:
+    """(session, shown, position, hash) of chains (session, shown, pos, round_file), one for each time `shown`: the newest entry is position 1."""
+    newest = F.row_number().over(W.partitionBy("session", "shown").orderBy(F.desc("pos")))
+    return entries.select("session", "shown", newest.alias("position"), F.nullif("round_file", F.lit("")).alias("hash")).where(F.col("position") <= positions)
+
+
+def read_positions(shown: DataFrame, reads: DataFrame, positions: int = 5) -> DataFrame:
+    """(position, presentedCount, readCount), zeros included, of `presented` rows and reads (session, shown, hash).
+
+    Every read counts at each position where its hash was presented at that time.
+    """
+    n = reads.groupBy("session", "shown", "hash").agg(F.count(F.lit(1)).alias("_n"))
+    met = shown.where("hash is not null").join(n, ["session", "shown", "hash"], "left")
+    by = met.groupBy("position").agg(F.count(F.lit(1)).alias("presentedCount"), F.coalesce(F.sum("_n"), F.lit(0)).alias("readCount"))
+    every = shown.sparkSession.range(1, positions + 1).select(F.col("id").cast("int").alias("position"))
+    return every.join(by, "position", "left").fillna(0)
+
+
+def indexed_rounds(index: DataFrame) -> DataFrame:
+    """One row: how many rounds an index (key: the round's file with a row's suffix) holds, each once."""
+    return index.agg(F.count_distinct(key_parts(F.col("key"))[0]).alias("n_rounds"))

@@ -285,3 +285,16 @@ def test_backlog(spark):
     b = maintain.record_backlog(b, "s", spark.createDataFrame([("new", 2, ["b"])], "shard string, n_rows long, rounds array<string>"), "t1")
     assert sorted((r.script, r.shard) for r in b.collect()) == [("other", "x"), ("s", "new")]
     assert [r.shard for r in maintain.clear_backlog(b, "s", ["new"]).collect()] == ["x"]
+
+
+def test_reads_meet_what_was_presented(spark):
+    chains = [("s", 1, i, f"r{i}") for i in range(7)] + [("s", 2, 0, "r6"), ("s", 2, 1, ""), ("t", 1, 0, "r6")]
+    shown = evaluate.presented(spark.createDataFrame(chains, "session string, shown int, pos int, round_file string"))
+    reads = [("s", 1, "r6"), ("s", 1, "r6"), ("s", 1, "r0"), ("s", 2, "r6"), ("t", 1, "r5"), ("t", 1, None)]
+    got = evaluate.read_positions(shown, spark.createDataFrame(reads, "session string, shown int, hash string")).orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 2), (2, 2, 1), (3, 1, 0), (4, 1, 0), (5, 1, 0)]
+
+
+def test_indexed_rounds_count_once(spark):
+    keys = spark.createDataFrame([("a.json:prompt",), ("a.json:response",), ("b.json:prompt",)], "key string")
+    assert evaluate.indexed_rounds(keys).first()[0] == 2
