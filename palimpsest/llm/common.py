@@ -71,6 +71,18 @@ def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """Spark's estimate of what `df` takes, from the sizes of its files; None where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 56 else None
+
+
+def sized_buckets(df: DataFrame, per_bytes: int) -> int:
+    """Groups to deal what `df` holds into: one for each `per_bytes`, and at least one for each shuffle partition."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(stored_bytes(df) or 0) // per_bytes))
+
+
 def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows with null keys dropped and each key once.
 

@@ -3,7 +3,8 @@
 One pass over the texts deals each document's distinct shingles to buckets of
 shingles, which count documents and answer those that share a shingle. A document
 whose rare-first prefix is unshared needs nothing more. The others' prefixes are
-joined; candidates are verified on their shared shingles, once for each pair, and
+joined in rounds, the entries of a shingle with a few leaders among them; what
+passes the filters is verified on its shared shingles, once for each pair, and
 pairs that verified links have connected already are not candidates any more.
 """
 
@@ -11,13 +12,14 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, narrow, one_row_per_id, pack, release, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, unpack
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.suffix_dedup import _BYTE, _power
 
@@ -27,7 +29,9 @@ HASH_BITS = 56
 FLUSH = 1_200_000  # shingles that a task holds before it sends them
 HOT_HERE = 4096  # documents of a task that share a shingle, beyond which the shingle counts as saturated everywhere
 SATURATED = (1 << 31) - 1
-STAR_ROUNDS = 2  # after so many rounds of leaders, all candidates that are left are paired
+GROWTH = 4  # a round has so many times the leaders of the round before
+BINS = 16  # equal parts of the hash space that the suffix filter counts
+BUCKET_BYTES = 8 << 20  # of stored text, whose shingles a task holds at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,7 +91,7 @@ def shingle_hashes(x: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[
 
 
 _BLOBS = "bucket long, kind int, data binary"
-SHINGLES, DOCS, SHARED = 0, 1, 2
+SHINGLES, DOCS, SHARED, MARKS = 0, 1, 2, 3
 
 
 def _rows(kind: int, bucket: np.ndarray, cols: list[np.ndarray], out: list, sort: np.ndarray | None = None) -> None:
@@ -123,15 +127,15 @@ def _send(docs: list[tuple], shingles: list[tuple], buckets: int, chunks: int, h
     doc, h = doc[o], h[o]
     begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
     size = np.diff(np.r_[begin, len(h)])
+    # equal shares of the hash space: the order by hash is the order by bucket
+    bucket = lambda h: ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     if (size > hot_here).any():
         hot = np.repeat(size > hot_here, size)
         _rows(SHARED, buckets + doc[hot] % chunks, [doc[hot], h[hot], np.full(hot.sum(), SATURATED, np.int64)], out)
         mark = h[begin[size > hot_here]]
-        doc, h = np.r_[doc[~hot], np.full(2 * len(mark), -1)], np.r_[h[~hot], mark, mark]
-        o = np.argsort(h, kind="stable")
-        doc, h = doc[o], h[o]
-    # equal shares of the hash space: the order by hash is the order by bucket
-    _rows(SHINGLES, ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), [h, doc], out, np.arange(len(h)))
+        _rows(MARKS, bucket(mark), [mark], out)
+        doc, h = doc[~hot], h[~hot]
+    _rows(SHINGLES, bucket(h), [h, doc], out, np.arange(len(h)))
     return out
 
 
@@ -167,11 +171,13 @@ def _answer(buckets: int, chunks: int):
     """Each document that shares a shingle learns of it and of how many documents have it."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, got = [], []
+        out, got, marks = [], [], [np.zeros(0, np.uint64)]
         for bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "data"))):
             if kind == SHINGLES:
                 d, doc, low = unpack(data)
                 got.append((np.cumsum(d), doc + low))
+            elif kind == MARKS:
+                marks += unpack(data)
             else:
                 out.append((bucket, kind, data))
         if got:
@@ -180,9 +186,9 @@ def _answer(buckets: int, chunks: int):
             h, doc = h[o], doc[o]
             begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
             size = np.diff(np.r_[begin, len(h)])
-            df = np.where(np.bitwise_or.reduceat(doc < 0, begin) if len(begin) else [], SATURATED, size)
-            shared = np.repeat(size > 1, size) & (doc >= 0)
-            df = np.repeat(df, size)[shared]
+            marked = np.isin(h[begin], np.concatenate(marks))
+            shared = np.repeat((size > 1) | marked, size)
+            df = np.repeat(np.where(marked, SATURATED, size), size)[shared]
             doc, h = doc[shared], h[shared]
             _rows(SHARED, buckets + doc % chunks, [doc, h, df.astype(np.int64)], out)
         if not out:
@@ -192,7 +198,7 @@ def _answer(buckets: int, chunks: int):
     return run
 
 
-_SETS = "doc_id long, n long, sig1 long, sig2 long, unshared long, prefix int, shared array<long>"
+_SETS = "doc_id long, n long, sig1 long, sig2 long, unshared long, prefix int, shared array<long>, bins array<int>"
 
 
 def prefix_length(n: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
@@ -221,15 +227,23 @@ def _assemble(threshold: Fraction):
         size = b - a
         at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h[at].astype(np.int64)))
-        return pa.table({"doc_id": ids, "n": n, "sig1": sig1, "sig2": sig2, "unshared": unshared, "prefix": np.where(live, prefix, 0).astype(np.int32), "shared": lists})
+        row = np.repeat(np.cumsum(live) - 1, size)
+        bins = np.bincount(row * BINS + (h[at] >> np.uint64(HASH_BITS - 4)).astype(np.int64), minlength=int(live.sum()) * BINS).astype(np.int32)
+        bins = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(live * BINS)].astype(np.int32)), pa.array(bins))
+        return pa.table({"doc_id": ids, "n": n, "sig1": sig1, "sig2": sig2, "unshared": unshared, "prefix": np.where(live, prefix, 0).astype(np.int32), "shared": lists, "bins": bins})
 
     return run
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE) -> DataFrame:
-    """doc_id, n, sig1, sig2, unshared, prefix, shared for each document; see _assemble."""
-    # a bucket of shingles answers each chunk of documents in one row, so these numbers multiply
-    buckets, chunks = n_buckets(docs.sparkSession, 2), n_buckets(docs.sparkSession, 1)
+    """doc_id, n, sig1, sig2, unshared, prefix, shared, bins for each document; see _assemble.
+
+    The numbers of buckets and chunks follow the stored size of the texts. A bucket
+    answers a chunk in one row, if it has anything to say: so there are never more
+    such rows than occurrences of shared shingles.
+    """
+    buckets = sized_buckets(docs, BUCKET_BYTES)
+    chunks = -(-buckets // 2)
     blobs = docs.select("doc_id", "text").mapInArrow(_find_shingles(words, buckets, chunks, hot_here), _BLOBS)
     answered = blobs.groupBy("bucket").applyInArrow(_answer(buckets, chunks), _BLOBS)
     return answered.groupBy("bucket").applyInArrow(_assemble(threshold), _SETS)
@@ -252,20 +266,16 @@ def _verify_bucket(threshold: Fraction):
         flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
         links = []
         order = np.lexsort((doc != lead, salt, lead))  # a leader before its partners
-        own = bins = None
+        own = None
         for i in order:
             s = np.sort(flat[off[i] : off[i + 1]])
-            hist = np.bincount(s >> (HASH_BITS - 6), minlength=64)
             if doc[i] == lead[i]:
-                own, bins, size = s, hist, int(n[i])
-                continue
-            total = size + int(n[i])
-            if (p + q) * int(np.minimum(hist, bins).sum()) < p * total:  # suffix filter: what equal parts of the hash space can share
+                own, size = s, int(n[i])
                 continue
             at = np.searchsorted(own, s)
             at[at == len(own)] = 0
             both = int((own[at] == s).sum()) if len(own) else 0
-            if q * both >= p * (total - both):
+            if q * both >= p * (size + int(n[i]) - both):
                 links.append((lead[i], doc[i]))
         u, v = zip(*links) if links else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -290,77 +300,77 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESH
     return narrow(dealt_sets.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long"), rows + size, 4000)
 
 
-def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, rounds: int = STAR_ROUNDS) -> DataFrame:
+def _suffixes_allow(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows: int) -> DataFrame:
+    """Suffix filter: pairs whose sets can share enough, by what each part of the hash space holds of either."""
+    p, q = threshold.numerator, threshold.denominator
+    for key, n, bins in (("u", "n", "x"), ("v", "m", "y")):
+        slim = sets.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("bins").alias(bins))
+        pairs = narrow(pairs.join(slim, key), rows)
+    most = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    return pairs.where((p + q) * most >= p * (F.col("n") + F.col("m"))).select("u", "v")
+
+
+def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growth: int = GROWTH) -> DataFrame:
     """(node, component) over the given sets, one document of each class of equal sets.
 
-    In a round, the entries of a prefix shingle pair with one leader. Then pairs
-    within a component are settled; the next round has other leaders. When few
-    candidates are left, or after `rounds`, all that are left are paired, so no
-    link between components is missed.
+    A round pairs the entries of each prefix shingle with its leaders: the first in
+    an order of documents that is the same for all shingles, one in the first round,
+    `growth` times as many in each that follows. Then leaders have met all others of
+    their shingle and leave it; shingles whose entries one component holds are
+    settled. Rounds go on until none is left, so no link between components is
+    missed, and are logarithmic in the largest number of entries of a shingle.
 
-    What is counted for a shingle or a leader is written before it is joined back:
-    a join of two written tables lets Spark split the rows of a hot key.
+    What is counted for a shingle is written before it is joined back: a join of
+    two written tables lets Spark split the rows of a hot key.
     """
     entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
-    entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"))
+    order = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"), order.alias("order"))
     size, total = sets.count(), entries.count()
-    met = materialize(narrow(entries.groupBy("h").count().where("count > 1").select("h"), total))
-    entries = materialize(narrow(entries.join(met, "h"), total))
-    total = entries.count()
     tried, labels = [], None
-    for r in range(rounds + 1):
+    for r in count():
         rest = entries.withColumn("component", F.col("doc_id"))
         if labels is not None:
-            rest = entries.join(labels, entries["doc_id"] == labels["node"], "left").select("h", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"))
-            rest = materialize(narrow(rest, total))
-            mixed = rest.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
-            rest = materialize(narrow(rest.join(materialize(narrow(mixed, total)), "h"), total))
-            total = rest.count()
-            if not total:
-                break
-        by = narrow(rest.groupBy("h", "component").count(), total).groupBy("h").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        crossing = narrow(by, total).agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
-        everything = r == rounds or crossing <= 16 * total
-        if everything:
-            other = rest
-        else:
-            key = F.col("doc_id") if r == 0 else F.xxhash64("doc_id", F.lit(r))
-            other = rest.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "pos", "component"), key).alias("lead")).select("h", "lead.*")
-            other = materialize(narrow(other, total))
-        other = other.select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
-        met = rest.join(other, "h").where(F.col("component") != F.col("theirs")).where(_possible(threshold))
-        if everything:
-            pairs = met.where("u < doc_id").select("u", F.col("doc_id").alias("v"))
-        else:
-            pairs = met.select("u", F.col("doc_id").alias("v"))
-        pairs = narrow(narrow(pairs, int(total + crossing) if everything else total).distinct(), total)
+            rest = entries.join(labels, entries["doc_id"] == labels["node"], "left").select(*entries.columns, F.coalesce("component", "doc_id").alias("component"))
+            rest = narrow(rest, total)
+        groups = rest.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("order").alias("low"))
+        last = F.col("low") + (growth**r - 1) * (1 - F.col("low")) / F.col("c")
+        groups = materialize(narrow(groups.where("a <> b").select("h", last.alias("last")), total))
+        rest = rest.join(groups, "h").withColumn("leads", F.col("order") <= F.col("last")).drop("last")
+        rest = materialize(narrow(rest, total))
+        total = rest.count()
+        if not total:
+            break
+        leaders = rest.where("leads").select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
+        met = rest.join(leaders, "h").where(F.col("component") != F.col("theirs")).where(_possible(threshold))
+        # a pair can meet at several shingles, and two leaders from either side
+        pairs = met.groupBy(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).agg(F.min("u").alias("u"))
+        pairs = narrow(pairs, total)
         if tried:
-            old = reduce(DataFrame.union, tried)
-            old = old.union(old.select("v", "u"))
-            pairs = narrow(pairs.join(old, ["u", "v"], "left_anti"), total)
-        pairs = materialize(pairs)
+            pairs = narrow(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), total)
+        pairs = pairs.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
+        pairs = materialize(_suffixes_allow(pairs, sets, threshold, total))
         if n := pairs.count():
-            tried.append(pairs)
+            tried.append(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
             links = verify_pairs(pairs, sets, threshold, rows=n, size=size)
             if labels is not None:  # what is connected already stands for its links
                 links = links.union(labels.where("node <> component").select("node", "component"))
             labels = connected_components(links, n + (labels.count() if labels is not None else 0))
-        if everything:
-            break
+        entries = rest.where("not leads").select("h", "doc_id", "n", "pos", "order")
     if labels is None:
         return sets.sparkSession.createDataFrame([], "node long, component long")
     return labels
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE, rounds: int = STAR_ROUNDS) -> DataFrame:
+def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE, growth: int = GROWTH) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links, itself included.
 
     Words are runs of bytes other than space, tab and line breaks, with A-Z
     lower-cased; a document's set is its distinct runs of `words` words. Two
     documents link when their sets' Jaccard similarity reaches the threshold.
     Documents without words, null and empty texts are linked with nothing. Ids are
-    integers, rows without one are left out, of repeated ids one row counts (see
-    one_row_per_id). Other columns are ignored. Sets are compared by 56-bit hashes
+    integers of any sign, rows without one are left out, of repeated ids one row
+    counts (see one_row_per_id). Other columns are ignored. Sets are compared by 56-bit hashes
     of their shingles.
     """
     docs = one_row_per_id(docs.select("doc_id", "text"))
@@ -368,7 +378,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESH
     classes = sets.where("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
     leads = classes.select("lead")
     live = materialize(sets.where("prefix > 0").join(leads, F.col("doc_id") == F.col("lead"), "left_semi"))
-    labels = links_and_components(live, threshold, rounds)
+    labels = links_and_components(live, threshold, growth)
     several = classes.where("copies > 1").select("sig1", "sig2", "lead")
     several = materialize(narrow(several, sets.count()))  # apart, so that the copies of a hot document can be split
     found = sets.select("doc_id", "n", "sig1", "sig2").join(several, ["sig1", "sig2"], "left")

@@ -154,6 +154,17 @@ cut as (select g.doc_id, sum(b - a) removed, count(*) n,
     from gaps g join bytes using (doc_id) group by g.doc_id)
 select doc_id, length(h) // 2 n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256
 from bytes left join cut using (doc_id)
+""",
+    "op2_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') l from documents),
+s as (select distinct doc_id, array_to_string(l[i:i + 4], ' ') g from (select doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) i from w where len(l) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id u, b.doc_id v, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
+edges as (select u, v from links union all select v, u from links),
+reach(node, other) as (select doc_id, doc_id from documents union select node, v from reach join edges on u = other)
+select doc_id, coalesce(n, 0) n_shingles, component_id
+from (select node doc_id, min(other) component_id from reach group by node) left join n using (doc_id)
 """,
     "op8_chat_format": f"""
 with rows as (

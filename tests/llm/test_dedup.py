@@ -107,14 +107,37 @@ def near_docs(seed=3, n=300):
     return docs
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_here": 2}, {"rounds": 0}, {"rounds": 1, "hot_here": 5}])
+@pytest.mark.parametrize("how", [{}, {"hot_here": 2}, {"growth": 2}, {"growth": 1000, "hot_here": 5}])
 def test_ngram_join(spark, how):
-    """Also with saturated shingles, and with leaders in one round or none: results do not change."""
+    """Also with saturated shingles, and with more rounds, or with all entries as leaders in the second: results do not change."""
     docs = near_docs()
     df = spark.createDataFrame(docs, DOCS).repartition(3)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(df, **how).collect()} == brute.ngram_join(docs)
 
 
+@pytest.mark.parametrize("hot_here", [2, ngram_join.HOT_HERE])
+def test_ngram_join_with_negative_ids(spark, hot_here):
+    docs = [(d - 250, t) for d, t in near_docs(4)]
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(df, hot_here=hot_here).collect()}
+    assert got == brute.ngram_join(docs) and any(c < 0 < d for d, (_, c) in got.items())
+
+
+def test_ngram_join_of_one_large_group(spark):
+    """Near-copies of one text, of which many link with few others only: chains and stars of links are found whole."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(260):
+        w = list(base)
+        for j in r.sample(range(120), r.choice([1, 2, 3, 4, 6])):
+            w[j] = f"x{r.randint(0, 40)}"
+        docs.append((i - 100, " ".join(w)))
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(df).collect()}
+    assert got == brute.ngram_join(docs) and len({c for _, c in got.values()}) > 1
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], DOCS)).count() == 0
     text = "one two three four five six"
