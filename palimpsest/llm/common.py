@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_with(df: DataFrame, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """materialize, and aggregates of the rows as they are written. A task that ran again may count twice, so they serve for sizes and signs of change."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[m.alias(str(i)) for i, m in enumerate(metrics)]))
+    return out, tuple(seen.get[str(i)] for i in range(len(metrics)))
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    out, (n,) = materialize_with(df, F.count(F.lit(1)))
+    return out, n
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete what materialize wrote in this session, once the results that read it are stored."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, narrow
+from palimpsest.llm.common import materialize, materialize_with, narrow
 
 
 def _large_star(e: DataFrame, rows: int) -> DataFrame:
@@ -22,8 +22,9 @@ def _small_star(e: DataFrame, rows: int) -> DataFrame:
     return narrow(low.select("u", F.col("m").alias("v")).union(hooked), rows)
 
 
-def _state(e: DataFrame):
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """`e` in the shared folder, its number of edges, and a sum over them that shows whether it changed."""
+    return materialize_with(e, F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
 
 def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -36,12 +37,10 @@ def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame
     """
     rows = edges.count() if rows is None else rows
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialize(narrow(e, rows))
-    state = _state(e)
+    e, state = _written(narrow(e, rows))
     while state[0]:
         large = materialize(_large_star(e, 2 * state[0]))
-        e = materialize(narrow(_small_star(large, 2 * state[0]).distinct(), state[0]))
-        new = _state(e)
+        e, new = _written(narrow(_small_star(large, 2 * state[0]).distinct(), state[0]))
         if new == state:
             break
         state = new

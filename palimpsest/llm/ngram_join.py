@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, unpack
+from palimpsest.llm.common import batches, materialize, materialize_counted, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, unpack
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.suffix_dedup import _BYTE, _power
 
@@ -29,9 +29,9 @@ HASH_BITS = 56
 FLUSH = 1_200_000  # shingles that a task holds before it sends them
 HOT_HERE = 4096  # documents of a task that share a shingle, beyond which the shingle counts as saturated everywhere
 SATURATED = (1 << 31) - 1
-GROWTH = 4  # a round has so many times the leaders of the round before
+GROWTH = 8  # a round has so many times the leaders of the round before
 BINS = 16  # equal parts of the hash space that the suffix filter counts
-BUCKET_BYTES = 8 << 20  # of stored text, whose shingles a task holds at a time
+BUCKET_BYTES = 5 << 20  # of stored text, whose shingles a task holds at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -243,7 +243,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRE
     such rows than occurrences of shared shingles.
     """
     buckets = sized_buckets(docs, BUCKET_BYTES)
-    chunks = -(-buckets // 2)
+    chunks = buckets
     blobs = docs.select("doc_id", "text").mapInArrow(_find_shingles(words, buckets, chunks, hot_here), _BLOBS)
     answered = blobs.groupBy("bucket").applyInArrow(_answer(buckets, chunks), _BLOBS)
     return answered.groupBy("bucket").applyInArrow(_assemble(threshold), _SETS)
@@ -326,7 +326,7 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
     entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
     order = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"), order.alias("order"))
-    size, total = sets.count(), entries.count()
+    size, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
     tried, labels = [], None
     for r in count():
         rest = entries.withColumn("component", F.col("doc_id"))
@@ -337,8 +337,7 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
         last = F.col("low") + (growth**r - 1) * (1 - F.col("low")) / F.col("c")
         groups = materialize(narrow(groups.where("a <> b").select("h", last.alias("last")), total))
         rest = rest.join(groups, "h").withColumn("leads", F.col("order") <= F.col("last")).drop("last")
-        rest = materialize(narrow(rest, total))
-        total = rest.count()
+        rest, total = materialize_counted(narrow(rest, total))
         if not total:
             break
         leaders = rest.where("leads").select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
@@ -349,13 +348,13 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
         if tried:
             pairs = narrow(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), total)
         pairs = pairs.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
-        pairs = materialize(_suffixes_allow(pairs, sets, threshold, total))
-        if n := pairs.count():
+        pairs, n = materialize_counted(_suffixes_allow(pairs, sets, threshold, total))
+        if n:
             tried.append(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
             links = verify_pairs(pairs, sets, threshold, rows=n, size=size)
             if labels is not None:  # what is connected already stands for its links
                 links = links.union(labels.where("node <> component").select("node", "component"))
-            labels = connected_components(links, n + (labels.count() if labels is not None else 0))
+            labels = connected_components(links, n + size)
         entries = rest.where("not leads").select("h", "doc_id", "n", "pos", "order")
     if labels is None:
         return sets.sparkSession.createDataFrame([], "node long, component long")
