@@ -1,8 +1,16 @@
-"""Byte-level BPE: recursive DuckDB queries merge the distinct words of a partition; ordered aggregation decodes."""
+"""Byte-level BPE: recursive DuckDB queries merge the distinct words of a partition; ordered aggregation decodes.
+
+A word of more than PIECE bytes is merged in overlapping pieces of it. Merging the
+bytes of neighbouring tokens alone gives these tokens again, as no merge crossed
+their borders; and a sequence of which that holds for all neighbours is the one
+that merging the whole gives. So two pieces that have a token in common, at the
+same place, join at it: the tokens up to it come from one, those after from the other.
+"""
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Generator
 from functools import lru_cache
 
 import duckdb
@@ -15,17 +23,17 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import release
 
-#: Words of more bytes take the query that contracts every occurrence of the minimum-rank pair at once.
-LONG_WORD = 64
-#: Encoded words a task keeps; beyond, it starts anew.
-CACHE_WORDS = 600_000
-#: Characters of text that are split into words at a time, and words that one query merges.
-SLICE_CHARS, QUERY_WORDS = 3_000_000, 100_000
+#: Bytes of a piece of a word, and what neighbouring pieces share at least.
+PIECE, OVERLAP = 32, 12
+#: Bytes of encoded words that a task keeps, with what Python adds to each; beyond, it starts anew.
+CACHE_BYTES, WORD_BYTES = 80 << 20, 160
+#: Characters of text that are split into words at a time, and bytes of words that one query merges.
+SLICE_CHARS, QUERY_BYTES = 1_500_000, 400_000
 
 
 @lru_cache(maxsize=2)
-def read_ranks(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table, np.ndarray]:
-    """(ranks, tokens (id, piece in hex), merges (ab, c), the id of each byte) of a rank file."""
+def read_ranks(path: str) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """Tokens (id, piece in hex), merges (ab, c), the id of each byte and the length of each token, of a rank file."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     pairs, whole = [], []
@@ -36,17 +44,56 @@ def read_ranks(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table, np.ndar
                 pairs.append(a << 32 | b), whole.append(rank)
     token = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array([k.hex() for k in ranks], pa.string())})
     merges = pa.table({"ab": pa.array(pairs, pa.int64()), "c": pa.array(whole, pa.int32())})
-    return ranks, token, merges, np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+    size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    size[list(ranks.values())] = [len(k) for k in ranks]
+    return token, merges, np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32), size
+
+
+Tokens = list[tuple[int, int, int]]  # (start, end, id) in a word
+
+
+def join_pieces(word: bytes) -> Generator[tuple[int, int], Tokens, Tokens]:
+    """The tokens of a word; asks for those of its pieces (start, end) and is sent them.
+
+    Pieces lie on a grid, so that those of a word can be merged together. Where
+    neighbours have no token in common, a piece from a border of tokens stands
+    between them; if that has none either, the piece is read on to twice its length.
+    """
+    start, end = 0, min(PIECE, len(word))
+    here = yield start, end
+    out: Tokens = []
+    step = PIECE - OVERLAP
+    while end < len(word):
+        grid = (end - OVERLAP) // step * step
+        border = max((a for a, _, _ in here if a <= end - OVERLAP), default=start)
+        for at in (grid, border):
+            if at <= start:
+                continue
+            stop = min(at + PIECE, len(word))
+            if stop <= end:
+                continue
+            there = yield at, stop
+            both = min(set(here) & set(there), default=None)
+            if both:
+                out += [t for t in here if t < both]
+                here, start, end = [t for t in there if t >= both], at, stop
+                break
+        else:
+            first = here[0][0]  # what is before is settled
+            start, end = first, min(first + 2 * (end - first), len(word))
+            here = yield start, end
+    return out + here
 
 
 class BpeTable:
-    """Ranks of a rank file, its merge table in an in-memory DuckDB of one thread, and a cache of encoded words."""
+    """Ranks of a rank file and their merge table in an in-memory DuckDB of one thread, and a cache of encoded words."""
 
     def __init__(self, path: str, pattern: str):
         self.words = regex.compile(pattern)
-        self.ranks, token, merges, self.byte_id = read_ranks(path)
+        token, merges, self.byte_id, self.size = read_ranks(path)
         self.cache: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.held = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         for name, rows in (("token", token), ("merges", merges)):
             self.db.register("rows_arrow", rows)
             self.db.execute(f"create table {name} as from rows_arrow").fetchall()
@@ -56,42 +103,70 @@ class BpeTable:
         self.cache.clear()
         self.db.close()
 
-    def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        for query, chosen in ((_SHORT, [i for i, w in enumerate(words) if len(w) <= LONG_WORD]), (_LONG, [i for i, w in enumerate(words) if len(w) > LONG_WORD])):
-            if not chosen:
-                continue
-            lengths = np.array([len(words[i]) for i in chosen])
-            data = np.frombuffer(b"".join(words[i] for i in chosen), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rows = pa.table({"w": np.repeat(np.arange(len(chosen), dtype=np.int32), lengths), "p": pos.astype(np.int32), "t": self.byte_id[data]})
-            self.db.register("bytes_arrow", rows)
-            got = self.db.execute(query).fetchnumpy()
+    def _merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece, by the recursive query; pieces of like length go together."""
+        pieces, out, first = sorted(pieces, key=len), {}, 0
+        lengths = np.array([len(x) for x in pieces])
+        reach = np.cumsum(lengths)
+        while first < len(pieces):
+            last = max(first + 1, int(np.searchsorted(reach, reach[first] - lengths[first] + QUERY_BYTES, "right")))
+            n = lengths[first:last]
+            data = np.frombuffer(b"".join(pieces[first:last]), np.uint8)
+            pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
+            self.db.register("bytes_arrow", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": pos.astype(np.int32), "t": self.byte_id[data]}))
+            got = self.db.execute(_MERGE).fetchnumpy()
             self.db.unregister("bytes_arrow")
-            w, t = np.asarray(got["w"]), np.asarray(got["t"]).astype("<u4")
-            ends = np.searchsorted(w, np.arange(len(chosen) + 1))
-            raw = t.tobytes()
-            for k, i in enumerate(chosen):
-                out[i] = raw[4 * ends[k] : 4 * ends[k + 1]]
+            raw = np.asarray(got["t"]).astype("<u4").tobytes()
+            ends = (4 * np.searchsorted(np.asarray(got["w"]), np.arange(len(n) + 1))).tolist()
+            out.update((x, raw[a:b]) for x, a, b in zip(pieces[first:last], ends, ends[1:]))
+            first = last
         return out
 
+    def _tokens(self, at: int, ids: bytes) -> Tokens:
+        t = np.frombuffer(ids, "<u4").astype(np.int64)
+        ends = at + np.cumsum(self.size[t])
+        return list(zip((ends - self.size[t]).tolist(), ends.tolist(), t.tolist()))
+
+    def _whole_tokens(self, words: list[bytes]) -> dict[bytes, int]:
+        """Words that are tokens themselves."""
+        self.db.register("words_arrow", pa.table({"piece": pa.array([w.hex() for w in words], pa.string())}))
+        got = self.db.execute("select piece, id from words_arrow join token using (piece)").fetchall()
+        self.db.unregister("words_arrow")
+        return {bytes.fromhex(p): t for p, t in got}
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers. As in the library, a word that is a token is that token."""
+        done = {w: t.to_bytes(4, "little") for w, t in self._whole_tokens(words).items()}
+        rest = [w for w in words if w not in done]
+        long = [w for w in rest if len(w) > PIECE]
+        grid = (w[i : i + PIECE] for w in long for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP))
+        merged = self._merge(list({w for w in rest if len(w) <= PIECE}.union(grid)))
+        done.update((w, merged[w]) for w in rest if len(w) <= PIECE)
+        waiting = [(w, walk, next(walk)) for w in set(long) for walk in [join_pieces(w)]]
+        while waiting:
+            asked, waiting = waiting, []
+            for w, walk, (a, b) in asked:
+                try:
+                    while (ids := merged.get(w[a:b])) is not None:
+                        a, b = walk.send(self._tokens(a, ids))
+                    waiting.append((w, walk, (a, b)))
+                except StopIteration as end:
+                    done[w] = np.array([t for _, _, t in end.value], "<u4").tobytes()
+            if waiting:
+                merged |= self._merge(list({w[a:b] for w, _, (a, b) in waiting}))
+        return [done[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; words not met before are merged together, one query for all."""
-        if len(self.cache) > CACHE_WORDS:
+        """Ids of each text; words not met before are merged together."""
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         split = [self.words.findall(t) for t in texts]
         fresh = list(set().union(*split).difference(self.cache)) if split else []
-        todo = []
-        for w in fresh:
-            rank = self.ranks.get(w.encode())
-            if rank is None:
-                todo.append(w)
-            else:
-                self.cache[w] = rank.to_bytes(4, "little")
-        for i in range(0, len(todo), QUERY_WORDS):
-            part = todo[i : i + QUERY_WORDS]
-            self.cache.update(zip(part, self.merge_words([w.encode() for w in part])))
+        if fresh:
+            ids = self.merge_words([w.encode() for w in fresh])
+            self.cache.update(zip(fresh, ids))
+            self.held += sum(map(len, fresh)) + sum(map(len, ids)) + WORD_BYTES * len(fresh)
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -99,61 +174,33 @@ class BpeTable:
         """Bytes of each id sequence, by an ordered aggregation over its token rows."""
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        out, first = [], 0
-        while first < len(ids):
-            last = max(first + 1, int(np.searchsorted(np.cumsum(lengths[first:]), 1_000_000, "right")) + first)
-            n = lengths[first:last]
-            lo = int(lengths[:first].sum())
-            rows = pa.table({"d": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(int(n.sum()), dtype=np.int32), "t": flat[lo : lo + int(n.sum())]})
-            self.db.register("ids_arrow", rows)
-            got = dict(self.db.execute(_DECODE).fetchall())
-            self.db.unregister("ids_arrow")
-            out += [bytes.fromhex(got.get(k, "")) for k in range(len(n))]
-            first = last
-        return out
+        rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "p": np.arange(len(flat), dtype=np.int32), "t": flat})
+        self.db.register("ids_arrow", rows)
+        got = dict(self.db.execute(_DECODE).fetchall())
+        self.db.unregister("ids_arrow")
+        return [bytes.fromhex(got.get(k, "")) for k in range(len(ids))]
 
 
-#: Sorted once for all texts; on one thread the aggregate takes its rows in that order.
-_DECODE = "select d, string_agg(piece, '') from (select d, piece from ids_arrow join token on t = id order by p) group by d"
-#: One round contracts the leftmost pair of least rank of every word that still has a pair in the merge table.
-_SHORT = """
+_DECODE = "select d, string_agg(piece, '' order by p) from ids_arrow join token on t = id group by d"
+#: A row is a token at k = piece << 32 | position. One round contracts the leftmost pair of least rank of every piece that
+#: still has a pair in the merge table: the least of (merged token, position, length of the pair's first token) in one number.
+_MERGE = """
 with recursive state as (
-    select w, p, t, false done from bytes_arrow
+    select (w::bigint << 32) | p k, t, false done from bytes_arrow
     union all
     (with pair as (
-        select w, p, t, lead(t) over o n, lag(p) over o q from state where not done window o as (partition by w order by p)
+        select k, t, lead(t) over o n, lead(k) over o next from state where not done window o as (order by k)
     ), ranked as (
-        select w, p, t, q, (c::bigint << 32) | p cp from pair left join merges on ab = (t::bigint << 32) | n
-    ), best as (
-        select w, min(cp) least from ranked group by w
-    )
-    select w, p, case when least & 4294967295 = p then (least >> 32)::int else t end t, least is null done
-    from ranked join best using (w)
-    where least is null or q is null or q <> least & 4294967295)
-)
-select w, t from state where done order by w, p
-"""
-#: The same for long words, but each round contracts all occurrences of the least pair, left to right without overlap.
-_LONG = """
-with recursive state as (
-    select w, p, t, false done from bytes_arrow
-    union all
-    (with pair as (
-        select w, p, t, c, row_number() over (partition by w order by p) k
-        from (select w, p, t, lead(t) over (partition by w order by p) n from state where not done) s
-        left join merges on ab = (t::bigint << 32) | n
+        select k, t, (c::bigint << 42) | ((k & 4294967295) << 10) | (next - k) pick
+        from pair left join merges on ab = ((t::bigint << 32) | n) and (next >> 32) = (k >> 32)
     ), best as (
-        select *, min(c) over (partition by w) least from pair
-    ), run as (
-        select *, k - row_number() over (partition by w, coalesce(c = least, false) order by p) g from best
-    ), pick as (
-        select *, coalesce(c = least, false) and row_number() over (partition by w, coalesce(c = least, false), g order by p) % 2 = 1 hit from run
+        select k >> 32 w, min(pick) least from ranked group by all
     )
-    select w, p, case when hit then least else t end t, least is null done
-    from (select *, lag(hit) over (partition by w order by p) gone from pick)
-    where not coalesce(gone, false))
+    select k, case when ((least >> 10) & 4294967295) = (k & 4294967295) then (least >> 42)::int else t end t, least is null done
+    from ranked join best on w = (k >> 32)
+    where least is null or (k & 4294967295) <> ((least >> 10) & 4294967295) + (least & 1023))
 )
-select w, t from state where done order by w, p
+select (k >> 32)::int w, t from state where done order by k
 """
 
 

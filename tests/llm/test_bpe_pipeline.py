@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import importlib
 import random
 import sys
@@ -49,7 +50,29 @@ def test_any_text(reference, texts):
 def test_long_words_and_special_strings(reference):
     r = random.Random(1)
     words = ["".join(r.choice(a) for _ in range(r.randint(60, 2500))) for a in ("abcdeé", "etaoin", "=-", "aab") for _ in range(4)]
-    check([*words, "a" * 50_000, "<|endoftext|> x\n\n  y", "", " ", "🙂" * 40], reference)
+    check([*words, "a" * 50_000, "aab" * 9000, "<|endoftext|> x\n\n  y", "", " ", "🙂" * 40], reference)
+
+
+@pytest.mark.parametrize("piece, overlap", [(6, 2), (8, 1), (40, 30)])
+def test_pieces_that_seldom_join(monkeypatch, reference, piece, overlap):
+    """Small overlaps make neighbours without a common token, which other pieces then connect."""
+    asked, real = [], bpe.BpeTable._merge
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    monkeypatch.setattr(bpe, "OVERLAP", overlap)
+    monkeypatch.setattr(bpe.BpeTable, "_merge", lambda self, pieces: asked.append(len(pieces)) or real(self, pieces))
+    r = random.Random(2)
+    t = bpe.BpeTable(PATH, public_tokenizers.PATTERN)
+    texts = ["".join(r.choice(a) for _ in range(700)) for a in ("ab", "abcdeé", "etaoin", "=-", "aab", "漢字仮名")] + ["abc" * 300, "thequickbrownfox" * 30]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.encode(texts)] == [reference.encode_ordinary(x) for x in texts]
+    assert overlap > 2 or len(asked) > 2
+
+
+def test_query_equals_the_library(spark, reference):
+    docs = duckdb.sql(f"select doc_id, coalesce(text, '') from '{DATA}/documents.parquet'").fetchall()
+    ids = {d: np.array(reference.encode_ordinary(t), "<u4") for d, t in docs}
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    got = queries.QUERIES["op10_bpe"](spark, DATA).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {d: (len(ids[d]), hexed(ids[d].tobytes()), hexed(t.encode())) for d, t in docs}
 
 
 def test_encode_decode_edges(spark, reference):
