@@ -62,9 +62,11 @@ def drop_cuts(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release() -> None:
+on_release: list = []  # calls that drop what modules keep between the batches of a task
+
+
+def trim() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task, beside other stages' workers."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -72,6 +74,25 @@ def release() -> None:
         pass
 
 
+def release() -> None:
+    """trim at the end of a task, after what was kept for its batches is dropped."""
+    for drop in on_release:
+        drop()
+    gc.collect()
+    trim()
+
+
+def trimmed(of_group):
+    """The function of a group, with a trim when it has returned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = of_group(table)
+        trim()
+        return out
+
+    return run
+
+
 def narrow(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
     """`df`, which has about so many rows, in as few tasks as they need: with many shuffle partitions, small steps are all overhead."""
     n = max(1, -(-rows // per_task))

@@ -12,16 +12,16 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import reduce
-from itertools import count
+from itertools import count as counting
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, materialize_counted, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, unpack
+from palimpsest.llm.common import batches, materialize, materialize_counted, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, trimmed, unpack
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.suffix_dedup import _BYTE, _power
+from palimpsest.llm.suffix_dedup import _BYTE, SLICE, _power
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -39,15 +39,25 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_hashes(x: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the distinct shingles of the texts x[off[i]:off[i + 1]], sorted by text and hash.
-
-    A text of fewer words has its whole sequence as one shingle; one without words none.
-    """
-    n, texts = len(x), len(off) - 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if not n:
-        return none
+def _cuts(x: np.ndarray):
+    """Borders of slices of about SLICE bytes of a long text, each at a space."""
+    a = 0
+    while a < len(x):
+        b = a + SLICE
+        while b < len(x) and not (gap := _SPACE[x[b : b + SLICE]]).any():
+            b += SLICE
+        b = b + int(gap.argmax()) if b < len(x) else len(x)
+        yield a, b
+        a = b
+
+
+def word_hashes(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the words of the texts x[off[i]:off[i + 1]], in their order."""
+    n = len(x)
+    if n > SLICE and len(off) == 2:
+        parts = [word_hashes(x[a:b], np.array([0, b - a, b - a]))[1] for a, b in _cuts(x)]
+        w = np.concatenate(parts)
+        return np.zeros(len(w), np.int64), w
     x = _LOWER[x]
     word = ~_SPACE[x]
     edge = np.zeros(n + 1, bool)  # where a text begins
@@ -57,13 +67,21 @@ def shingle_hashes(x: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    if not len(s):
-        return none
     power, inverse = _power(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[x] * power[:n], out=prefix[1:])
-    w = mix64((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64))
-    text = np.searchsorted(off, s, "right") - 1
+    return np.searchsorted(off, s, "right") - 1, mix64((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64))
+
+
+def shingle_hashes(x: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the distinct shingles of the texts x[off[i]:off[i + 1]], sorted by text and hash.
+
+    A text of fewer words has its whole sequence as one shingle; one without words none.
+    """
+    texts = len(off) - 1
+    text, w = word_hashes(x, off) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not len(w):
+        return text, w
     count = np.bincount(text, minlength=texts)
     first = np.cumsum(count) - count
     base = np.uint64(0xA24BAED4963EE407)
@@ -245,8 +263,8 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRE
     buckets = sized_buckets(docs, BUCKET_BYTES)
     chunks = buckets
     blobs = docs.select("doc_id", "text").mapInArrow(_find_shingles(words, buckets, chunks, hot_here), _BLOBS)
-    answered = blobs.groupBy("bucket").applyInArrow(_answer(buckets, chunks), _BLOBS)
-    return answered.groupBy("bucket").applyInArrow(_assemble(threshold), _SETS)
+    answered = blobs.groupBy("bucket").applyInArrow(trimmed(_answer(buckets, chunks)), _BLOBS)
+    return answered.groupBy("bucket").applyInArrow(trimmed(_assemble(threshold)), _SETS)
 
 
 def _possible(threshold: Fraction):
@@ -297,7 +315,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESH
     partners = dealt.join(body, dealt["v"] == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
     leaders = narrow(dealt.select("u", "salt").distinct(), rows).join(body, F.col("u") == body["doc_id"]).select("u", "salt", "doc_id", "n", "shared")
     dealt_sets = narrow(partners, rows + size, 2000).union(narrow(leaders, rows + size, 2000)).withColumn("bucket", F.pmod(F.xxhash64("u", "salt"), F.lit(buckets)))
-    return narrow(dealt_sets.groupBy("bucket").applyInArrow(_verify_bucket(threshold), "u long, v long"), rows + size, 4000)
+    return narrow(dealt_sets.groupBy("bucket").applyInArrow(trimmed(_verify_bucket(threshold)), "u long, v long"), rows + size, 4000)
 
 
 def _suffixes_allow(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows: int) -> DataFrame:
@@ -328,7 +346,7 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
     entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"), order.alias("order"))
     size, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
     tried, labels = [], None
-    for r in count():
+    for r in counting():
         rest = entries.withColumn("component", F.col("doc_id"))
         if labels is not None:
             rest = entries.join(labels, entries["doc_id"] == labels["node"], "left").select(*entries.columns, F.coalesce("component", "doc_id").alias("component"))

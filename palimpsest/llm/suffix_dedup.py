@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, one_row_per_id, pack, ranges, release, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, on_release, one_row_per_id, pack, ranges, release, trimmed, unpack
 from palimpsest.llm.suffix_array import adjacent_equal, two_stage
 
 K = 28
@@ -53,6 +53,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+on_release.append(lambda: _powers.__setitem__(slice(None), [np.ones(1, np.uint64)] * 2))
+
+
 def find_anchors(x: np.ndarray, off: np.ndarray, length: int) -> Anchors:
     """Pieces of the texts x[off[i]:off[i + 1]], concatenated in `x`."""
     n, w = len(x), length - K + 1
@@ -313,10 +316,10 @@ def covered_spans(docs: DataFrame, length: int = 100, hot: tuple[int, int] = HOT
     buckets = n_buckets(spark)
     texts = docs.select("doc_id", "text")
     blobs = texts.mapInArrow(_find_pieces(length, buckets, hot[0]), _BLOBS)
-    found = materialize(blobs.groupBy("bucket").applyInArrow(lambda t: _judge_bucket(t, hot[1]), _FOUND))
+    found = materialize(blobs.groupBy("bucket").applyInArrow(trimmed(lambda t: _judge_bucket(t, hot[1])), _FOUND))
     needs = found.where(F.col("kind") != COVERED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "gram", "kind")).alias("needs"))
     cut = texts.join(needs.hint("shuffle_hash"), "doc_id").mapInArrow(_cut_pieces(length, buckets), _PIECE_ROWS)
-    sorted_ = cut.groupBy("bucket").applyInArrow(_sort_bucket(length), _FOUND)
+    sorted_ = cut.groupBy("bucket").applyInArrow(trimmed(_sort_bucket(length)), _FOUND)
     spans = found.where(F.col("kind") == COVERED).select("doc_id", "start", "end").union(sorted_.select("doc_id", "start", "end"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -355,5 +358,6 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: tuple[int, int] = HOT)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             cols = [batch.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "spans", "kept"])
+        release()
 
     return joined.select(*names, "spans").mapInArrow(run, schema)

@@ -93,6 +93,17 @@ def test_suffix_dedup_edges(spark):
     assert out.columns == ["doc_id", "text", "bucket", "n_bytes", "spans", "kept"]
 
 
+def test_shingles_of_a_long_text_in_slices(monkeypatch):
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcXé") for _ in range(r.randint(1, 9))) for _ in range(900)) + "y" * 300 + " \t z  "
+    x = np.frombuffer(text.encode(), np.uint8)
+    whole = ngram_join.shingle_hashes(x, np.array([0, len(x)]))
+    assert len(whole[1]) == len(brute.shingles(text))
+    for size in (1, 7, 100, 5000):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(whole, ngram_join.shingle_hashes(x, np.array([0, len(x)]))))
+
+
 def near_docs(seed=3, n=300):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
