@@ -165,6 +165,13 @@ edges as (select u, v from links union all select v, u from links),
 reach(node, other) as (select doc_id, doc_id from documents union select node, v from reach join edges on u = other)
 select doc_id, coalesce(n, 0) n_shingles, component_id
 from (select node doc_id, min(other) component_id from reach group by node) left join n using (doc_id)
+""",
+    "op6_rp_forest": """
+with e as (select distinct vec_id, embedding::double[] v from embeddings
+    where vec_id is not null and len(embedding) = (select mode(len(embedding)) from embeddings) and list_count(embedding) = len(embedding)
+    and isfinite(list_sum(embedding)) and (list_min(embedding) <> 0 or list_max(embedding) <> 0)),
+s as (select q.vec_id query_id, r.vec_id, list_inner_product(q.v, r.v) score from e q join e r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over w::int as rank, vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20
 """,
     "op8_chat_format": f"""
 with rows as (

@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 32_768
 
 
+#: Queries that a task compares with a block at a time.
+QUERY_ROWS = 4096
+
+
 @dataclass(frozen=True)
 class ForestParams:
     trees: int = 4
-    leaf_rows: int = 512  # wanted rows of a leaf
+    leaf_rows: int = 256  # wanted rows of a leaf
     sample: int = 20_000  # rows the trees are fitted on, at most
-    search: float = 0.9  # a query reads leaves, of all trees together, until they hold this share of the rows ...
-    search_rows: int = 4000  # ... or so many, whichever is more
+    recall: float = 0.95  # share of the sample's own neighbours that a query's leaves are to hold; sets how many leaves it reads
+    trials: int = 200  # rows of the sample that this is measured with
+    least_rows: int = 2048  # rows, counted in all trees, that a query reads at least
     seed: int = 7
 
 
@@ -97,6 +102,21 @@ class Forest:
         return found
 
 
+    def share(self, x: np.ndarray, k: int, params: ForestParams) -> float:
+        """Rows to read, counted in all trees, as a share of all rows: what finds params.recall of the k best of rows of `x` among its rows."""
+        leaves = self.leaves(x)
+        counts = [np.bincount(leaves[:, t]) for t in range(leaves.shape[1])]
+        at = []
+        for i, q in enumerate(x[: params.trials]):
+            s = x @ q
+            s[i] = -np.inf
+            best = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
+            order = self.search(q, counts, np.inf)
+            read = dict(zip(order, np.cumsum([counts[t][f] for t, f in order])))
+            at += [min(read[t, f] for t, f in enumerate(leaves[r])) for r in best]
+        return float(np.quantile(at, params.recall, method="higher")) / len(x) if at else 0.0
+
+
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """Rows with an id and `dim` finite components, not all zero, as doubles."""
     e = F.col("embedding")
@@ -128,14 +148,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     """query_id, rank, vec_id, score: each query's k best by inner product among the rows that the forest reaches.
 
     vectors (vec_id, embedding); `is_query` a condition on vec_id. Vectors that
-    are null, zero, not finite or not of the most common length take no part;
-    repeated (vec_id, embedding) rows count once. Equal vectors are indexed as
-    one: only the k + 1 smallest ids of each can appear in a result, so a vector
-    that a third of the rows share costs one entry. Ties go to the smaller id.
-    Fewer than k candidates give fewer rows; empty tables give none.
+    are null, zero, not finite or not of the most common length take no part, as
+    a product of vectors of different lengths means nothing; repeated (vec_id,
+    embedding) rows count once. Equal vectors are indexed as one: only the k + 1
+    smallest ids of each can appear in a result, so a vector that a third of the
+    rows share costs one entry. Ties go to the smaller id. Fewer than k candidates
+    give fewer rows; empty tables give none.
 
     The trees are fitted on at most params.sample rows and broadcast (size bound
-    by the sample); every row is indexed. Leaves are read in blocks of about BLOCK_ROWS rows.
+    by the sample); every row is indexed. How much a query reads is measured on
+    the sample, for params.recall: little where vectors cluster, nearly all where
+    they have no structure. Leaves are read in blocks of about BLOCK_ROWS rows by
+    QUERY_ROWS queries at a time.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -147,14 +171,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     members = good.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("key", "vec_id", "v")
     distinct = good.groupBy("key").agg(F.first("v").alias("v"))
     queries = good.where(is_query)
-    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v"))
+    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    parts = -(-query_vectors.count() // QUERY_ROWS) or 1
     rows = distinct.count()
     norm = lambda: F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sample = distinct.orderBy(F.col("key.a"), F.col("key.b")).limit(params.sample - 1).union(distinct.orderBy(F.desc(norm()), "key").limit(1))
     fit = np.array([r[0] for r in sample.select("v").collect()], float).reshape(-1, dims["d"])
     if not len(fit):
         return spark.createDataFrame([], out)
-    forest = spark.sparkContext.broadcast(Forest(fit, rows, params))
+    made = Forest(fit, rows, params)
+    wanted = max(params.least_rows, made.share(fit, k, params) * rows)
+    forest = spark.sparkContext.broadcast(made)
 
     def assign(it):
         for p in it:
@@ -165,12 +192,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
 
     flat = lambda df: df.select("key.a", "key.b", "v")
     indexed = flat(distinct).mapInPandas(assign, "a long, b long, v array<double>, tree int, leaf long")
-    counts = indexed.groupBy("tree", "leaf").count().collect()  # at most trees * sample / 8 rows
+    counts = indexed.groupBy("tree", "leaf").count().collect()  # bounded by the sample
     per_tree = [np.zeros(max([c["leaf"] for c in counts if c["tree"] == t], default=0) + 1) for t in range(params.trees)]
     for c in counts:
         per_tree[c["tree"]][c["leaf"]] = c["count"]
     sizes = spark.sparkContext.broadcast(per_tree)
-    wanted = max(params.search_rows, params.search * rows)
     blocks = _blocks(per_tree)
     placed = spark.sparkContext.broadcast(blocks)
 
@@ -185,9 +211,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
                 yield pd.DataFrame({"a": a, "b": b, "v": [v] * len(to), "block": list(to), "leaves": list(to.values())})
 
     asked = flat(query_vectors).mapInPandas(visit, "a long, b long, v array<double>, block long, leaves array<long>")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("b", "a"), F.lit(parts)))
     table = spark.createDataFrame([(t, f, *x) for (t, f), x in blocks.items()], "tree int, leaf long, first long, parts long")
     indexed = indexed.join(F.broadcast(table), ["tree", "leaf"]).select(
-        "a", "b", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("b", "a"), "parts")).alias("block")
+        "a", "b", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("b", "a"), "parts")).alias("block"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part")
     )
 
     def rerank(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,14 +230,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
                     s = q[part] @ v[own].T
                     top = min(k + 1, len(own))
                     best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    exact = (q[part][:, None, :] * v[own[best]]).sum(-1)
+                    exact = np.cumsum(q[part][:, None, :] * v[own[best]], axis=-1)[..., -1]  # in the order of components
                     found.append(pd.DataFrame({"q": np.repeat(part, top), "r": own[best].ravel(), "score": exact.ravel()}))
         f = pd.concat(found)
         f = f[f.groupby("q")["score"].rank(method="min", ascending=False) <= k + 1]
         q, r = f["q"].to_numpy(int), f["r"].to_numpy(int)
         return pd.DataFrame({"qa": ask["a"].to_numpy()[q], "qb": ask["b"].to_numpy()[q], "a": rows["a"].to_numpy()[r], "b": rows["b"].to_numpy()[r], "score": f["score"].to_numpy()})
 
-    pairs = asked.groupBy("block").cogroup(indexed.groupBy("block")).applyInPandas(rerank, "qa long, qb long, a long, b long, score double")
+    pairs = asked.groupBy("block", "part").cogroup(indexed.groupBy("block", "part")).applyInPandas(rerank, "qa long, qb long, a long, b long, score double")
     best = pairs.distinct().withColumn("n", F.rank().over(W.partitionBy("qa", "qb").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
     m = members.select(F.col("key.a").alias("a"), F.col("key.b").alias("b"), "vec_id")
     hits = best.join(m, ["a", "b"])

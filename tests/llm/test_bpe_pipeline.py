@@ -87,7 +87,7 @@ def test_encode_decode_edges(spark, reference):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "labels"):
+    for t in ("documents", "conversations", "pages", "labels", "embeddings"):
         db.execute(f"create view {t} as from '{DATA}/{t}.parquet'")
     cur = db.execute(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, DATA)

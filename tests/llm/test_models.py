@@ -195,6 +195,32 @@ def test_recall_on_the_tables(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("spread, most", [(0.15, 0.6), (None, 4.0)])
+def test_what_is_read_follows_the_vectors(spread, most):
+    """Clustered vectors need a small share of the rows, without structure most of them: recall is reached on rows of their own."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 32)) if spread is None else r.normal(size=(60, 32))[r.integers(0, 60, 6000)] + spread * r.normal(size=(6000, 32))
+    p = rp_forest.ForestParams(trials=60)
+    forest = rp_forest.Forest(x[:3000], len(x), p)
+    share = forest.share(x[:3000], 10, p)
+    assert share <= most and (spread or share > 0.8)
+    leaves = forest.leaves(x)
+    counts = [np.bincount(leaves[:, t], minlength=leaves[:, t].max() + 1) for t in range(4)]
+    hits = 0
+    for i in range(3000, 3060):
+        found = {f for f in forest.search(x[i], counts, share * len(x))}
+        hits += sum(any((t, leaves[j, t]) in found for t in range(4)) for j, _ in brute_nearest(x, i, 10))
+    assert hits / 600 >= 0.9
+
+
+def test_queries_in_parts(spark, monkeypatch):
+    v, df = near_rows(spark, 600, 8)
+    whole = sorted(map(tuple, rp_forest.nearest(df, F.col("vec_id") % 3 == 0, 5).collect()))
+    monkeypatch.setattr(rp_forest, "QUERY_ROWS", 7)
+    monkeypatch.setattr(rp_forest, "BLOCK_ROWS", 100)
+    assert sorted(map(tuple, rp_forest.nearest(df, F.col("vec_id") % 3 == 0, 5).collect())) == whole
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
