@@ -122,7 +122,7 @@ def _rules_sql(column: str) -> str:
     return "case " + " ".join(one(r) for r in sorted(RULES, key=lambda r: -len(r.text))) + " end"
 
 
-_SUFFIXES = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+_TWO = f"(regexp_matches(two, '{url_reputation.COUNTRY_SUFFIX}') or two in ({', '.join(f"'{x}'" for x in url_reputation.SHARED_SITES)}))"
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 ORACLE_SQL: dict[str, str] = {
     "op3_url_reputation": f"""
@@ -131,7 +131,7 @@ p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_rep
 o as (select doc_id page_id, max(1 - quality) bad from labels where quality in (0, 1) group by doc_id),
 h0 as (select host, count(bad) n, coalesce(sum(bad), 0) bad, string_split(host, '.') l from p left join o using (page_id) group by host),
 hosts as (select host, n, bad, array_to_string(l[-2:], '.') two, array_to_string(l[-3:], '.') three, l[-1] one from h0),
-named as (select host, n, bad, case when two in ({_SUFFIXES}) then three else two end as dom, case when two in ({_SUFFIXES}) then two else one end suf from hosts),
+named as (select host, n, bad, case when {_TWO} then three else two end as dom, case when {_TWO} then two else one end suf from hosts),
 doms as (select dom, first(suf) suf, sum(n) n, sum(bad) bad from named group by dom),
 sufs as (select suf, sum(n) n, sum(bad) bad from doms group by suf),
 k as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 10) m0, {_strength_sql("sufs")} ks, {_strength_sql("doms")} kd, {_strength_sql("named")} kh from sufs),

@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     members = good.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("key", "vec_id", "v")
     distinct = good.groupBy("key").agg(F.first("v").alias("v"))
     queries = good.where(is_query)
-    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = -(-query_vectors.count() // QUERY_ROWS) or 1
     rows = distinct.count()
     norm = lambda: F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)

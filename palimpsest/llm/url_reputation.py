@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered; others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: A registry's label before a country's, as in co.uk or com.mx, makes a suffix of two labels under which names are registered.
+COUNTRY_SUFFIX = r"^(ac|co|com|edu|gob|go|gov|gouv|govt|id|mil|ne|net|nom|or|org|sch)[.][a-z][a-z]$"
+#: Sites under which everybody has a name of their own; more can be passed.
+SHARED_SITES = ("github.io", "blogspot.com", "wordpress.com")
 
 
 @dataclass(frozen=True)
@@ -49,17 +53,17 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
     return text, verdict
 
 
-def domain_parts(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last labels of the host."""
+def domain_parts(host: Column, shared: tuple[str, ...] = SHARED_SITES) -> tuple[Column, Column]:
+    """(registered domain, suffix): the last labels of the host. A suffix has one label, or two by COUNTRY_SUFFIX or `shared`."""
     labels = F.split(host, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    long = two.isin(*TWO_LABEL_SUFFIXES)
+    long = two.rlike(COUNTRY_SUFFIX) | two.isin(*shared)
     return F.when(long, three).otherwise(two), F.when(long, two).otherwise(F.element_at(labels, -1))
 
 
-def _strength(level: DataFrame, name: str, bound: Bound) -> DataFrame:
-    """One row: beta-binomial prior strength of a level, by the method of moments over its units with labels."""
+def _strength(level: DataFrame, bound: Bound) -> float:
+    """Beta-binomial prior strength of a level, by the method of moments over its units with labels: one row of sums."""
     p, sx, sn, k = F.col("_p"), F.col("_sx"), F.col("_sn"), F.col("_k")
     s = level.where("n > 0").agg(
         F.sum("bad").cast("double").alias("_sx"),
@@ -71,36 +75,34 @@ def _strength(level: DataFrame, name: str, bound: Bound) -> DataFrame:
     s = s.withColumn("_p", sx / sn)
     between = (F.col("_sq") - sn * p * p - (k - 1) * p * (1 - p)) / F.nullif(sn - F.col("_snn") / sn, F.lit(0.0))
     strength = p * (1 - p) / F.when(between > 0, between) - 1
-    return s.select(F.least(F.greatest(F.coalesce(strength, F.lit(bound.most_strength)), F.lit(bound.least_strength)), F.lit(bound.most_strength)).alias(name))
+    return s.select(F.least(F.greatest(F.coalesce(strength, F.lit(bound.most_strength)), F.lit(bound.least_strength)), F.lit(bound.most_strength))).first()[0]
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, bound: Bound = Bound()) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, bound: Bound = Bound(), shared: tuple[str, ...] = SHARED_SITES) -> DataFrame:
     """host, n, bad, mean, lower: posterior of each host's bad share.
 
     pages (page_id, host), outcomes (page_id, bad 0/1 or null, then unused). A
     suffix is shrunk to the overall share, a registered domain to its suffix, a
     host to its domain; each level's prior strength comes from the spread of its
     units. Without labels a tenth counts as bad. Counts over all pages, combined
-    before the shuffle.
+    before the shuffle; hosts and domains are counted once and written, and what
+    the driver gets is one row of sums a level.
     """
     o = outcomes.where(F.col("bad").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = pages.join(o, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    domain, suffix = domain_parts(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domain, suffix = domain_parts(F.col("host"), shared)
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
+    domains = materialize(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("_m0"))
-    one = total
-    for level, name in ((suffixes, "_ks"), (domains, "_kd"), (hosts, "_kh")):
-        one = one.join(F.broadcast(_strength(level, name, bound)))
-    shrunk = lambda mean, k: (F.col("bad") + F.col(k) * F.col(mean)) / (F.col("n") + F.col(k))
-    s = suffixes.join(F.broadcast(one)).select("suffix", shrunk("_m0", "_ks").alias("_ms"))
-    d = domains.join(s, "suffix").join(F.broadcast(one)).select("domain", shrunk("_ms", "_kd").alias("_md"))
-    h = hosts.join(d, "domain").join(F.broadcast(one))
-    a, m = F.col("bad") + F.col("_kh") * F.col("_md"), F.col("n") + F.col("_kh")
-    mean = a / m
-    return h.select("host", "n", "bad", mean.alias("mean"), (mean - bound.z * F.sqrt(mean * (1 - mean) / (m + 1))).alias("lower"))
+    overall = suffixes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).first()[0]
+    ks, kd, kh = (_strength(level, bound) for level in (suffixes, domains, hosts))
+    shrunk = lambda mean, k: (F.col("bad") + k * mean) / (F.col("n") + k)
+    s = suffixes.select("suffix", shrunk(F.lit(overall), ks).alias("_ms"))
+    d = domains.join(s, "suffix").select("domain", shrunk(F.col("_ms"), kd).alias("_md"))
+    m = F.col("n") + kh
+    mean = (F.col("bad") + kh * F.col("_md")) / m
+    return hosts.join(d, "domain").select("host", "n", "bad", mean.alias("mean"), (mean - bound.z * F.sqrt(mean * (1 - mean) / (m + 1))).alias("lower"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], bound: Bound = Bound()) -> DataFrame:

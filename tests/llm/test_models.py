@@ -315,9 +315,18 @@ def test_shrinkage(spark):
     assert url_reputation.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"), RULES).count() == 0
 
 
+def test_repeated_pages_and_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x")] * 3 + [(None, "http://a.org/" + "y" * 100_000), (2, "")], "page_id long, url string")
+    out = url_reputation.judge_urls(pages, spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 5)], "page_id long, bad int"), RULES)
+    got = sorted((r.page_id or 0, r.host, len(r.path)) for r in out.collect())
+    assert got == [(0, "a.org", 100_001), (1, "a.org", 2), (1, "a.org", 2), (1, "a.org", 2), (2, "", 0)]
+
+
 def test_parts_of_hosts(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("com",), ("",)], "h string")
-    assert [tuple(r) for r in df.select(*url_reputation.domain_parts(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", "")]
+    df = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("com",), ("",), ("x.y.com.mx",), ("me.github.io",), ("gov.uk",), ("a.co.info",)], "h string")
+    assert [tuple(r) for r in df.select(*url_reputation.domain_parts(F.col("h"))).collect()] == [
+        ("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("y.com.mx", "com.mx"), ("me.github.io", "github.io"), ("gov.uk", "gov.uk"), ("co.info", "info"),
+    ]
 
 
 def test_crc_is_the_fold(spark):
