@@ -10,6 +10,8 @@ stages, then adjacent common prefixes); equal pieces repeat as they are.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -227,25 +229,33 @@ _PIECE_ROWS = "bucket long, data binary, bytes binary"
 
 
 def _cut_pieces(length: int, buckets: int):
-    """Texts with their needed spans: the bytes of each piece, or of each string where the K-gram is hot, to their bucket."""
+    """Texts with their needed spans: the bytes of each piece, or of each string where the K-gram is hot, to their bucket.
+
+    Of equal strings of a hot K-gram a task sends the first only; the others are
+    covered, and go as spans to buckets below zero, by document.
+    """
 
     def run(it):
-        held: list[list] = [[], [], [], []]
+        pieces: list[tuple] = []  # (bucket, doc, start, bytes)
+        first: dict[bytes, tuple] = {}  # string -> (doc, start, bucket)
+        later: list[tuple] = []
         size = 0
 
         def flush():
-            b, doc, start, body = (held[0], held[1], held[2], held[3])
-            order = np.argsort(np.array(b), kind="stable")
-            bs = np.array(b)[order]
-            cuts = np.flatnonzero(np.r_[True, bs[1:] != bs[:-1]])
+            rows = pieces + [(b, d, s, body) for body, (d, s, b) in first.items()]
+            rows.sort(key=itemgetter(0))
             out = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(bs)]):
-                own = order[lo:hi]
-                meta = pack(np.array([doc[i] for i in own], np.int64), np.array([start[i] for i in own], np.int64), np.array([len(body[i]) for i in own], np.int64))
-                raw = pack(np.frombuffer(b"".join([body[i] for i in own]), np.uint8))
-                out.append((int(bs[lo]), meta, raw))
-            for h in held:
-                h.clear()
+            for bucket, group in groupby(rows, itemgetter(0)):
+                _, doc, start, body = zip(*group)
+                meta = pack(np.array(doc, np.int64), np.array(start, np.int64), np.array([len(x) for x in body], np.int64))
+                out.append((bucket, meta, pack(np.frombuffer(b"".join(body), np.uint8))))
+            if later:
+                spans: list = []
+                d, s = np.array(later, np.int64).T
+                d, s, e = merge_spans(d, s, s + length)
+                _blob_rows(COVERED, -1 - d % buckets, [d, s, e], spans)
+                out += [(bucket, data, b"") for bucket, _, data in spans]
+            pieces.clear(), first.clear(), later.clear()
             x, y, z = zip(*out)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.binary()), pa.array(z, pa.binary())], ["bucket", "data", "bytes"])
 
@@ -256,19 +266,24 @@ def _cut_pieces(length: int, buckets: int):
                 for x in need:
                     a, b = x["start"], x["end"]
                     if x["kind"] == NEEDED:
-                        cut = [(a, b)]
-                        keys = [x["gram"] % buckets]
-                    else:
-                        cut = [(p, p + length) for p in range(a, b - length + 1)]
-                        part = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8, b - a, a), length)
-                        keys = (mix64((_BYTE[part] * _power(length)[0]).sum(1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64).tolist()
-                    for (s, e), key in zip(cut, keys):
-                        held[0].append(key), held[1].append(doc), held[2].append(s), held[3].append(raw[s:e])
-                        size += e - s
+                        pieces.append((x["gram"] % buckets, doc, a, raw[a:b]))
+                        size += b - a
+                        continue
+                    part = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8, b - a, a), length)
+                    keys = (mix64((_BYTE[part] * _power(length)[0]).sum(1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64).tolist()
+                    for p, key in zip(range(a, b - length + 1), keys):
+                        body, own = raw[p : p + length], (doc, p, key)
+                        least = min(first.setdefault(body, own), own)
+                        if least is own and first[body] is own:
+                            size += length
+                        else:
+                            later.append(max(first[body], own)[:2])
+                            first[body] = least
+                            size += 16
                 if size >= 32 << 20:
                     yield flush()
                     size = 0
-        if held[0]:
+        if pieces or first:
             yield flush()
         release()
 
@@ -302,6 +317,9 @@ def repeated_spans(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: n
 def _sort_bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
         meta = [unpack(x.as_py()) for x in table.column("data")]
+        if table.column("bucket")[0].as_py() < 0:  # spans that are covered already
+            d, s, e = (np.concatenate(c) for c in zip(*meta))
+            return _found([(COVERED, d, s, e, np.zeros(len(d), np.int64))])
         doc, start, size = (np.concatenate(c) for c in zip(*meta))
         data = np.concatenate([unpack(x.as_py())[0] for x in table.column("bytes")])
         d, s, e = repeated_spans(data, doc, start, size, length)

@@ -83,6 +83,18 @@ def test_suffix_dedup_long_text_in_slices(monkeypatch):
         assert strings == list(range(len(text) - 99))
 
 
+def test_suffix_dedup_of_a_hot_passage_and_a_long_text(spark):
+    """A passage that many documents hold in other surroundings, its strings one by one; negative ids; a text of many slices."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = word(260)
+    docs = [(i - 60, word(r.randint(0, 150)) + passage[r.randint(0, 40) :] + word(r.randint(0, 150))) for i in range(120)]
+    docs.append((1000, word(200_000) + passage + word(1000) + passage))
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    for hot in (suffix_dedup.HOT, (1, 2)):
+        assert suffix_result(suffix_dedup.suffix_dedup(df, hot=hot)) == brute.suffix_dedup(docs)
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_result(suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS))) == {}
     long = "0123456789" * 20
