@@ -1,9 +1,13 @@
-"""Quality by co-training: a text view and a metadata view teach each other, then their calibrated scores combine."""
+"""Quality by co-training: a text view and a metadata view teach each other, then their calibrated scores combine.
+
+The text view has the shape of the whole text and how often those n-grams occur in
+it that tell most of the labelled texts apart; the metadata view never sees the text.
+"""
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +16,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import materialize, release
-from palimpsest.llm.linear import fit_logistic, sigmoid
+from palimpsest.llm.linear import counted, fit_logistic, ngram_bins, sigmoid, tell_apart
 
 WIDTH = 64  # hashed categories of the metadata view
-_ROW = np.dtype([("text", "<f4", 16), ("meta", "u1", 5)])  # a row's features, as they are stored
+SHAPE, TELLING = 16, 24  # features of a text's shape, and n-grams that are counted in it
+ORDERS = (4, 6)  # characters of an n-gram
+_ROW = np.dtype([("shape", "<f4", SHAPE), ("hits", "u1", TELLING), ("meta", "u1", 5)])  # a row's features, as they are stored
+
+
+def telling_bins(texts: list[str | None], y: np.ndarray, least_z: float = 6.0) -> np.ndarray:
+    """At most TELLING bins of hashed n-grams, those whose shares differ most, and clearly, between the classes of `y`."""
+    found = [counted(ngram_bins(t, ORDERS)) for t in texts]
+    return np.sort(tell_apart(found, y, TELLING, least_z)[0]) if len(np.unique(y)) == 2 else np.zeros(0, np.int64)
+
+
+def text_hits(text: str | None, telling: np.ndarray) -> np.ndarray:
+    """How often each n-gram of `telling` occurs in the whole text, up to 255; zeros fill up to TELLING."""
+    out = np.zeros(TELLING, np.uint8)
+    if len(telling):
+        for bins in ngram_bins(text, ORDERS):
+            at = np.searchsorted(telling, bins)
+            at = at[telling[np.minimum(at, len(telling) - 1)] == bins]
+            out[: len(telling)] = np.minimum(out[: len(telling)] + np.bincount(at, minlength=len(telling)), 255)
+    return out
+
+
+def text_rows(shape: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    return np.hstack([shape, np.log1p(hits, dtype=float)])
+
+
+def text_features(text: str | None, telling: np.ndarray) -> np.ndarray:
+    return text_rows(text_shape(text), text_hits(text, telling))
 
 
-def text_features(text: str | None) -> np.ndarray:
+def text_shape(text: str | None) -> np.ndarray:
     """Shape of the whole text: lengths, shares of character classes, repetition of words and lines."""
     t = text or ""
     b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
@@ -39,7 +70,7 @@ def text_features(text: str | None) -> np.ndarray:
 def meta_bins(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
     """Hashed language, source and length class, then the length class itself; nulls are values of their own."""
     bucket = -1 if n_chars is None else int(np.log2(max(int(n_chars), 0) + 1))
-    parts = (f"l={lang}", f"s={source}", f"n={bucket}", f"ln={lang}/{bucket}")
+    parts = (f"l={lang!r}", f"s={source!r}", f"n={bucket}", f"ln={lang!r}/{bucket}")
     return [*(zlib.crc32(part.encode()) % WIDTH for part in parts), max(bucket, 0)]
 
 
@@ -159,6 +190,7 @@ class QualityModel:
     meta: View | None
     share: float  # weight of the text view
     prior: float
+    telling: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.text is None:
@@ -205,17 +237,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold=None, labelled: int = 3000, lea
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(y, "doc_id")
     sample = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(sample, "doc_id").select("text", "lang", "source", "n_chars", "_y")
-    got = sorted((r[0] or "", r[1] or "", r[2] or "", -1 if r[3] is None else r[3], r[4]) for r in rows.collect())
-    return _fit_rows(got, _pool(docs, y, least)) if got else QualityModel(None, None, 0.5, 0.5)
+    got = sorted(map(tuple, rows.collect()), key=lambda r: [(x is not None, x) for x in r])
+    return _fit_rows(got, lambda telling: _pool(docs, y, least, telling)) if got else QualityModel(None, None, 0.5, 0.5)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[list, list]:
     """Texts, and language, source and length of each row."""
     text, *rest = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-    return text, list(zip(*[[x or "" if i < 2 else x for x in c] for i, c in enumerate(rest)]))
+    return text, list(zip(*rest))
 
 
-def _pool(docs: DataFrame, y: DataFrame, least: float):
+def _pool(docs: DataFrame, y: DataFrame, least: float, telling: np.ndarray):
     """pool_sums over all documents without a label in `y`: their features are stored once, in blocks, and each call is a pass over them."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.BinaryType())])
 
@@ -224,7 +256,8 @@ def _pool(docs: DataFrame, y: DataFrame, least: float):
             text, meta = _columns(batch)
             rows = np.zeros(len(text), _ROW)
             if len(text):
-                rows["text"], rows["meta"] = [text_features(t) for t in text], [meta_bins(*m) for m in meta]
+                rows["shape"], rows["hits"] = [text_shape(t) for t in text], [text_hits(t, telling) for t in text]
+                rows["meta"] = [meta_bins(*m) for m in meta]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "row"])
         release()
 
@@ -244,7 +277,7 @@ def _pool(docs: DataFrame, y: DataFrame, least: float):
             for batch in it:
                 for block in batch.column("rows").to_pylist():
                     rows = np.frombuffer(block, _ROW)
-                    part = pool_sums((rows["text"].astype(float), meta_rows(rows["meta"])), past, now, least)
+                    part = pool_sums((text_rows(rows["shape"], rows["hits"]), meta_rows(rows["meta"])), past, now, least)
                     total = part if total is None else [a + b for a, b in zip(total, part)]
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in total], ["text", "meta"])
@@ -258,17 +291,22 @@ def _pool(docs: DataFrame, y: DataFrame, least: float):
 
 
 def _fit_rows(rows, pool) -> QualityModel:
-    text = np.array([text_features(r[0]) for r in rows])
-    meta = np.array([meta_features(r[1], r[2], None if r[3] < 0 else r[3]) for r in rows])
-    order = np.array([zlib.crc32(r[0].encode("utf-8", "surrogatepass")) for r in rows]).argsort(kind="stable")
-    return co_train(text[order], meta[order], np.array([r[4] for r in rows])[order], pool=pool)
+    order = np.array([zlib.crc32((r[0] or "").encode("utf-8", "surrogatepass")) for r in rows]).argsort(kind="stable")
+    rows = [rows[i] for i in order]
+    y = np.array([r[4] for r in rows])
+    own = np.arange(len(rows)) % 4 != 0  # rows that co_train does not keep for calibration
+    telling = telling_bins([r[0] for r, o in zip(rows, own) if o], y[own])
+    text = np.array([text_features(r[0], telling) for r in rows])
+    meta = np.array([meta_features(*r[1:4]) for r in rows])
+    return replace(co_train(text, meta, y, pool=pool(telling)), telling=telling)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
     """All columns of `docs` with `quality_score` (0 to 1) and `keep` (score >= threshold), over whole texts.
 
     Null texts count as empty, null metadata as values of their own; columns of
-    those names are replaced; repeated rows score alike.
+    those names are replaced; rows are kept one for one, repeated ones score alike,
+    and an empty table gives none.
     """
     docs = docs.drop("quality_score", "keep")
 
@@ -277,7 +315,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataF
             if not batch.num_rows:
                 continue
             texts, metas = _columns(batch)
-            text, meta = np.array([text_features(t) for t in texts]), meta_rows(np.array([meta_bins(*m) for m in metas]))
+            text, meta = np.array([text_features(t, model.telling) for t in texts]), meta_rows(np.array([meta_bins(*m) for m in metas]))
             s = model.score(text, meta)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], [*batch.schema.names, "quality_score", "keep"])
         release()

@@ -33,6 +33,22 @@ def counted(bins: list[np.ndarray], used: np.ndarray | None = None) -> tuple[np.
     return b, np.log1p(n)
 
 
+def tell_apart(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, most: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the `most` bins that tell class 1 from class 0 best, log-count ratio of every bin), of counted texts.
+
+    A bin tells by its ratio over what chance does to it, and at least by `least_z`.
+    """
+    total, having = np.ones((2, BINS)), np.ones((2, BINS))
+    for (bins, value), c in zip(texts, y.astype(int)):
+        total[c, bins] += value
+        having[c, bins] += 1
+    share = total / total.sum(1, keepdims=True)
+    ratio = np.log(share[1] / share[0])
+    z = np.abs(ratio) / np.sqrt(1 / having[0] + 1 / having[1])
+    chosen = np.sort(np.argsort(-z, kind="stable")[:most])
+    return chosen[z[chosen] >= least_z], ratio
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

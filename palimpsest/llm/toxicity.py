@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import release
-from palimpsest.llm.linear import BINS, counted, fit_logistic, ngram_bins, sigmoid
+from palimpsest.llm.linear import BINS, counted, fit_logistic, ngram_bins, sigmoid, tell_apart
 
 ORDERS = (3, 4, 5)
 
@@ -58,15 +58,7 @@ def train(rows: list[tuple[str | None, int]], keep: int = 4000, least_z: float =
     if not len(y) or y.min() == y.max():
         return ToxicityModel(weight, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0, orders)
     texts = [counted(ngram_bins(t, orders)) for t, _ in rows]
-    total, having = np.ones((2, BINS)), np.ones((2, BINS))
-    for (bins, value), c in zip(texts, y.astype(int)):
-        total[c, bins] += value
-        having[c, bins] += 1
-    share = total / total.sum(1, keepdims=True)
-    ratio = np.log(share[1] / share[0])
-    z = np.abs(ratio) / np.sqrt(1 / having[0] + 1 / having[1])
-    chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
-    chosen = chosen[z[chosen] >= least_z]
+    chosen, ratio = tell_apart(texts, y, keep, least_z)
     if not len(chosen):
         return ToxicityModel(weight, 0.0, orders)
     at = np.full(BINS, -1)

@@ -57,6 +57,16 @@ def test_co_training(spark):
     assert sum(r.quality == int(r.keep) for r in x) / len(x) > 0.9
 
 
+def test_content_that_tells_is_counted():
+    texts = [f"some plain words number {i}" for i in range(60)] + [f"some plain words BUYNOW number {i}" for i in range(60)]
+    y = np.repeat([1, 0], 60)
+    bins = cotraining.telling_bins(texts, y, 3.0)
+    hits = lambda t: int(cotraining.text_hits(t, bins).sum())
+    assert 0 < len(bins) <= cotraining.TELLING and hits("") == hits(None) == 0 < hits("x buynow y") < hits("buynow " * 5) and 2 * hits(texts[0]) < hits(texts[60])
+    assert hits("a" * 200_000 + " buynow ") and len(cotraining.telling_bins(texts, np.ones(120))) == 0
+    assert cotraining.meta_bins(None, "a", 1)[0] != cotraining.meta_bins("", "a", 1)[0]
+
+
 def test_views_teach_each_other():
     r = np.random.default_rng(0)
     y = r.integers(0, 2, 600)
@@ -79,23 +89,23 @@ def test_rare_junk_among_unlabelled_rows_is_learned():
 
 
 def test_all_unlabelled_documents_are_in_the_pool(spark, monkeypatch):
-    got = []
-    monkeypatch.setattr(cotraining, "_fit_rows", lambda rows, pool: got.append((rows, pool)))
+    got, none = [], np.zeros(0, np.int64)
+    monkeypatch.setattr(cotraining, "_fit_rows", lambda rows, pool: got.append((rows, pool(none))))
     docs = spark.range(0, 7000, 1, 5).selectExpr("nullif(id, 6999) doc_id", "concat('words of document ', id) text", "'en' lang", "'web' source", "20L n_chars")
     labels = spark.range(40).selectExpr("id doc_id", "int(id % 2) quality")
     cotraining.fit(docs, labels)
     rows, pool = got[0]
-    yes = [cotraining.View(np.zeros(n), np.ones(n), np.zeros(n), 9.0) for n in (16, 65)]
+    yes = [cotraining.View(np.zeros(n), np.ones(n), np.zeros(n), 9.0) for n in (cotraining.SHAPE + cotraining.TELLING, 65)]
     text, meta = pool([yes], [None, None])
     assert len(rows) == 40 and text[:, 0].tolist() == meta[:, 0].tolist() == [0, 6960]
     every = docs.where("doc_id is null or doc_id >= 40").collect()
-    xs = np.array([cotraining.text_features(d.text) for d in every]), np.array([cotraining.meta_features(d.lang, d.source, d.n_chars) for d in every])
+    xs = np.array([cotraining.text_features(d.text, none) for d in every]), np.array([cotraining.meta_features(d.lang, d.source, d.n_chars) for d in every])
     for a, b in zip(pool([yes], yes), cotraining.pool_sums(xs, [yes], yes, 0.9)):
         assert np.allclose(a, b, rtol=1e-5, atol=1e-3)
 
 
 def test_co_training_edges(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "x", "en", "s", 1), (1, "", "", "", 0)], DOCS)
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, "x" * 300_000, "en", "s", 1), (1, "", "", "", 0)], DOCS).withColumn("keep", F.lit("x"))
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert cotraining.score(docs, cotraining.fit(docs, labels)).count() == 3
     assert cotraining.score(docs.limit(0), cotraining.fit(docs.limit(0), labels)).count() == 0
