@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions.fenced import blocks
+
 #: Longer texts are not tried; what stands for an envelope without words of the user.
 LENGTH_LIMIT, NOTE = 1_000_000, "[MESSAGE_ENVELOPE: ~{} chars]"
-_FENCE = re.compile(r"^([ \t]*)(`{3,}|~{3})[^\n]*\n(.*?)^\1\2[^\n]*$", re.M | re.S)
 
 
 def _messages(text: str) -> list[dict] | None:
@@ -47,13 +47,12 @@ def split_prompt(text: str) -> tuple[str, bool]:
     """(the user's text, whether there was an envelope). Clean text passes unchanged."""
     if (messages := _messages(text)) is not None:
         return _last_user(messages) or NOTE.format(len(text)), True
-    for m in _FENCE.finditer(text):
-        if (messages := _messages(m[3])) is None:
-            continue
-        note = NOTE.format(len(m[3]))
-        if not text.replace(m[0], "", 1).strip():
-            return _last_user(messages) or note, True
-        return text.replace(m[0], note, 1), True
+    for block in blocks(text):
+        body = text[block.body : block.close]
+        if (messages := _messages(body)) is not None:
+            note, before, after = NOTE.format(len(body)), text[: block.start], text[block.end :]
+            alone = not (before + after).strip()
+            return (_last_user(messages) or note) if alone else before + note + after, True
     return text, False
 
 

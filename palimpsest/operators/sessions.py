@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from itertools import count as counting
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,111 +71,79 @@ def with_related_parent(rounds: DataFrame, topic: str = "topic") -> DataFrame:
     return rounds.withColumn("relatedParentId", F.lag("round_file").over(W.partitionBy("session", topic).orderBy("turn_index")))
 
 
-# -- logs with tool calls: the pairing of results with calls is a greedy claim in order, done for each session in Arrow batches
+# -- logs with tool calls. A dialect's reader turns lines into events of a common form; rounds are the stretches from one
+# question to the next, and what a round consists of is read off its events.
 
 
-class _Round:
-    def __init__(self, entry_id: str, prompt: str, ts: int):
-        self.id, self.prompt, self.ts = entry_id, prompt, ts
-        self.parts, self.segments, self.names, self.calls = [], [], [], []
+class Event(NamedTuple):
+    kind: str  # ask, say, call, result or other
+    text: str = ""
+    id: str | None = None  # of the entry for a question, of the call for calls and results
+    name: str | None = None  # of a tool
+    arguments: object = None
+    ts: int | None = None
+    about: dict | None = None  # columns that a question gives its round
 
-    def say(self, text: str) -> None:
-        self.parts.append(text)
-        self.segments.append({"type": "text", "text": text, "toolCallIndex": None})
 
-    def call(self, name: str | None, call_id: str | None, arguments) -> None:
-        if name:
-            self.names.append(name)
-        self.segments.append({"type": "toolCall", "text": None, "toolCallIndex": len(self.calls)})
-        self.calls.append(
-            {
-                "index": len(self.calls),
-                "id": call_id,
-                "name": name or "unknown",
-                "arguments": json.dumps({} if arguments is None else arguments, ensure_ascii=False, separators=(",", ":")),
-                "result_summary": "",
-                "result_full": None,
-                "result_truncated": None,
-            }
-        )
+def _string(x) -> str | None:
+    return x if isinstance(x, str) else None
 
-    def result(self, text: str, call_id: str | None, whole: bool = True, fall_back: bool = True) -> None:
-        """To the open call of that id; failing that, to the last open call."""
-        free = [c for c in self.calls if not c["result_summary"]]
-        own = [c for c in free if call_id is not None and c["id"] == call_id][:1] or (free[-1:] if fall_back else [])
-        for c in own:
-            c["result_summary"] = text[:RESULT_CLIP]
-            if whole:
-                c["result_full"], c["result_truncated"] = text, False
 
+def _objects(lines: list[str], strict: bool) -> Iterator[dict]:
+    """The lines that are JSON objects; one that is no JSON raises if `strict`."""
+    for n, line in enumerate(lines, 1):
+        try:
+            value = json.loads(line)
+        except ValueError as x:
+            if strict:
+                raise ValueError(f"line {n}: invalid JSON: {x}") from x
+            continue
+        if isinstance(value, dict):
+            yield value
 
-def _text(blocks, sep: str, kinds=("text",)) -> str:
-    return sep.join(b["text"] for b in blocks if isinstance(b, dict) and b.get("type") in kinds and isinstance(b.get("text"), str))
 
+def _blocks(content, *kinds: str) -> list[dict]:
+    return [b for b in content if isinstance(b, dict) and b.get("type") in kinds] if isinstance(content, list) else []
 
-def _host_rounds(lines: list[str], now: int, skip_short: bool) -> list[dict]:
-    """Rounds of a log of the host's dialect; lines that are no JSON objects are left out."""
-    out: list[dict] = []
-    open_: _Round | None = None
-
-    def close(end: int, final: bool) -> None:
-        raw = "\n\n".join(open_.parts).strip()
-        if final and skip_short and len(raw) < 20 and not out:
-            return
-        follow = raw.endswith(X.FOLLOWUP_MARKER)
-        out.append(_row(open_, raw.removesuffix(X.FOLLOWUP_MARKER).rstrip() if follow else raw, end, len(out), follow))
-
-    for line in lines:
-        try:
-            e = json.loads(line)
-        except ValueError:
-            continue
-        m = e.get("message") if isinstance(e, dict) and e.get("type") == "message" else None
-        if not isinstance(m, dict):
+
+def _spoken(block: dict) -> str:
+    """A text or thinking block as it stands in a response; empty if it says nothing."""
+    text = _string(block.get("text")) or ""
+    return f"[thinking] {text} [/thinking]" if text and block["type"] == "thinking" else text
+
+
+def _host_events(lines: list[str]) -> Iterator[Event]:
+    for e in _objects(lines, strict=False):
+        m = e.get("message")
+        if e.get("type") != "message" or not isinstance(m, dict):
             continue
-        content = m.get("content") if isinstance(m.get("content"), list) else []
-        ts = m.get("timestamp")
-        match m.get("role"):
-            case "user":
-                if open_:
-                    close(now if ts is None else int(ts), False)
-                open_ = _Round(e.get("id") or "", split_prompt(_text(content, " ").strip())[0], int(ts or 0))
-            case "assistant" if open_:
-                for b in content:
-                    if not isinstance(b, dict):
-                        continue
-                    t = b.get("text")
-                    if b.get("type") in ("text", "thinking") and isinstance(t, str) and t:
-                        open_.say(t if b["type"] == "text" else f"[thinking] {t} [/thinking]")
-                    elif b.get("type") == "toolCall":
-                        named = b.get("name") if isinstance(b.get("name"), str) else None
-                        open_.call(named, b.get("id") if isinstance(b.get("id"), str) else None, b.get("arguments"))
-            case "toolResult" if open_:
-                if m.get("toolName"):
-                    open_.names.append(m["toolName"])
-                said = " ".join(
-                    b["text"] if b["type"] == "text" else f"[thinking] {b['text']} [/thinking]"
-                    for b in content
-                    if isinstance(b, dict) and b.get("type") in ("text", "thinking") and isinstance(b.get("text"), str) and b["text"]
-                )
-                open_.result(said, m.get("toolCallId") if isinstance(m.get("toolCallId"), str) else None)
-    if open_:
-        close(now, True)
-    return out
+        content = m.get("content")
+        if m.get("role") == "user":
+            asked = " ".join(b["text"] for b in _blocks(content, "text") if _string(b.get("text")) is not None)
+            ts = m.get("timestamp")
+            yield Event("ask", split_prompt(asked.strip())[0], e.get("id") or "", ts=None if ts is None else int(ts))
+        elif m.get("role") == "assistant":
+            for b in _blocks(content, "text", "thinking", "toolCall"):
+                if b["type"] == "toolCall":
+                    yield Event("call", id=_string(b.get("id")), name=_string(b.get("name")), arguments=b.get("arguments"))
+                elif said := _spoken(b):
+                    yield Event("say", said)
+        elif m.get("role") == "toolResult":
+            said = " ".join(filter(None, map(_spoken, _blocks(content, "text", "thinking"))))
+            yield Event("result", said, _string(m.get("toolCallId")), m.get("toolName") or None)
 
 
 def _import_text(content, results: bool = False) -> str:
+    """The texts of a message's content by lines; with `results`, those in tool results too."""
     if isinstance(content, str):
         return content.strip()
     parts = []
-    for b in content if isinstance(content, list) else []:
-        if not isinstance(b, dict):
-            continue
-        if b.get("type") == "text" and isinstance(b.get("text"), str):
+    for b in _blocks(content, "text", *["tool_result"] * results):
+        if b["type"] == "tool_result":
+            inner = b.get("content")
+            parts += [inner] if isinstance(inner, str) else [_import_text(inner, True)] if isinstance(inner, list) else []
+        elif _string(b.get("text")) is not None:
             parts.append(b["text"])
-        elif results and b.get("type") == "tool_result":
-            c = b.get("content")
-            parts += [c] if isinstance(c, str) else [_import_text(c, True)] if isinstance(c, list) else []
     return "\n".join(parts).strip()
 
 
@@ -179,74 +152,116 @@ def _millis(stamp) -> int:
     return 0 if t is pd.NaT else int(t.timestamp() * 1000)
 
 
-def _import_rounds(lines: list[str], now: int, sidechains: bool = False) -> list[dict]:
-    """Rounds of a log of the import dialect. A line that is no JSON makes the whole file an error."""
-    out: list[dict] = []
-    open_: _Round | None = None
-    end, meta = 0, {}
-
-    def close() -> None:
-        raw = "\n\n".join(open_.parts).strip()
-        if open_.prompt and len(raw) >= 20:
-            out.append(_row(open_, raw, end or now, len(out), False) | meta)
-
-    for n, line in enumerate(lines, 1):
-        try:
-            e = json.loads(line)
-        except ValueError as x:
-            raise ValueError(f"line {n}: invalid JSON: {x}") from x
-        if not isinstance(e, dict) or (e.get("isSidechain") and not sidechains):
+def _import_events(lines: list[str], sidechains: bool = False) -> Iterator[Event]:
+    for e in _objects(lines, strict=True):
+        if e.get("isSidechain") and not sidechains:
             continue
         m = e.get("message") if isinstance(e.get("message"), dict) else {}
-        content = m.get("content")
-        asks = e.get("type") == "user" and (
-            bool(content.strip()) if isinstance(content, str) else any(isinstance(b, dict) and b.get("type") == "text" and str(b.get("text") or "").strip() for b in content or [])
-        )
-        if asks:
-            if open_:
-                close()
-            open_, end = _Round("", split_prompt(_import_text(content))[0], _millis(e.get("timestamp"))), _millis(e.get("timestamp"))
-            meta = {"source": "import", "cwd": e.get("cwd"), "gitBranch": e.get("gitBranch"), "sourceSession": e.get("sessionId")}
-        elif open_ and isinstance(content, list) and e.get("type") == "assistant":
-            end = _millis(e.get("timestamp")) or end
-            for b in content:
-                if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str) and b["text"].strip():
-                    open_.say(b["text"])
-                elif isinstance(b, dict) and b.get("type") == "tool_use":
-                    open_.call(b["name"] if isinstance(b.get("name"), str) else None, b.get("id") if isinstance(b.get("id"), str) else None, b.get("input"))
-        elif open_ and isinstance(content, list) and e.get("type") == "user":
-            for b in content:
-                if isinstance(b, dict) and b.get("type") == "tool_result":
-                    _import_result(open_, b)
-    if open_:
-        close()
-    for r in out:
-        r["id"] = None  # taken from the content by the caller
-    return out
-
-
-def _import_result(r: _Round, block: dict) -> None:
-    """By id where there is one (a later result replaces an earlier), else to the last call without a result."""
-    text, call_id = _import_text([block], True)[:RESULT_CLIP], block.get("tool_use_id")
-    own = [c for c in r.calls if c["id"] == call_id][-1:] if isinstance(call_id, str) else [c for c in r.calls if not c["result_summary"]][-1:]
-    for c in own:
-        c["result_summary"] = text
-
-
-def _row(r: _Round, response: str, end: int, turn: int, follow: bool) -> dict:
+        content, ts = m.get("content"), _millis(e.get("timestamp"))
+        if e.get("type") == "user" and (str(content).strip() if isinstance(content, str) else any(str(b.get("text") or "").strip() for b in _blocks(content, "text"))):
+            about = {"source": "import", "cwd": e.get("cwd"), "gitBranch": e.get("gitBranch"), "sourceSession": e.get("sessionId")}
+            yield Event("ask", split_prompt(_import_text(content))[0], ts=ts, about=about)
+        elif e.get("type") == "user":
+            yield from (Event("result", _import_text([b], True), _string(b.get("tool_use_id"))) for b in _blocks(content, "tool_result"))
+        elif e.get("type") == "assistant" and isinstance(content, list):
+            yield Event("other", ts=ts or None)
+            for b in _blocks(content, "text", "tool_use"):
+                if b["type"] == "tool_use":
+                    yield Event("call", id=_string(b.get("id")), name=_string(b.get("name")), arguments=b.get("input"))
+                elif (_string(b.get("text")) or "").strip():
+                    yield Event("say", b["text"])
+
+
+def _rounds(events: Iterable[Event]) -> list[list[Event]]:
+    """Stretches from one question to the next; what comes before the first is left out."""
+    numbered, n = [], 0
+    for e in events:
+        n += e.kind == "ask"
+        numbered.append((n, e))
+    return [[e for _, e in stretch] for n, stretch in groupby(numbered, itemgetter(0)) if n]
+
+
+def _first_open(calls: list[Event], claimed: dict[int, str], call_id: str | None) -> int | None:
+    """The first call of that id without a result, else the last call without one."""
+    free = [i for i in range(len(calls)) if not claimed.get(i)]
+    return next((i for i in free if call_id is not None and calls[i].id == call_id), free[-1] if free else None)
+
+
+def _own_or_open(calls: list[Event], claimed: dict[int, str], call_id: str | None) -> int | None:
+    """The last call of that id, whose result is replaced; for a result without an id the last call without one."""
+    fits = [i for i, c in enumerate(calls) if (c.id == call_id if call_id is not None else not claimed.get(i))]
+    return fits[-1] if fits else None
+
+
+def _tool_calls(events: list[Event], claims, whole: bool) -> list[dict]:
+    calls: list[Event] = []
+    claimed: dict[int, str] = {}
+    for e in events:
+        if e.kind == "call":
+            calls.append(e)
+        elif e.kind == "result" and (i := claims(calls, claimed, e.id)) is not None:
+            claimed[i] = e.text if whole else e.text[:RESULT_CLIP]
+    return [
+        {
+            "index": i,
+            "id": c.id,
+            "name": c.name or "unknown",
+            "arguments": json.dumps({} if c.arguments is None else c.arguments, ensure_ascii=False, separators=(",", ":")),
+            "result_summary": claimed.get(i, "")[:RESULT_CLIP],
+            "result_full": claimed.get(i) if whole else None,
+            "result_truncated": False if whole and i in claimed else None,
+        }
+        for i, c in enumerate(calls)
+    ]
+
+
+def _row(events: list[Event], response: str, end: int, turn: int, follow: bool, calls: list[dict]) -> dict:
+    asked, *rest = events
+    shown, number = [e for e in rest if e.kind in ("say", "call")], counting()
+    segment = lambda e: {"type": "text", "text": e.text, "toolCallIndex": None} if e.kind == "say" else {"type": "toolCall", "text": None, "toolCallIndex": next(number)}
     return {
-        "id": r.id,
-        "userPrompt": r.prompt,
+        "id": asked.id,
+        "userPrompt": asked.text,
         "responseSequence": response,
         "turnIndex": turn,
-        "userTimestamp": r.ts,
+        "userTimestamp": asked.ts or 0,
         "responseEndTimestamp": end,
-        "toolCallCount": len(r.calls),
-        "toolCallNames": list(dict.fromkeys(r.names)),
-        "toolCalls": r.calls,
-        "responseSegments": r.segments,
+        "toolCallCount": len(calls),
+        "toolCallNames": list(dict.fromkeys(e.name for e in rest if e.name)),
+        "toolCalls": calls,
+        "responseSegments": [segment(e) for e in shown],
         "needsFollowup": follow,
-    }
+    } | (asked.about or {})
+
+
+def _response(events: list[Event]) -> str:
+    return "\n\n".join(e.text for e in events if e.kind == "say").strip()
+
+
+def _host_rounds(lines: list[str], now: int, skip_short: bool) -> list[dict]:
+    """Rounds of a log of the host's dialect. A log of one short answer alone has none if `skip_short`."""
+    rounds = _rounds(_host_events(lines))
+    if skip_short and len(rounds) == 1 and len(_response(rounds[0])) < 20:
+        return []
+    ends = [now if r[0].ts is None else r[0].ts for r in rounds[1:]] + [now]
+    out = []
+    for turn, (events, end) in enumerate(zip(rounds, ends)):
+        raw = _response(events)
+        answer = raw.removesuffix(X.FOLLOWUP_MARKER)
+        follow = answer != raw
+        out.append(_row(events, answer.rstrip() if follow else raw, end, turn, follow, _tool_calls(events, _first_open, True)))
+    return out
+
+
+def _import_rounds(lines: list[str], now: int) -> list[dict]:
+    """Rounds of a log of the import dialect with a prompt and an answer of some length. A line that is no JSON raises."""
+    out = []
+    for events in _rounds(_import_events(lines)):
+        response = _response(events)
+        if events[0].text and len(response) >= 20:
+            end = [e.ts for e in events if e.ts][-1:] or [now]
+            out.append(_row(events, response, end[0], len(out), False, _tool_calls(events, _own_or_open, False)))
+    return out
 
 
 def parse_logs(files: DataFrame, dialect: str = "host", now: int = 0, skip_short_final: bool = False) -> DataFrame:
