@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.prng import shuffled
 from palimpsest.functions.text import golden_tokens
+from palimpsest.operators import bm25
 
 TOP_N, CAP = 12, 20  # fixed values
 
 
-def keyword_channel(queries: DataFrame, texts: DataFrame, candidates: DataFrame, k: int = TOP_N) -> DataFrame:
-    """(query, round_file, score, rank): candidates by how many distinct words of the query they have."""
+def keyword_channel(queries: DataFrame, texts: DataFrame, candidates: DataFrame | None = None, k: int = TOP_N) -> DataFrame:
+    """(query, round_file, score, rank): candidates by how many distinct words of the query they have; without `candidates`, all texts.
+
+    Words that no query has are dropped before anything moves.
+    """
     q = queries.select("query", F.explode(F.array_distinct(golden_tokens("prompt"))).alias("w"))
-    t = texts.select("round_file", F.explode(F.array_distinct(golden_tokens("text"))).alias("w"))
+    t = bm25.spread(texts.select("round_file", "text")).select("round_file", F.explode(F.array_distinct(golden_tokens("text"))).alias("w"))
     hits = t.join(q, "w").groupBy("query", "round_file").agg(F.count(F.lit(1)).alias("score"))
-    x = hits.join(candidates.select("query", "round_file"), ["query", "round_file"], "left_semi")
+    x = hits if candidates is None else hits.join(candidates.select("query", "round_file"), ["query", "round_file"], "left_semi")
     w = W.partitionBy("query").orderBy(F.desc("score"), "round_file")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

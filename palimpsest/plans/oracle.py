@@ -107,8 +107,7 @@ _TOOLS = "t as (select 'u' || user_id round_file, event_type tool_name, lower(ev
 _CHAIN = f"""with recursive {_EVENTS},
 p as (select round_file, lag(round_file) over (partition by user_id order by ts, event_id) parent, value from e),
 walk as (select round_file target, 0 depth, round_file, parent, value from p
-    union all select w.target, w.depth + 1, p.round_file, p.parent, p.value from walk w join p on p.round_file = w.parent where w.depth < 3)"""
-_WHOLE_CHAIN = _CHAIN.replace(" where w.depth < 3", "")
+    union all select w.target, w.depth + 1, p.round_file, p.parent, p.value from walk w join p on p.round_file = w.parent)"""
 _POS = f"""with {_EVENTS}, x as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as position from e qualify position <= 5),
 p as (select position, count(*) presented, count(*) filter (value > 10) read from x group by position)"""
 _TOPK = f"with {_VEC} s as (select q.query, v.vec_id, round({_DOT}, 6) score from q cross join v), topk as ({_top('s', 12, key='vec_id')})"
@@ -123,6 +122,9 @@ ORACLE: dict[str, str] = {
     "bm25_term_freq": f"select term, sum(tf)::bigint tf, count(*) df, max(tf) most from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TOKENS}) term from documents) group by all) group by term",
     "bm25_doc_stats": f"select count(*) n, round(avg(len({_TOKENS})), 6) avgdl from documents",
     "bm25_score": f"with {_bm25(_BENCH)[:-1]} select query, round_file, round(score, 6) score from scores",
+    "bm25_score_unstored": f"with {_bm25(_BENCH)[:-1]} select query, round_file, round(score, 6) score from scores",
+    "lexical_freshness": f"""select state, state = 'same' fresh, n, tokens from (values ('unwritten'), ('same'), ('added'), ('removed')) s(state),
+        (select count(*) + 1 n, sum(len({_TOKENS}))::bigint + 3 tokens from documents)""",
     "bm25_normalized": f"with {_bm25(_BENCH)}{_normalized()[:-1]} select query, round_file, round(normalized, 6) normalized from norm",
     "text_match_top5": f"with {_bm25(_BENCH)}{_normalized()} x as (select query, round_file, round(normalized, 6) score from norm) {_top('x', 5, 'score >= 0.25')}",
     "text_match_scoped": f"with {_bm25(_BENCH)} scoped as (select s.* from scores s join docs d using (round_file) where d.lang = 'de'),{_normalized('scoped')} x as (select query, round_file, round(normalized, 6) score from norm) {_top('x', 5, 'score >= 0.25')}",
@@ -223,4 +225,3 @@ ORACLE: dict[str, str] = {
         md5(case when response = '' and turn_index % 2 = 0 then '' else concat_ws(chr(10), nullif(response, ''), case when turn_index % 2 = 1 then '[Tool call REDACTED: use get_tool_details("' || round_file || '", 0) to expand]' || chr(10) || '[Tool call REDACTED: use get_tool_details("' || round_file || '", 1) to expand]' end) end) digest from rounds""",
     "session_stream_backfill": f"with {_ROUNDS} select session, turn_index, round_file, prompt \"userPrompt\", response \"responseSequence\", false \"needsFollowup\", n_messages from rounds qualify lead(ts) over (partition by session order by turn_index) is not null",
 }
-ORACLE |= {f"{new}_to_root": ORACLE[old].replace(_CHAIN, _WHOLE_CHAIN) for new, old in (("parent_chain", "parent_chain_recursive"), ("origin_posterior", "origin_posterior"))}

@@ -55,8 +55,37 @@ def bm25_doc_stats(s, d):
     return bm25.corpus_stats(bm25.doc_lengths(C.documents(s, d), "doc_id", "text")).select("n", r6("avgdl").alias("avgdl"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _lexical(s, d, queries: DataFrame) -> DataFrame:
+    """Scores over the session's stored index of the documents, which the first search writes; queries (query, text)."""
+    path = _indexes.setdefault((s.sparkContext.applicationId, d), scratch_path(s, "lexical"))
+    index = bm25.stored_index(C.documents(s, d), "round_file", "text", path)
+    return bm25.score_index(*index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
+
+
 def _scores(s, d):
-    return bm25.score(C.documents(s, d), "round_file", "text", C.text_queries(s, d), "query", "text")
+    return _lexical(s, d, C.text_queries(s, d))
+
+
+@query
+def bm25_score_unstored(s, d):
+    """Scores of the benchmark's texts in one scan of the documents, without an index."""
+    x = bm25.score(C.documents(s, d), "round_file", "text", C.text_queries(s, d), "query", "text")
+    return x.select("query", "round_file", r6("score").alias("score"))
+
+
+@query
+def lexical_freshness(s, d):
+    """A stored index is read while it has exactly the documents of the store; with one more or one less it is written anew."""
+    docs, path = C.documents(s, d).select("round_file", "text"), scratch_path(s, "lexical")
+    before = bm25.read_index(s, path, docs)
+    bm25.write_index(docs, "round_file", "text", path)
+    more = docs.unionByName(s.createDataFrame([("new", "one more text")], "round_file string, text string"))
+    states = [("unwritten", before), ("same", bm25.read_index(s, path, docs)), ("added", bm25.read_index(s, path, more)), ("removed", bm25.read_index(s, path, docs.where("round_file <> '0'")))]
+    lengths = bm25.stored_index(more, "round_file", "text", path)[1].agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"))
+    return s.createDataFrame([(k, v is not None) for k, v in states], "state string, fresh boolean").join(F.broadcast(lengths))
 
 
 @query
@@ -94,7 +123,7 @@ def lexical_overlap(s, d):
     """Keyword channel: each query's twelve documents with most of its words."""
     q = C.text_queries(s, d).select("query", F.col("text").alias("prompt"))
     docs = C.documents(s, d).select("round_file", "text")
-    x = golden.keyword_channel(q, docs, q.select("query").join(docs.select("round_file")))
+    x = golden.keyword_channel(q, docs)
     return x.select("query", "round_file", long("score").alias("score"), long("rank").alias("rank"))
 
 
@@ -137,7 +166,7 @@ def _hybrid(s, d, alpha: float = 0.7):
     """Queries of the vector set with the text of the document of the same id; a document is the round of its number."""
     q = C.vector_queries(s, d)
     texts = q.join(C.documents(s, d).select(F.col("round_file").alias("query"), "text"), "query").select("query", "text")
-    lexical = bm25.normalize(bm25.score(C.documents(s, d), "round_file", "text", texts, "query", "text"), "query")
+    lexical = bm25.normalize(_lexical(s, d, texts), "query")
     return search.similarity(C.vectors(s, d), q, lexical=lexical, alpha=alpha)
 
 
@@ -537,28 +566,13 @@ def _parents(s, d):
 
 @query
 def parent_chain_recursive(s, d):
-    """The chain of every event, four links deep."""
-    r = _parents(s, d)
-    return chain.walk_chain(r.select(F.col("round_file").alias("target")), r, 4).select("target", long("depth").alias("depth"), "round_file")
-
-
-@query
-def origin_posterior(s, d):
-    r = _parents(s, d)
-    links = chain.walk_chain(r.select(F.col("round_file").alias("target")), r, 4).join(r.select("round_file", F.least(F.lit(1.0), F.col("value") / 100).alias("fault")), "round_file")
-    x = chain.origin_profile(links)
-    return x.select("target", r6("p_outside").alias("p_outside"), r6("entropy").alias("entropy"), "top", r6(F.element_at("p_origin", -1)).alias("p_last"))
-
-
-@query
-def parent_chain_to_root(s, d):
     """The whole chain of every event."""
     r = _parents(s, d)
     return chain.walk_chain(r.select(F.col("round_file").alias("target")), r).select("target", long("depth").alias("depth"), "round_file")
 
 
 @query
-def origin_posterior_to_root(s, d):
+def origin_posterior(s, d):
     r = _parents(s, d)
     links = chain.walk_chain(r.select(F.col("round_file").alias("target")), r).join(r.select("round_file", F.least(F.lit(1.0), F.col("value") / 100).alias("fault")), "round_file")
     x = chain.origin_profile(links)

@@ -13,6 +13,7 @@ from palimpsest.operators import bm25, evaluate, maintain, toolsearch
 from palimpsest.operators import search as ranked_search
 from palimpsest.sources import embed
 from palimpsest.sources.embed import Embedder, hashing_embedder
+from palimpsest.sources.scratch import scratch_path
 
 
 @dataclass
@@ -24,6 +25,7 @@ class RetrievalStore:
     vectors: DataFrame
     model: str = "default"
     embedder: Embedder = hashing_embedder
+    index_path: str | None = None  # of the stored lexical index; by default a fresh path in the shared folder
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -33,9 +35,14 @@ class RetrievalStore:
     def tools(self) -> DataFrame:
         return toolsearch.tool_rows(self.rounds)
 
+    @cached_property
+    def lexical_index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the store's rounds: what is stored if it is fresh, else written anew."""
+        return bm25.stored_index(self.texts, "round_file", "text", self.index_path or scratch_path(self.spark, "lexical"))
+
     def lexical(self, queries: DataFrame) -> DataFrame:
         """(query, round_file, score) over the whole store: a scope never changes the statistics."""
-        return bm25.score(self.texts, "round_file", "text", queries, "query", "text")
+        return bm25.score_index(*self.lexical_index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
 
     def _query_vectors(self, queries: DataFrame) -> DataFrame:
         """(query, model, vector): every query under every model of the index; models whose embedding fails should raise in the embedder."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions.text import key_parts
 from palimpsest.sources.schemas import ROUND, STATS
 
 
@@ -23,11 +24,17 @@ def read_rounds(spark: SparkSession, path: str, strict: bool = False) -> DataFra
 
 
 def read_round(rounds: DataFrame, key: str) -> DataFrame:
-    """One round by its file or by a row key with a suffix; missing lists are empty, missing numbers 0."""
-    from palimpsest.functions.text import key_parts
-
+    """One round by its file or by a row key with a suffix; see with_defaults."""
     file = key_parts(F.lit(key))[0]
-    return rounds.where(F.col("round_file") == file).fillna({"userPrompt": "", "responseSequence": "", "toolCallCount": 0})
+    return with_defaults(rounds.where(F.col("round_file") == file))
+
+
+def with_defaults(rounds: DataFrame) -> DataFrame:
+    """Rounds with missing texts and lists empty, missing numbers 0 and no follow-up where none is noted."""
+    plain = {"string": F.lit(""), "int": F.lit(0), "boolean": F.lit(False)}
+    own = {"userPrompt", "responseSequence", "turnIndex", "toolCallCount", "needsFollowup", "toolCallNames", "toolCalls", "responseSegments"}
+    default = lambda f: F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else plain[f.dataType.simpleString()]
+    return rounds.select(*[F.coalesce(F.col(f.name), default(f)).alias(f.name) if f.name in own else F.col(f.name) for f in rounds.schema.fields])
 
 
 def modified_after(files: DataFrame, cutoff_ms: int) -> DataFrame:

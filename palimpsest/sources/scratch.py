@@ -7,7 +7,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset, a local session uses its own warehouse; a cluster needs a
+    warehouse that is not on one machine, or there is no shared folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not one_machine and (":" not in warehouse or warehouse.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return ("" if ":" in warehouse else "file:") + warehouse + "/_shared"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where it is unset, beside the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,8 @@
 """Rounds and topics from a stream of messages, and an idempotent sink.
 
 A round is closed by the next user message of its session (punctuation, not
-time), so state is one open round a session; a watermark lets idle sessions
-close. Results equal the batch operators' over the same messages.
+time), so state is one open round a session; a timeout lets idle sessions close.
+Results equal the batch operators' over the same messages.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -87,9 +88,20 @@ def stream_topics(rounds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def store_stream(rounds: DataFrame, path: str, checkpoint: str):
-    """Runs what is there now into a Parquet table. A batch that is repeated after a failure writes its own files anew."""
+    """Runs what is there now into a Parquet table, each round once.
+
+    A batch leaves out what other batches have stored already. One that is repeated
+    after a failure writes its own files anew.
+    """
 
     def write(df: DataFrame, batch: int) -> None:
-        df.dropDuplicates(["round_file"]).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        fresh = df.dropDuplicates(["round_file"])
+        try:
+            stored = df.sparkSession.read.parquet(path).where(F.col("batch") != batch).select("round_file")
+        except AnalysisException:  # nothing is stored yet
+            stored = None
+        if stored is not None:
+            fresh = fresh.join(stored, "round_file", "left_anti").select(*df.columns)
+        fresh.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return rounds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
