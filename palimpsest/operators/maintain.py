@@ -138,10 +138,33 @@ def concurrent_appends(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def shard_summary(rows: DataFrame, own: str) -> DataFrame:
-    """(shard, n_rows, rounds) of the other hosts' shards."""
+    """(shard, n_rows, rounds) of the other hosts' shards, for records that list them: see shard_rounds for large ones."""
     return rows.where(F.col("shard") != own).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("round_file")).alias("rounds"))
 
 
+def shard_rounds(rows: DataFrame, own: str) -> DataFrame:
+    """(shard, round_file, n_rows) of the other hosts' shards: a row for each round, so no shard gathers in one cell."""
+    return rows.where(F.col("shard") != own).groupBy("shard", "round_file").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def persist_outcomes(rounds: DataFrame, stored: DataFrame) -> DataFrame:
+    """(session, turn_index, round_file, outcome) of rounds (those columns and userPrompt) that are to be stored.
+
+    'no-prompt' without words of the user; 'dedup' where the file is stored
+    already, or an earlier round of the table has it; 'blocked' where an earlier
+    round of the session is neither stored nor to be saved, so that a gap would
+    stay; else 'saved'.
+    """
+    known = stored.select("round_file").distinct().withColumn("_stored", F.lit(True))
+    first = F.row_number().over(W.partitionBy("round_file").orderBy("session", "turn_index")) == 1
+    blank = F.coalesce(X.trim_unicode("userPrompt"), F.lit("")) == ""
+    x = rounds.withColumn("_first", first).join(known, "round_file", "left").withColumn("_blank", blank)
+    before = W.partitionBy("session").orderBy("turn_index").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("_gap", F.coalesce(F.max(F.col("_blank") & F.col("_stored").isNull()).over(before), F.lit(False)))
+    outcome = F.when(F.col("_stored") | (~F.col("_blank") & ~F.col("_first")), "dedup").when(F.col("_blank"), "no-prompt").when(F.col("_gap"), "blocked").otherwise("saved")
+    return x.select("session", "turn_index", "round_file", outcome.alias("outcome"))
+
+
 def missing_rounds(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     """Parsed rounds that are stored neither under their name nor, but for outer white space, under another.
 

@@ -14,6 +14,7 @@ from palimpsest.functions.noise import prompt_input
 from palimpsest.functions.vectors import dot, normalize
 from palimpsest.operators import bm25, chain, details, evaluate, golden, grouping, maintain, memory, search, sessions, toolsearch
 from palimpsest.plans import catalog as C
+from palimpsest.plans import parts
 from palimpsest.sources import embed, shards
 from palimpsest.sources import rounds as stored
 from palimpsest.sources.scratch import scratch_path
@@ -611,12 +612,6 @@ def envelope_extract(s, d):
     return x.select("session", F.col("e.was_envelope").alias("was_envelope"), F.md5("e.text").alias("digest"))
 
 
-@query
-def response_clip(s, d):
-    t = C.documents(s, d).select("doc_id", X.response_input("text", 2000).alias("t"))
-    return t.select("doc_id", long(F.octet_length("t")).alias("n_bytes"), F.md5("t").alias("digest"))
-
-
 @query
 def excerpts(s, d):
     return C.documents(s, d).select("doc_id", X.excerpt("text").alias("excerpt"), X.size_label(F.octet_length("text")).alias("size"))
@@ -655,7 +650,8 @@ def embed_stub(s, d):
     r = _rounds(s, d)
     rows = maintain.embed_rows(r, prompt_input(F.col("userPrompt")), X.response_input("responseSequence"))
     x = embed.embed_texts(rows, "text", "stub")
-    return x.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("vector").alias("embedded"))
+    moment = F.aggregate(F.transform("vector", lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b)
+    return x.select("round_file", "suffix", dot(F.col("vector"), F.col("vector")).alias("norm2"), moment.alias("moment"))
 
 
 @query
@@ -667,3 +663,6 @@ def session_stream_backfill(s, d):
     out = scratch_path(s, "rounds")
     store_stream(stream_rounds(log), out, scratch_path(s, "progress")).awaitTermination()
     return s.read.parquet(out).drop("batch").withColumn("turn_index", long("turn_index")).withColumn("n_messages", long("n_messages"))
+
+
+QUERIES |= parts.QUERIES

@@ -28,3 +28,21 @@ def parse_tool_lines(lines: DataFrame) -> DataFrame:
 
 def format_tool_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", "round_file", "tool_index", "tool_name", "searchable").alias("value"))
+
+
+def newest_first(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Files by their time of change, the newest first, unknown times last, ties by path; at most `most` of them."""
+    ordered = files.orderBy(F.col("modified_ms").desc_nulls_last(), "path")
+    return files.sparkSession.createDataFrame([], files.schema) if most == 0 else ordered.limit(most) if most else ordered
+
+
+def last_examined(files: DataFrame, before: int = 0) -> DataFrame:
+    """One row: the time up to which files have been examined, which never goes back."""
+    return files.agg(F.greatest(F.coalesce(F.max("modified_ms"), F.lit(0)), F.lit(before)).alias("examined_ms"))
+
+
+def new_rounds(parsed: DataFrame, stored: DataFrame, most: int | None = None) -> DataFrame:
+    """Rounds of an import that are not stored, each once, the earliest first; `most` counts after that."""
+    fresh = parsed.join(stored.select("round_file"), "round_file", "left_anti").groupBy("round_file").agg(F.min("userTimestamp").alias("userTimestamp"))
+    ordered = fresh.orderBy("userTimestamp", "round_file")
+    return ordered.limit(most) if most else ordered

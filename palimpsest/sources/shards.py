@@ -102,3 +102,24 @@ def replace_own(stored: DataFrame, own: str, fresh: DataFrame, baseline: DataFra
     """The own shard's new rows: `fresh`, and what others appended to it since `baseline` was read."""
     appended = stored.where(F.col("shard") == own).exceptAll(baseline)
     return fresh.unionByName(appended)
+
+
+def broken_rows(parsed: DataFrame) -> DataFrame:
+    """(shard, broken): how many lines of each shard could not be parsed, where there are any; read_index leaves them out."""
+    return parsed.where("not ok").groupBy("shard").agg(F.count(F.lit(1)).alias("broken"))
+
+
+#: Fixed value: the one file of an index from before shards.
+LEGACY = "index.csv"
+
+
+def adopt_legacy(lines: DataFrame, own: str) -> DataFrame:
+    """Lines of the index from before shards become the own shard's, where there is none yet; else they stay what they are."""
+    mine = lines.where(F.col("shard") == own).agg(F.count(F.lit(1)).alias("_mine"))
+    adopted = (F.col("shard") == LEGACY) & (F.col("_mine") == 0)
+    return lines.join(F.broadcast(mine)).withColumn("shard", F.when(adopted, own).otherwise(F.col("shard"))).drop("_mine")
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Adds vector rows to a table partitioned by shard. A writer makes files of its own, so hosts need no lock."""
+    rows.write.mode("append").partitionBy("shard").parquet(path)

@@ -6,10 +6,11 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans.oracle import ORACLE
+from palimpsest.plans import oracle, parts
 from palimpsest.plans.queries import QUERIES
 from tests.conftest import DATA
 
+ORACLE = oracle.ORACLE | parts.ORACLE
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
