@@ -4,6 +4,11 @@ toxicity drops the documents that the classifier rejects; the n-gram join keeps
 the smallest id of each group of near-duplicates; suffix dedup removes repeated
 passages; mixing repeats documents to the target weights in a random order; BPE
 encodes what is left and checks the way back.
+
+All stages: `docs` has the columns of documents, of which any may be null; columns
+beyond these are dropped, whatever their names. An empty table gives an empty one.
+Rows without an id, and rows that share one, are documents of their own. A null text
+counts as empty and stays null. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,7 +27,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5 by a model fitted on a bounded sample of `labels`."""
+    """Documents scored under 0.5 by a model fitted on a bounded sample of `labels`.
+
+    A score depends on the text alone, so repeated rows go or stay together; null and
+    empty texts have the score of a text without features. Without labels of both kinds
+    nothing is known, and a score of 0.5 or the labels' only kind decides for all.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model, 0.5).where("toxic_predicted = 0").select(*COLUMNS)
 
@@ -45,7 +55,11 @@ def _own_ids(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that links connect; a row is a document, also without an id or with another's."""
+    """The document of smallest id of each group that links connect; a row is a document, also without an id or with another's.
+
+    Of rows with one id, and of rows without, the first by their texts stands for
+    equal ones. Empty and null texts are linked with nothing: all of them stay.
+    """
     docs = _row_keys(docs)
     keep = ngram_join.ngram_join(docs).where("doc_id = component_id").select("doc_id")
     return _own_ids(docs.join(keep, "doc_id", "left_semi"))
@@ -55,7 +69,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without the bytes of repeated 100-byte strings; a character that lost a byte goes, n_chars is counted anew.
 
     What stands before a removed run and what stands after it never make a character together. Rows without an id or
-    with another's stay, as documents of their own.
+    with another's stay, as documents of their own. Of equal strings the first by id keeps its bytes; a document of which
+    nothing is left stays with an empty text. Texts without repeats, null ones too, and their n_chars are left as they are.
     """
     out = suffix_dedup.suffix_dedup(_row_keys(docs))
     whole = F.size("spans") == 0
@@ -75,11 +90,18 @@ def _whole_characters(kept, starts, ends):
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document by a draw that its id seeds, with the mean that its source's weight asks for, in the order of a hash.
+
+    A null source is a source of its own. Rows that share an id, and those without one, share a draw.
+    """
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens, decodes: the tokens of each copy, and whether they decode to its text."""
+    """doc_id, source, ids, n_tokens, decodes: the tokens of each copy, and whether they decode to its text.
+
+    One row a row; null and empty texts have no tokens and decode.
+    """
     coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return coded.select("doc_id", "source", "ids", "n_tokens", same.alias("decodes"))

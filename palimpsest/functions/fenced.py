@@ -26,6 +26,8 @@ class Block(NamedTuple):
 
 
 def blocks(text: str) -> Iterator[Block]:
+    if "```" not in text and "~~~" not in text:
+        return
     marks = list(_MARK.finditer(text))
     alike = defaultdict(list)
     for i, m in enumerate(marks):

@@ -48,13 +48,24 @@ def bm25_tokens(text: Column | str) -> Column:
     return F.coalesce(F.flatten(F.transform(raw, lambda r: F.transform(F.concat(F.array(r), parts(r)), stem))), F.array().cast("array<string>"))
 
 
+def token_runs(lowered: Column) -> Column:
+    return F.regexp_extract_all(lowered, F.lit(f"({TOKEN_CLASS})"), 1)  # unlike split(), it compiles its pattern once
+
+
+def has_border(run: Column) -> Column:
+    return run.contains(".") | run.contains("-") | run.contains(":") | run.contains("/")
+
+
+def token_parts(run: Column) -> Column:
+    """What stands between the borders of a run that has some."""
+    return F.regexp_extract_all(run, F.lit("([a-z0-9_]+)"), 1)
+
+
 def token_bag(text: Column | str) -> Column:
     """The same tokens in another order and before stemming: stemming them once exploded stays in generated code."""
-    t = F.lower(col(text))
-    runs = lambda p: F.regexp_extract_all(t, F.lit(f"({p})"), 1)
-    joined = runs(r"[a-z0-9_./:-]*[./:-][a-z0-9_./:-]*")  # the runs that have parts
-    parts = F.flatten(F.transform(joined, lambda r: F.filter(F.split(r, "[./:-]+"), lambda p: p != "")))
-    return F.coalesce(F.concat(runs(TOKEN_CLASS), parts), F.array().cast("array<string>"))
+    runs = token_runs(F.lower(col(text)))
+    parts = F.flatten(F.transform(F.filter(runs, has_border), token_parts))
+    return F.coalesce(F.concat(runs, parts), F.array().cast("array<string>"))
 
 
 def golden_tokens(text: Column | str) -> Column:

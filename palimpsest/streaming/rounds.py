@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.functions import text as X
 from palimpsest.operators.grouping import THRESHOLD, Topics
+from palimpsest.sources.scratch import exists
 
 ROUND = "session long, round int, prompt string, raw string, n_messages int"
 _STATE = "round int, prompt string, parts array<string>, n int, last long"
@@ -96,11 +96,8 @@ def store_stream(rounds: DataFrame, path: str, checkpoint: str):
 
     def write(df: DataFrame, batch: int) -> None:
         fresh = df.dropDuplicates(["round_file"])
-        try:
+        if exists(df.sparkSession, path):
             stored = df.sparkSession.read.parquet(path).where(F.col("batch") != batch).select("round_file")
-        except AnalysisException:  # nothing is stored yet
-            stored = None
-        if stored is not None:
             fresh = fresh.join(stored, "round_file", "left_anti").select(*df.columns)
         fresh.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
