@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +11,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; an own one only where none is named."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    own = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_shared")
-    return f"file:{own}"
-
-
 _cuts: list[str] = []
 
 
@@ -36,7 +27,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The files stay until drop_cuts, as later tables read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     _cuts.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,12 @@
 import base64
 import hashlib
 import importlib
+import math
 import random
+import struct
 import sys
+import zlib
+from collections import Counter
 from functools import lru_cache
 
 import duckdb
@@ -12,9 +16,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import bpe, queries
+from palimpsest.llm import bpe, cotraining, queries, toxicity
 from palimpsest.llm.common import materialize
 from tests.conftest import DATA
 from tests.llm import brute
@@ -157,3 +162,75 @@ def test_library_stands_without_this_part(monkeypatch):
     alone = importlib.import_module("__spark_entry__")
     assert alone.queries() and not any(k.startswith("op") and k[2].isdigit() or k == "pipeline" for k in alone.queries())
     assert set(alone.oracle_sql()) <= set(alone.queries())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    """Nulls in any column, empty and very long texts, repeated rows, columns of clashing names; then an empty table."""
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (None, "", "en", None, 0), (2, long, "en", "s", len(long)), (3, "kind words " * 30, None, "s", None), (3, "kind words " * 30, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.selectExpr("*", "1 ids", "2 spans", "3 component_id", "4 toxicity", "5 rate", "6 _id", "7 decoded", "8 kept", "9 n")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd, DATA)
+    columns = ["doc_id", "source", "ids", "n_tokens", "decodes"] if name == "bpe" else docs.columns
+    got = out.collect()
+    assert out.columns == columns and stage(spark, odd.limit(0), DATA).count() == 0
+    if name != "mixing":
+        want = {"ngram_join": 4, "toxicity": 5, "suffix_dedup": 5, "bpe": 5}[name]
+        assert len(got) == want and {(r.doc_id, r.source) for r in got} == {(r[0], r[3]) for r in rows}
+    else:
+        assert {(r.doc_id, r.text) for r in got} <= {(r[0], r[1]) for r in rows}
+
+
+def test_audio_query_equals_plain_version(spark):
+    """All columns but `feature`, whose parts have tests of their own, from the texts alone; equal texts have equal rows."""
+    docs = duckdb.sql(f"select doc_id, coalesce(text, '') from '{DATA}/documents.parquet'").fetchall()
+    want, by_text, texts = {}, {}, dict(docs)
+    for d, t in docs:
+        raw = t.encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        wav = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, 16_000, 16_000, 1, 8, b"data", len(payload)) + payload
+        want[d] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest())
+    for r in queries.QUERIES["op5_audio_features"](spark, DATA).collect():
+        assert want.pop(r.doc_id) == (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256)
+        assert by_text.setdefault(texts[r.doc_id], r.feature) == r.feature
+    assert not want and len(set(by_text.values())) > len(by_text) // 2
+
+
+def plain_bin(gram, n):
+    h = 0
+    for i, c in enumerate(gram):
+        h = ord(c) if i == 0 else (h * 0x9E3779B1 + ord(c) + 1) % 2**32
+    return ((h ^ h >> 15) * ((0x85EBCA6B + 2 * n) | 1)) % 2**32 >> 14
+
+
+def test_toxicity_query_equals_plain_version(spark):
+    """Scores from the model's weights, n-gram by n-gram; the model learns from the other folds alone."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, ~F.expr(queries.HELD_OUT))
+    blind = toxicity.fit(docs, labels.withColumn("toxic", F.when(~F.expr(queries.HELD_OUT), F.col("toxic")).otherwise(1 - F.col("toxic"))), ~F.expr(queries.HELD_OUT))
+    assert (model.weight == blind.weight).all() and model.bias == blind.bias
+    got = {r.doc_id: r for r in queries.QUERIES["op7_toxicity_nbsvm"](spark, DATA).collect()}
+    for r in docs.collect():
+        t = (r.text or "").lower()
+        count = Counter(plain_bin(t[i : i + n], n) for n in toxicity.ORDERS for i in range(len(t) - n + 1))
+        score = 1 / (1 + math.exp(-max(-40, min(40, model.bias + sum(model.weight[b] * math.log1p(k) for b, k in count.items() if model.weight[b])))))
+        x = got.pop(r.doc_id)
+        assert abs(x.score - score) < 1e-9 and x.predicted == (x.score >= 0.7) and x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert not got
+
+
+def test_quality_query_equals_plain_version(spark):
+    """Scores from both views' weights, row by row; the model learns from the other folds alone."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    m = cotraining.fit(docs, labels, ~F.expr(queries.HELD_OUT))
+    got = {r.doc_id: r for r in queries.QUERIES["op4_quality_cotraining"](spark, DATA).collect()}
+    for r in docs.collect():
+        logit = 0.0
+        for view, x, part in ((m.text, cotraining.text_features(r.text, m.telling), m.share), (m.meta, cotraining.meta_features(r.lang, r.source, r.n_chars), 1 - m.share)):
+            margin = sum(float((a - b) / c * w) for a, b, c, w in zip(x, view.mean, view.scale, view.w)) + view.b
+            logit += part * (view.a * margin + view.c)
+        x = got.pop(r.doc_id)
+        assert abs(x.score - 1 / (1 + math.exp(-max(-40, min(40, logit))))) < 1e-6 and x.keep == (x.score >= 0.5)
+    assert not got
