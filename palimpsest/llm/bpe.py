@@ -10,7 +10,8 @@ same place, join at it: the tokens up to it come from one, those after from the
 from __future__ import annotations
 
 import base64
-from collections.abc import Generator
+import os
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -27,8 +28,10 @@ from palimpsest.llm.common import release
 PIECE, OVERLAP = 32, 12
 #: Bytes of encoded words that a task keeps, with what Python adds to each; beyond, it starts anew.
 CACHE_BYTES, WORD_BYTES = 80 << 20, 160
-#: Characters of text that are split into words at a time, and bytes of words that one query merges.
-SLICE_CHARS, QUERY_BYTES = 1_500_000, 400_000
+#: Bytes of text that are split into words at a time, and bytes of words that one query merges.
+SLICE_BYTES, QUERY_BYTES = 1_500_000, 400_000
+#: Tokens that one query decodes, and bytes of words that one query looks up as whole tokens.
+QUERY_TOKENS, LOOKUP_BYTES = 250_000, 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -85,15 +88,31 @@ def join_pieces(word: bytes) -> Generator[tuple[int, int], Tokens, Tokens]:
     return out + here
 
 
+def spill_folder() -> str:
+    """A folder beside the shuffle files of this worker's executor, which Spark names to its workers; none outside of Spark."""
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return os.path.join(local, f"duckdb-{os.getpid()}") if local else ""
+
+
+def lots(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges [first, last) of neighbours that have `most` together, or of one that has more."""
+    reach, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(reach, reach[first] - lengths[first] + most, "right")))
+        yield first, last
+        first = last
+
+
 class BpeTable:
     """Ranks of a rank file and their merge table in an in-memory DuckDB of one thread, and a cache of encoded words."""
 
     def __init__(self, path: str, pattern: str):
         self.words = regex.compile(pattern)
         token, merges, self.byte_id, self.size = read_ranks(path)
+        self.longest = int(self.size.max(initial=0))
         self.cache: dict[str, bytes] = {}
         self.held = 0
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": spill_folder()})
         for name, rows in (("token", token), ("merges", merges)):
             self.db.register("rows_arrow", rows)
             self.db.execute(f"create table {name} as from rows_arrow").fetchall()
@@ -105,11 +124,9 @@ class BpeTable:
 
     def _merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece, by the recursive query; pieces of like length go together."""
-        pieces, out, first = sorted(pieces, key=len), {}, 0
-        lengths = np.array([len(x) for x in pieces])
-        reach = np.cumsum(lengths)
-        while first < len(pieces):
-            last = max(first + 1, int(np.searchsorted(reach, reach[first] - lengths[first] + QUERY_BYTES, "right")))
+        pieces, out = sorted(pieces, key=len), {}
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        for first, last in lots(lengths, QUERY_BYTES):
             n = lengths[first:last]
             data = np.frombuffer(b"".join(pieces[first:last]), np.uint8)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
@@ -119,7 +136,6 @@ class BpeTable:
             raw = np.asarray(got["t"]).astype("<u4").tobytes()
             ends = (4 * np.searchsorted(np.asarray(got["w"]), np.arange(len(n) + 1))).tolist()
             out.update((x, raw[a:b]) for x, a, b in zip(pieces[first:last], ends, ends[1:]))
-            first = last
         return out
 
     def _tokens(self, at: int, ids: bytes) -> Tokens:
@@ -128,11 +144,14 @@ class BpeTable:
         return list(zip((ends - self.size[t]).tolist(), ends.tolist(), t.tolist()))
 
     def _whole_tokens(self, words: list[bytes]) -> dict[bytes, int]:
-        """Words that are tokens themselves."""
-        self.db.register("words_arrow", pa.table({"piece": pa.array([w.hex() for w in words], pa.string())}))
-        got = self.db.execute("select piece, id from words_arrow join token using (piece)").fetchall()
-        self.db.unregister("words_arrow")
-        return {bytes.fromhex(p): t for p, t in got}
+        """Words that are tokens themselves. A word longer than any token isn't looked up."""
+        words, out = [w for w in words if len(w) <= self.longest], {}
+        for a, b in lots(np.array([len(w) for w in words], np.int64), LOOKUP_BYTES):
+            self.db.register("words_arrow", pa.table({"piece": pa.array([w.hex() for w in words[a:b]], pa.string())}))
+            got = self.db.execute("select piece, id from words_arrow join token using (piece)").fetchall()
+            self.db.unregister("words_arrow")
+            out.update((bytes.fromhex(p), t) for p, t in got)
+        return out
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers. As in the library, a word that is a token is that token."""
@@ -171,14 +190,25 @@ class BpeTable:
         return [b"".join(map(get, ws)) for ws in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence, by an ordered aggregation over its token rows."""
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "p": np.arange(len(flat), dtype=np.int32), "t": flat})
-        self.db.register("ids_arrow", rows)
-        got = dict(self.db.execute(_DECODE).fetchall())
-        self.db.unregister("ids_arrow")
-        return [bytes.fromhex(got.get(k, "")) for k in range(len(ids))]
+        """Bytes of each id sequence, by an ordered aggregation over its token rows.
+
+        A query decodes QUERY_TOKENS tokens at most: a longer sequence is cut into
+        runs, whose bytes are put together again.
+        """
+        step = 4 * QUERY_TOKENS
+        runs = [(k, x[i : i + step]) for k, x in enumerate(ids) for i in range(0, len(x), step)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        lengths = np.array([len(x) // 4 for _, x in runs], np.int64)
+        for first, last in lots(lengths, QUERY_TOKENS):
+            n = lengths[first:last]
+            flat = np.frombuffer(b"".join(x for _, x in runs[first:last]), "<u4").astype(np.int32)
+            rows = pa.table({"d": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(len(flat), dtype=np.int32), "t": flat})
+            self.db.register("ids_arrow", rows)
+            got = dict(self.db.execute(_DECODE).fetchall())
+            self.db.unregister("ids_arrow")
+            for d, (k, _) in enumerate(runs[first:last]):
+                out[k].append(bytes.fromhex(got[d]))
+        return [b"".join(x) for x in out]
 
 
 _DECODE = "select d, string_agg(piece, '' order by p) from ids_arrow join token on t = id group by d"
@@ -210,17 +240,19 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text")
     Each match of `pattern` is merged by itself, special strings are ordinary
     text. Null texts are empty: no ids. The rank file is a path every executor
     can open, as the installed tokenizer package is. Columns of those names are
-    replaced. Memory: a slice of texts and a bounded cache of words.
+    replaced. Texts may be of any length. Memory: a slice of texts or one longer text
+    and its tokens, a bounded cache of words, and queries over a bounded number of
+    rows, which spill to the executor's own folder if need be.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
 
     def run(it):
         table = BpeTable(path, pattern)
         for batch in it:
-            size = np.cumsum([0, *(x or 0 for x in pc.utf8_length(batch.column(text)).to_pylist())])
+            size = np.cumsum([0, *(x or 0 for x in pc.binary_length(batch.column(text)).to_pylist())])
             first = 0
             while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(size, size[first] + SLICE_CHARS, "right")) - 1)
+                last = max(first + 1, int(np.searchsorted(size, size[first] + SLICE_BYTES, "right")) - 1)
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 ids = table.encode(texts)

@@ -72,6 +72,51 @@ def test_pieces_that_seldom_join(monkeypatch, reference, piece, overlap):
     assert overlap > 2 or len(asked) > 2
 
 
+@pytest.fixture(scope="module")
+def prose():
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()]
+    return " ".join(texts)
+
+
+def test_texts_of_ten_megabytes(reference, prose):
+    """One text of prose, one of a single word in another script: more tokens than a query may hold."""
+    r = random.Random(7)
+    cjk = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(500_000))
+    text = (prose * (10_000_000 // len(prose) + 1))[:10_000_000]
+    t = bpe.BpeTable(PATH, public_tokenizers.PATTERN)
+    ids = t.encode([text, cjk])
+    assert len(ids[0]) > 4 * bpe.QUERY_TOKENS < len(ids[1])
+    assert np.frombuffer(ids[0], "<u4").tolist() == reference.encode_ordinary(text)
+    assert t.decode(ids) == [text.encode(), cjk.encode()]
+
+
+def test_many_dense_texts_in_one_batch(spark, reference):
+    r = random.Random(8)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(1000)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = bpe.encode_decode(df, PATH, public_tokenizers.PATTERN)
+    assert out.where(F.col("decoded") == F.encode("text", "utf-8")).count() == 1500
+    few = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in out.where("doc_id < 40").select("doc_id", "ids").collect()}
+    assert few == {k: reference.encode_ordinary(texts[k]) for k in range(40)}
+
+
+@pytest.mark.parametrize("tokens, words, merge", [(1, 1, 1), (3, 7, 5), (1000, 100, 40)])
+def test_queries_of_any_size_give_the_same(monkeypatch, reference, tokens, words, merge):
+    for name, n in (("QUERY_TOKENS", tokens), ("LOOKUP_BYTES", words), ("QUERY_BYTES", merge)):
+        monkeypatch.setattr(bpe, name, n)
+    t, texts = bpe.BpeTable(PATH, public_tokenizers.PATTERN), ["", "Hello hello, wörld " * 9, "", "x", "漢字仮名" * 12]
+    ids = t.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [reference.encode_ordinary(x) for x in texts]
+    assert t.decode(ids) == [x.encode() for x in texts]
+
+
+def test_spill_folder_is_the_executors(monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", "/a/b,/c")
+    assert bpe.spill_folder().startswith("/a/b/")
+    monkeypatch.delenv("SPARK_LOCAL_DIRS")
+    assert bpe.spill_folder() == ""
+
+
 def test_query_equals_the_library(spark, reference):
     docs = duckdb.sql(f"select doc_id, coalesce(text, '') from '{DATA}/documents.parquet'").fetchall()
     ids = {d: np.array(reference.encode_ordinary(t), "<u4") for d, t in docs}
