@@ -21,7 +21,7 @@ from palimpsest.llm.linear import counted, fit_logistic, ngram_bins, sigmoid, te
 WIDTH = 64  # hashed categories of the metadata view
 SHAPE, TELLING = 16, 24  # features of a text's shape, and n-grams that are counted in it
 ORDERS = (4, 6)  # characters of an n-gram
-_ROW = np.dtype([("shape", "<f4", SHAPE), ("hits", "u1", TELLING), ("meta", "u1", 5)])  # a row's features, as they are stored
+_ROW = np.dtype([("shape", "<f4", SHAPE), ("hits", "<u4", TELLING), ("meta", "u1", 5)])  # a row's features, as they are stored
 
 
 def telling_bins(texts: list[str | None], y: np.ndarray, least_z: float = 6.0) -> np.ndarray:
@@ -31,13 +31,13 @@ def telling_bins(texts: list[str | None], y: np.ndarray, least_z: float = 6.0) -
 
 
 def text_hits(text: str | None, telling: np.ndarray) -> np.ndarray:
-    """How often each n-gram of `telling` occurs in the whole text, up to 255; zeros fill up to TELLING."""
-    out = np.zeros(TELLING, np.uint8)
+    """How often each n-gram of `telling` occurs in the whole text; zeros fill up to TELLING."""
+    out = np.zeros(TELLING, np.int64)
     if len(telling):
         for bins in ngram_bins(text, ORDERS):
             at = np.searchsorted(telling, bins)
             at = at[telling[np.minimum(at, len(telling) - 1)] == bins]
-            out[: len(telling)] = np.minimum(out[: len(telling)] + np.bincount(at, minlength=len(telling)), 255)
+            out[: len(telling)] += np.bincount(at, minlength=len(telling))
     return out
 
 
