@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, bpe, chat, cotraining, mixing, ngram_join, rp_forest, suffix_dedup, toxicity, url_reputation
+from palimpsest.llm import audio, bpe, chat, cotraining, merkle, mixing, ngram_join, rp_forest, suffix_dedup, toxicity, url_reputation
 from palimpsest.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -103,9 +103,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves are hashed as they are and as they are presented: where 3 divides the id's checksum, the text's capitals are gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    spoilt = F.translate("text", url_reputation.UPPER, url_reputation.LOWER)
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_hash(*before, F.col("text"))
+    presented = F.when(F.expr("crc32(cast(doc_id as string)) % 3 = 0"), merkle.leaf_hash(*before, spoilt)).otherwise(leaf)
+    m = merkle.manifest(docs.select("doc_id", "lang", leaf.alias("leaf"), presented.alias("presented")), "lang", "doc_id")
+    m = m.withColumn("folded_root", merkle.fold(F.col("presented"), F.col("proof")))
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe)
+    for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe, op12_merkle_manifest)
 }
 
 
@@ -122,6 +134,12 @@ def _rules_sql(column: str) -> str:
     return "case " + " ".join(one(r) for r in sorted(RULES, key=lambda r: -len(r.text))) + " end"
 
 
+def _framed(text: str) -> str:
+    """A row of documents as a leaf's input, with `text` in the place of its text."""
+    values = ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)
+    return " || ".join(f"case when {v} is null then '-' else octet_length(encode({v})) || ':' || ({v}) end" for v in values)
+
+
 _TWO = f"(regexp_matches(two, '{url_reputation.COUNTRY_SUFFIX}') or two in ({', '.join(f"'{x}'" for x in url_reputation.SHARED_SITES)}))"
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 ORACLE_SQL: dict[str, str] = {
@@ -189,6 +207,37 @@ select conv_id, count(*) n_turns,
         when 'assistant' then before in ('user', 'tool') when 'tool' then before in ('user', 'assistant', 'tool') else false end)
         and last(role order by k) = 'assistant' valid
 from numbered group by conv_id
+""",
+    "op12_merkle_manifest": f"""
+with recursive bits(i, k, c) as (select i, 0, i from range(256) r(i) union all select i, k + 1, xor(c >> 1, (c & 1) * 3988292384) from bits where k < 8),
+crcs as (select list(c order by i) tab from bits where k = 8),
+t as (select d.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 spoil
+    from documents d, crcs),
+leaves as (select doc_id, lang, row_number() over (partition by lang order by doc_id nulls first) - 1 idx, sha256({_framed('text')}) h,
+    sha256({_framed("case when spoil then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end")}) shown from t),
+up as (
+    select lang, 0 k, idx, h, count(*) over (partition by lang) n, null::varchar run from leaves
+    union all
+    select lang, any_value(k) + 1, idx // 8, sha256(string_agg(h, '' order by idx)), (any_value(n) + 7) // 8, string_agg(h, '' order by idx) from up where n > 1 group by lang, idx // 8
+), subroots as (select lang, h subroot, row_number() over (order by encode(lang) nulls first) - 1 idx, count(*) over () n from up where n = 1),
+top as (
+    select 0 k, idx, subroot h, n, null::varchar run from subroots
+    union all
+    select any_value(k) + 1, idx // 8, sha256(string_agg(h, '' order by idx)), (any_value(n) + 7) // 8, string_agg(h, '' order by idx) from top where n > 1 group by idx // 8
+), walk as (
+    select lang, idx doc, 0 k, idx, shown node, '' proof from leaves
+    union all
+    select w.lang, doc, w.k + 1, w.idx // 8, sha256(substr(run, 1, 64 * (w.idx % 8)) || node || substr(run, 64 * (w.idx % 8) + 65)), proof || substr(run, 1, 64 * (w.idx % 8)) || substr(run, 64 * (w.idx % 8) + 65)
+    from walk w join up r on r.run is not null and r.lang is not distinct from w.lang and r.k = w.k + 1 and r.idx = w.idx // 8
+), half as (select * from walk qualify row_number() over (partition by lang, doc order by k desc) = 1),
+climb as (
+    select h.lang, doc, 0 k, s.idx, node, proof from half h join subroots s on s.lang is not distinct from h.lang
+    union all
+    select w.lang, doc, w.k + 1, w.idx // 8, sha256(substr(run, 1, 64 * (w.idx % 8)) || node || substr(run, 64 * (w.idx % 8) + 65)), proof || substr(run, 1, 64 * (w.idx % 8)) || substr(run, 64 * (w.idx % 8) + 65)
+    from climb w join top r on r.run is not null and r.k = w.k + 1 and r.idx = w.idx // 8
+), ended as (select * from climb qualify row_number() over (partition by lang, doc order by k desc) = 1)
+select doc_id, l.h leaf, subroot, r.h root, sha256(proof) proof_sha256, node folded_root, node = r.h verified
+from leaves l join ended e on e.lang is not distinct from l.lang and e.doc = l.idx join subroots s on s.lang is not distinct from l.lang, (select h from top where n = 1) r
 """,
     "op9_poisson_mix": """
 with n as (select source, count(*) n_docs from documents group by source),
