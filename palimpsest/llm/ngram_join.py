@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, materialize_counted, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, trimmed, unpack
+from palimpsest.llm.common import batches, materialize, materialize_counted, materialize_with, mix64, n_buckets, narrow, one_row_per_id, pack, release, sized_buckets, trimmed, unpack
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.suffix_dedup import _BYTE, SLICE, _power
 
@@ -31,6 +31,7 @@ HOT_HERE = 4096  # documents of a task that share a shingle, beyond which the sh
 SATURATED = (1 << 31) - 1
 GROWTH = 8  # a round has so many times the leaders of the round before
 BINS = 16  # equal parts of the hash space that the suffix filter counts
+GROUP_PAIRS = 2000  # pairs whose sets are verified together
 BUCKET_BYTES = 5 << 20  # of stored text, whose shingles a task holds at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -308,7 +309,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESH
     """
     rows = pairs.count() if rows is None else rows
     size = sets.count() if size is None else size
-    buckets = n_buckets(pairs.sparkSession)
+    buckets = max(n_buckets(pairs.sparkSession), -(-rows // GROUP_PAIRS))
     count = pairs.groupBy("u").count().select("u", F.ceil(F.col("count") / group).alias("parts"))
     dealt = narrow(pairs.join(materialize(narrow(count, rows)), "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("salt"), "v"), rows)
     body = sets.select("doc_id", "n", "shared")
@@ -329,22 +330,33 @@ def _suffixes_allow(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows
 
 
 def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growth: int = GROWTH) -> DataFrame:
-    """(node, component) over the given sets, one document of each class of equal sets.
+    """(node, component) over the given sets, one document of each class of equal sets."""
+    entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
+    entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"))
+    size, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
+    return leader_rounds(
+        entries, total, size, threshold, growth,
+        lambda pairs, rows: _suffixes_allow(pairs, sets, threshold, rows),
+        lambda pairs, rows: verify_pairs(pairs, sets, threshold, rows=rows, size=size),
+    )
+
 
-    A round pairs the entries of each prefix shingle with its leaders: the first in
-    an order of documents that is the same for all shingles, one in the first round,
+def leader_rounds(entries: DataFrame, total: int, size: int, threshold: Fraction, growth: int, plausible, verify) -> DataFrame:
+    """(node, component) of the documents that verified links connect; documents meet where their entries (h, doc_id, n, pos) share h.
+
+    A round pairs the entries of each h with its leaders: the first in
+    an order of documents that is the same for all h, one in the first round,
     `growth` times as many in each that follows. Then leaders have met all others of
-    their shingle and leave it; shingles whose entries one component holds are
+    their h and leave it; those whose entries one component holds are
     settled. Rounds go on until none is left, so no link between components is
-    missed, and are logarithmic in the largest number of entries of a shingle.
+    missed, and are logarithmic in the largest number of entries of an h.
+    `plausible` drops pairs (u, v) that can't be links, `verify` gives those that are;
+    either gets the number of rows too.
 
-    What is counted for a shingle is written before it is joined back: a join of
+    What is counted for an h is written before it is joined back: a join of
     two written tables lets Spark split the rows of a hot key.
     """
-    entries = sets.select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
-    order = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    entries = entries.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos"), order.alias("order"))
-    size, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
+    entries = entries.withColumn("order", F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5)
     tried, labels = [], None
     for r in counting():
         rest = entries.withColumn("component", F.col("doc_id"))
@@ -353,32 +365,44 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
             rest = narrow(rest, total)
         groups = rest.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("order").alias("low"))
         last = F.col("low") + (growth**r - 1) * (1 - F.col("low")) / F.col("c")
-        groups = materialize(narrow(groups.where("a <> b").select("h", last.alias("last")), total))
-        rest = rest.join(groups, "h").withColumn("leads", F.col("order") <= F.col("last")).drop("last")
+        groups = groups.where("a <> b").select("h", last.alias("last"), "c")
+        groups, (meet,) = materialize_with(narrow(groups, total), F.sum(F.col("c") * F.least("c", F.lit(growth**r))))
+        rest = rest.join(groups.select("h", "last"), "h").withColumn("leads", F.col("order") <= F.col("last")).drop("last")
         rest, total = materialize_counted(narrow(rest, total))
         if not total:
             break
+        meet = max(total, meet or 0)  # pairs of an entry and a leader, about
         leaders = rest.where("leads").select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
         met = rest.join(leaders, "h").where(F.col("component") != F.col("theirs")).where(_possible(threshold))
-        # a pair can meet at several shingles, and two leaders from either side
+        # a pair can meet at several h, and two leaders from either side
         pairs = met.groupBy(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).agg(F.min("u").alias("u"))
-        pairs = narrow(pairs, total)
+        pairs = narrow(pairs, meet)
         if tried:
-            pairs = narrow(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), total)
+            pairs = narrow(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), meet)
         pairs = pairs.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
-        pairs, n = materialize_counted(_suffixes_allow(pairs, sets, threshold, total))
+        pairs, n = materialize_counted(plausible(pairs, meet))
         if n:
             tried.append(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
-            links = verify_pairs(pairs, sets, threshold, rows=n, size=size)
+            links = verify(pairs, n)
             if labels is not None:  # what is connected already stands for its links
                 links = links.union(labels.where("node <> component").select("node", "component"))
             labels = connected_components(links, n + size)
         entries = rest.where("not leads").select("h", "doc_id", "n", "pos", "order")
     if labels is None:
-        return sets.sparkSession.createDataFrame([], "node long, component long")
+        return entries.sparkSession.createDataFrame([], "node long, component long")
     return labels
 
 
+def of_all_copies(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of `sets` (doc_id, n, sig1, sig2), from the components of one document of each class (sig1, sig2, lead, copies) of equal sets."""
+    several = classes.where("copies > 1").select("sig1", "sig2", "lead")
+    several = materialize(narrow(several, sets.count()))  # apart, so that the copies of a hot document can be split
+    found = sets.select("doc_id", "n", "sig1", "sig2").join(several, ["sig1", "sig2"], "left")
+    found = found.withColumn("lead", F.when(F.col("n") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")))
+    found = found.join(labels, F.col("lead") == F.col("node"), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
+
+
 def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE, growth: int = GROWTH) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links, itself included.
 
@@ -396,9 +420,4 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESH
     leads = classes.select("lead")
     live = materialize(sets.where("prefix > 0").join(leads, F.col("doc_id") == F.col("lead"), "left_semi"))
     labels = links_and_components(live, threshold, growth)
-    several = classes.where("copies > 1").select("sig1", "sig2", "lead")
-    several = materialize(narrow(several, sets.count()))  # apart, so that the copies of a hot document can be split
-    found = sets.select("doc_id", "n", "sig1", "sig2").join(several, ["sig1", "sig2"], "left")
-    found = found.withColumn("lead", F.when(F.col("n") > 0, F.coalesce("lead", "doc_id")).otherwise(F.col("doc_id")))
-    found = found.join(labels, F.col("lead") == F.col("node"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
+    return of_all_copies(sets, classes, labels)

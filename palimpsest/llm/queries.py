@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, bpe, chat, cotraining, merkle, mixing, ngram_join, rp_forest, suffix_dedup, toxicity, url_reputation
+from palimpsest.llm import audio, bpe, chat, cotraining, merkle, minhash, mixing, ngram_join, rp_forest, suffix_dedup, toxicity, url_reputation
 from palimpsest.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -103,6 +103,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves are hashed as they are and as they are presented: where 3 divides the id's checksum, the text's capitals are gone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -117,7 +121,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe, op12_merkle_manifest)
+    for f in (op1_suffix_dedup, op2_ngram_join, op3_url_reputation, op4_quality_cotraining, op5_audio_features, op6_rp_forest, op7_toxicity_nbsvm, op8_chat_format, op9_poisson_mix, op10_bpe, op11_minhash_hamming, op12_merkle_manifest)
 }
 
 
@@ -140,6 +144,20 @@ def _framed(text: str) -> str:
     return " || ".join(f"case when {v} is null then '-' else octet_length(encode({v})) || ':' || ({v}) end" for v in values)
 
 
+def _near_duplicates_sql(words: int, more: str) -> str:
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') l from documents),
+s as (select distinct doc_id, array_to_string(l[i:i + {words - 1}], ' ') g from (select doc_id, l, unnest(range(1, greatest(len(l) - {words - 1}, 1) + 1)) i from w where len(l) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id u, b.doc_id v, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
+edges as (select u, v from links union all select v, u from links),
+reach(node, other) as (select doc_id, doc_id from documents union select node, v from reach join edges on u = other)
+select doc_id, coalesce(n, 0) n_shingles, component_id{more}
+from (select node doc_id, min(other) component_id from reach group by node) left join n using (doc_id)
+"""
+
+
 _TWO = f"(regexp_matches(two, '{url_reputation.COUNTRY_SUFFIX}') or two in ({', '.join(f"'{x}'" for x in url_reputation.SHARED_SITES)}))"
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 ORACLE_SQL: dict[str, str] = {
@@ -173,17 +191,8 @@ cut as (select g.doc_id, sum(b - a) removed, count(*) n,
 select doc_id, length(h) // 2 n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256
 from bytes left join cut using (doc_id)
 """,
-    "op2_ngram_join": r"""
-with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') l from documents),
-s as (select distinct doc_id, array_to_string(l[i:i + 4], ' ') g from (select doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) i from w where len(l) > 0)),
-n as (select doc_id, count(*) n from s group by doc_id),
-shared as (select a.doc_id u, b.doc_id v, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-links as (select u, v from shared join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
-edges as (select u, v from links union all select v, u from links),
-reach(node, other) as (select doc_id, doc_id from documents union select node, v from reach join edges on u = other)
-select doc_id, coalesce(n, 0) n_shingles, component_id
-from (select node doc_id, min(other) component_id from reach group by node) left join n using (doc_id)
-""",
+    "op2_ngram_join": _near_duplicates_sql(5, ""),
+    "op11_minhash_hamming": _near_duplicates_sql(4, ", doc_id = component_id kept"),
     "op6_rp_forest": """
 with e as (select distinct vec_id, embedding::double[] v from embeddings
     where vec_id is not null and len(embedding) = (select mode(len(embedding)) from embeddings) and list_count(embedding) = len(embedding)

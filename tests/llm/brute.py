@@ -29,6 +29,12 @@ def shingles(text, n=5):
 
 def ngram_join(docs):
     sets = {d: shingles(t) for d, t in docs}
+    parts = join(sets)
+    return {d: (len(s), parts[d]) for d, s in sets.items()}
+
+
+def join(sets):
+    """The smallest id that each can reach over links of similarity 0.8."""
     having, top = defaultdict(list), {d: d for d in sets}
     for d, s in sets.items():
         for x in s:
@@ -48,4 +54,4 @@ def ngram_join(docs):
             if e < d and 100 * n >= 80 * (len(s) + len(sets[e]) - n):
                 a, b = sorted((find(d), find(e)))
                 top[b] = a
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+    return {d: find(d) for d in sets}
