@@ -5,8 +5,10 @@ shingles under a function of its own; the distance of two is the number of parts
 which they differ. It is split into chunks of CHUNK parts. Two signatures that
 differ in fewer than 2 * PARTS / CHUNK parts have a chunk with one error at most:
 so each chunk gives a key for each place where an error may be, of the other parts,
-and all pairs within that distance share a key. Those that do are compared by
-distance, then confirmed on their full sets of shingles.
+and all pairs within that distance share a key. Documents that share one with another
+are candidates; those that have too few shingles in common with all other candidates
+together can't link and go. The rest are compared by distance, then confirmed on their
+full sets of shingles.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import batches, materialize, materialize_counted, materialize_with, mix64, one_row_per_id, pack, release, sized_buckets, trimmed, unpack
-from palimpsest.llm.ngram_join import GROWTH, HASH_BITS, HOT_HERE, THRESHOLD, leader_rounds, of_all_copies, shingle_hashes, verify_pairs
+from palimpsest.llm.common import batches, materialize, materialize_counted, mix64, narrow, one_row_per_id, pack, release, sized_buckets, trimmed, unpack
+from palimpsest.llm.ngram_join import GROWTH, HOT_HERE, THRESHOLD, leader_rounds, of_all_copies, shingle_hashes, shingle_sets, verify_pairs
 
 WORDS = 4
 PARTS, CHUNK = 80, 5
@@ -164,26 +166,10 @@ def shared_keys(classes: DataFrame, hot_here: int = HOT_HERE) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(trimmed(_shared), "h long, doc_id long, n long")
 
 
-def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, shared: all shingles of each document."""
-
-    def run(it):
-        for batch in it:
-            ids = batch.column("doc_id")
-            for first, x, off in batches(batch.column("text")):
-                own, h = shingle_hashes(x, off, words)
-                n = np.bincount(own, minlength=len(off) - 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(h.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), pa.array(n.astype(np.int64)), lists], ["doc_id", "n", "shared"])
-        release()
-
-    return docs.mapInArrow(run, "doc_id long, n long, shared array<long>")
-
-
-def _near(pairs: DataFrame, classes: DataFrame, far: int) -> DataFrame:
+def _near(pairs: DataFrame, sigs: DataFrame, far: int) -> DataFrame:
     """Pairs (u, v) whose signatures differ in `far` parts at most."""
     for key, sig in (("u", "x"), ("v", "y")):
-        pairs = pairs.join(classes.select(F.col("lead").alias(key), F.col("sig").alias(sig)), key)
+        pairs = pairs.join(sigs.select(F.col("doc_id").alias(key), F.col("sig").alias(sig)), key)
     differ = F.aggregate(F.zip_with("x", "y", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, d: s + d)
     return pairs.where(differ <= far).select("u", "v")
 
@@ -204,18 +190,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     leader_rounds), never each other all at once; a key that very many documents have
     isn't gathered in a task.
     """
-    assert HASH_BITS < 63
     docs = one_row_per_id(docs.select("doc_id", "text"))
     sets = materialize(signatures(docs, words))
     groups = sets.where("n > 0").groupBy("sig1", "sig2", "n", "sig").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(groups)
     entries, total = materialize_counted(shared_keys(classes, hot_here))
-    live, size = materialize_counted(entries.select(F.col("doc_id").alias("_live")).distinct())
-    full = materialize(_full_sets(docs.join(live, F.col("doc_id") == F.col("_live"), "left_semi"), words))
+    live = materialize(entries.select(F.col("doc_id").alias("_live")).distinct())
+    full = shingle_sets(docs.join(live, F.col("doc_id") == F.col("_live"), "left_semi"), words, threshold, hot_here)
+    can, size = materialize_counted(full.where("prefix > 0").join(classes.select("lead", "sig"), F.col("doc_id") == F.col("lead")).drop("lead"))
+    slim = materialize(can.select("doc_id", "bins"))
+    entries = narrow(entries.join(slim, "doc_id").withColumn("pos", F.lit(0).cast("long")), total)
     labels = leader_rounds(
-        entries.withColumn("pos", F.lit(0).cast("long")), total, size, threshold, growth,
-        lambda pairs, rows: _near(pairs, classes, far),
-        lambda pairs, rows: verify_pairs(pairs, full, threshold, rows=rows, size=size),
+        entries, total, size, threshold, growth,
+        lambda pairs, rows: narrow(_near(pairs, can, far), rows),
+        lambda pairs, rows: verify_pairs(pairs, can, threshold, rows=rows, size=size),
     )
     out = of_all_copies(sets, classes, labels)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -319,14 +319,19 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction = THRESH
     return narrow(dealt_sets.groupBy("bucket").applyInArrow(trimmed(_verify_bucket(threshold)), "u long, v long"), rows + size, 4000)
 
 
+def _enough(most, threshold: Fraction):
+    """Whether two sets of n and m elements can link that have `most` in common, at most."""
+    p, q = threshold.numerator, threshold.denominator
+    return (p + q) * most >= p * (F.col("n") + F.col("m"))
+
+
 def _suffixes_allow(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows: int) -> DataFrame:
     """Suffix filter: pairs whose sets can share enough, by what each part of the hash space holds of either."""
-    p, q = threshold.numerator, threshold.denominator
     for key, n, bins in (("u", "n", "x"), ("v", "m", "y")):
         slim = sets.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("bins").alias(bins))
         pairs = narrow(pairs.join(slim, key), rows)
     most = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
-    return pairs.where((p + q) * most >= p * (F.col("n") + F.col("m"))).select("u", "v")
+    return pairs.where(_enough(most, threshold)).select("u", "v")
 
 
 def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growth: int = GROWTH) -> DataFrame:
@@ -344,6 +349,8 @@ def links_and_components(sets: DataFrame, threshold: Fraction = THRESHOLD, growt
 def leader_rounds(entries: DataFrame, total: int, size: int, threshold: Fraction, growth: int, plausible, verify) -> DataFrame:
     """(node, component) of the documents that verified links connect; documents meet where their entries (h, doc_id, n, pos) share h.
 
+    Entries may carry bins as well: then the suffix filter is a condition of meeting.
+
     A round pairs the entries of each h with its leaders: the first in
     an order of documents that is the same for all h, one in the first round,
     `growth` times as many in each that follows. Then leaders have met all others of
@@ -356,7 +363,11 @@ def leader_rounds(entries: DataFrame, total: int, size: int, threshold: Fraction
     What is counted for an h is written before it is joined back: a join of
     two written tables lets Spark split the rows of a hot key.
     """
-    entries = entries.withColumn("order", F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5)
+    own = [c for c in entries.columns if c == "bins"]
+    entries = entries.select("h", "doc_id", "n", "pos", *own, (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("order"))
+    can_link = _possible(threshold)
+    if own:
+        can_link &= _enough(sum(F.least(F.get("bins", F.lit(i)), F.get("theirs_bins", F.lit(i))) for i in range(BINS)), threshold)
     tried, labels = [], None
     for r in counting():
         rest = entries.withColumn("component", F.col("doc_id"))
@@ -372,8 +383,8 @@ def leader_rounds(entries: DataFrame, total: int, size: int, threshold: Fraction
         if not total:
             break
         meet = max(total, meet or 0)  # pairs of an entry and a leader, about
-        leaders = rest.where("leads").select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"))
-        met = rest.join(leaders, "h").where(F.col("component") != F.col("theirs")).where(_possible(threshold))
+        leaders = rest.where("leads").select("h", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("theirs"), *[F.col(c).alias(f"theirs_{c}") for c in own])
+        met = rest.join(leaders, "h").where(F.col("component") != F.col("theirs")).where(can_link)
         # a pair can meet at several h, and two leaders from either side
         pairs = met.groupBy(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).agg(F.min("u").alias("u"))
         pairs = narrow(pairs, meet)
@@ -387,7 +398,7 @@ def leader_rounds(entries: DataFrame, total: int, size: int, threshold: Fraction
             if labels is not None:  # what is connected already stands for its links
                 links = links.union(labels.where("node <> component").select("node", "component"))
             labels = connected_components(links, n + size)
-        entries = rest.where("not leads").select("h", "doc_id", "n", "pos", "order")
+        entries = rest.where("not leads").select(*entries.columns)
     if labels is None:
         return entries.sparkSession.createDataFrame([], "node long, component long")
     return labels
