@@ -13,7 +13,12 @@ FORCING = (":prompt", ":response")  # fixed value: suffixes whose staleness forc
 
 def forcing_rows(vectors: DataFrame, rounds: DataFrame) -> DataFrame:
     """Vector rows that a new embedding would replace and that may force one: a short prompt has no prompt row."""
-    r = rounds.select("round_file", X.is_short("userPrompt").alias("_short"))
+    return forcing_of(vectors, rounds.select("round_file", X.is_short("userPrompt").alias("short")))
+
+
+def forcing_of(vectors: DataFrame, short: DataFrame) -> DataFrame:
+    """forcing_rows where it is known already which rounds are short: short (round_file, short)."""
+    r = short.select("round_file", F.col("short").alias("_short"))
     return vectors.where(F.col("suffix").isin(*FORCING)).join(r, "round_file").where(~(F.col("_short") & (F.col("suffix") == ":prompt"))).drop("_short")
 
 
