@@ -12,7 +12,7 @@ from palimpsest.functions import text as X
 from palimpsest.functions.envelope import extract_envelope
 from palimpsest.functions.noise import prompt_input
 from palimpsest.functions.vectors import dot, normalize
-from palimpsest.operators import bm25, chain, details, evaluate, golden, grouping, maintain, memory, search, sessions, toolsearch
+from palimpsest.operators import blockmax, bm25, chain, details, evaluate, golden, grouping, maintain, memory, search, sessions, toolsearch
 from palimpsest.plans import catalog as C
 from palimpsest.plans import parts
 from palimpsest.sources import embed, shards
@@ -66,6 +66,19 @@ def _lexical(s, d, queries: DataFrame) -> DataFrame:
     return bm25.score_index(*index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
 
 
+_blocks: dict[tuple[str, str], blockmax.BlockIndex] = {}
+
+
+def _best_hits(s, d, scope: DataFrame | None = None) -> DataFrame:
+    """The benchmark's texts and the ten best documents of each, with those that tie: what the top five and the scale need."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _blocks:
+        path = _indexes.setdefault(at, scratch_path(s, "lexical"))
+        _blocks[at] = blockmax.build(*bm25.stored_index(C.documents(s, d), "round_file", "text", path), "round_file", scratch_path(s, "blocks"))
+    terms = bm25.query_terms(C.text_queries(s, d), "query", "text")
+    return blockmax.best(_blocks[at], terms, scope=scope).withColumnRenamed("key", "round_file")
+
+
 def _scores(s, d):
     return _lexical(s, d, C.text_queries(s, d))
 
@@ -101,15 +114,15 @@ def bm25_normalized(s, d):
 
 @query
 def text_match_top5(s, d):
-    x = bm25.normalize(_scores(s, d), "query").select("query", "round_file", r6("normalized").alias("score"))
+    x = bm25.normalize(_best_hits(s, d), "query").select("query", "round_file", r6("normalized").alias("score"))
     return search.top(x, 5, 0.25)
 
 
 @query
 def text_match_scoped(s, d):
     """The scope (German documents) holds before the scale is taken, but never changes corpus statistics."""
-    scope = C.documents(s, d).where("lang = 'de'")
-    x = bm25.normalize(search.in_scope(_scores(s, d), scope), "query").select("query", "round_file", r6("normalized").alias("score"))
+    scope = C.documents(s, d).where("lang = 'de'").select(F.col("round_file").alias("key"))
+    x = bm25.normalize(_best_hits(s, d, scope), "query").select("query", "round_file", r6("normalized").alias("score"))
     return search.top(x, 5, 0.25)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators import bm25, evaluate, maintain, toolsearch
+from palimpsest.operators import blockmax, bm25, evaluate, maintain, toolsearch
 from palimpsest.operators import search as ranked_search
 from palimpsest.sources import embed
 from palimpsest.sources.embed import Embedder, hashing_embedder
@@ -40,6 +40,17 @@ class RetrievalStore:
         """Postings and lengths of the store's rounds: what is stored if it is fresh, else written anew."""
         return bm25.stored_index(self.texts, "round_file", "text", self.index_path or scratch_path(self.spark, "lexical"))
 
+    @cached_property
+    def block_index(self) -> blockmax.BlockIndex:
+        """The same in blocks, for searches that want the best alone."""
+        return blockmax.build(*self.lexical_index, "round_file", scratch_path(self.spark, "blocks"))
+
+    def _text_match(self, queries: DataFrame, p: ranked_search.SearchParams) -> DataFrame:
+        """(query, round_file, score, normalized) of each query's best rounds: as many as the scale and the limit need."""
+        scope = ranked_search.in_scope(self.rounds.select("round_file"), p.rounds).withColumnRenamed("round_file", "key") if p.rounds else None
+        found = blockmax.best(self.block_index, bm25.query_terms(queries, "query", "text"), max(10, p.limit), scope)
+        return bm25.normalize(found.withColumnRenamed("key", "round_file"), "query")
+
     def lexical(self, queries: DataFrame) -> DataFrame:
         """(query, round_file, score) over the whole store: a scope never changes the statistics."""
         return bm25.score_index(*self.lexical_index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
@@ -59,12 +70,11 @@ class RetrievalStore:
         if p.mode == "tool":
             hits = toolsearch.search_tools(ranked_search.in_scope(self.tools, p.rounds), queries)
             return ranked_search.top(hits.join(self.rounds.select("round_file"), "round_file", "left_semi"), p.limit)
+        if p.mode == "text-match":
+            return ranked_search.top(self._text_match(queries, p).withColumn("score", F.col("normalized")).drop("normalized"), p.limit, p.threshold)
         lexical = self.lexical(queries) if p.mode != "similarity" else None
         if lexical is not None:
             lexical = bm25.normalize(ranked_search.in_scope(lexical, p.rounds), "query")
-        if p.mode == "text-match":
-            found = lexical.join(self.rounds.select("round_file"), "round_file", "left_semi").withColumn("score", F.col("normalized"))
-            return ranked_search.top(found.drop("normalized"), p.limit, p.threshold)
         scores = ranked_search.similarity(ranked_search.in_scope(self.vectors, p.rounds), self._query_vectors(queries), self.model, lexical, p.alpha, self.rounds)
         return ranked_search.top(scores, p.limit, p.threshold)
 
