@@ -101,6 +101,55 @@ def origin_profile(chains: DataFrame) -> DataFrame:
     return x.select("target", "p_origin", "p_outside", entropy(F.col("_p")).alias("entropy"), top.alias("top"))
 
 
+def _over(clean: Column, s: Column, mass: Column) -> Column:
+    """The sum of p ln p of a stretch whose chances all shrink by `clean`, as older links may be the origin before it."""
+    return clean * s + F.when(clean > 0, clean * F.log(clean)).otherwise(0.0) * mass
+
+
+def origin_profiles(targets: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(target, length, p_outside, entropy, top, p_last) of each target's chain: what origin_profile tells of it, without the chains.
+
+    targets (target), rounds (round_file, parentId, fault in 0..1; null counts as 0).
+    What a stretch of a chain tells can be combined with that of the stretch above
+    it, as a link's share depends on older links alone. So each round has a row with
+    the sums of its stretch and the round above it, and a step doubles all
+    stretches: about n log n rows for n rounds, whatever the chains' lengths. Of
+    equal chances the oldest link is the top. Targets that aren't stored have no row.
+    Where parents run in a circle no stretch ends; the targets that lead there, which
+    are found after log2 n steps, walk their chains link by link.
+    """
+    fault = F.coalesce("fault", F.lit(0.0))
+    known = rounds.select(F.col("round_file").alias("_known")).distinct()
+    start = rounds.join(known, F.col("parentId") == F.col("_known"), "left").select(
+        "round_file", F.col("_known").alias("up"), F.lit(1).cast("long").alias("length"), (1 - fault).alias("clean"), fault.alias("mass"),
+        F.when(fault > 0, fault * F.log(fault)).otherwise(0.0).alias("s"), fault.alias("most"), F.col("round_file").alias("best"), fault.alias("last"),
+    )
+    at = _kept(start)
+    n, steps, going = at[0].count(), 0, at[0].where("up is not null").count()
+    while going and 1 << steps <= 2 * n:
+        old = at[0].select(*[F.col(c).alias("o_" + c) for c in at[0].columns])
+        both = at[0].where("up is not null").join(old, F.col("up") == F.col("o_round_file"))
+        c, older = F.col("o_clean"), F.col("o_most") >= F.col("o_clean") * F.col("most")
+        doubled = both.select(
+            "round_file", F.col("o_up").alias("up"), (F.col("length") + F.col("o_length")).alias("length"), (c * F.col("clean")).alias("clean"), (F.col("o_mass") + c * F.col("mass")).alias("mass"),
+            (F.col("o_s") + _over(c, F.col("s"), F.col("mass"))).alias("s"), F.greatest("o_most", c * F.col("most")).alias("most"), F.when(older, F.col("o_best")).otherwise(F.col("best")).alias("best"),
+            (c * F.col("last")).alias("last"),
+        )
+        more = _kept(doubled.unionByName(at[0].where("up is null")))
+        _drop(at)
+        at, steps, going = more, steps + 1, more[0].where("up is not null").count()
+    found = targets.select("target").distinct().join(at[0], F.col("target") == F.col("round_file"))
+    outside = F.when(F.col("clean") > 0, F.col("clean") * F.log("clean")).otherwise(0.0)
+    top = F.when(F.col("clean") > F.col("most"), "outside_chain").otherwise(F.col("best"))
+    out = found.where("up is null").select("target", "length", F.col("clean").alias("p_outside"), (-(F.col("s") + outside)).alias("entropy"), top.alias("top"), F.col("last").alias("p_last"))
+    if not going:
+        return out
+    links = walk_chain(found.where("up is not null").select("target"), rounds).join(rounds.select("round_file", fault.alias("fault")), "round_file")
+    p = origin_profile(links)
+    round_trips = p.select("target", F.size("p_origin").cast("long").alias("length"), "p_outside", "entropy", "top", F.element_at("p_origin", -1).alias("p_last"))
+    return out.unionByName(round_trips)
+
+
 def flag(frustration: Column, correction: Column, frustrated: float = 3.0, corrected: float = 0.7) -> Column:
     """Rounds to examine: the user is frustrated, or corrects a failed recall."""
     return (F.coalesce(frustration, F.lit(0.0)) >= frustrated) | (F.coalesce(correction, F.lit(0.0)) >= corrected)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import is_short, key_parts
 from palimpsest.functions.vectors import dot
 from palimpsest.operators.search import top
+from palimpsest.sources.scratch import scratch_path
 
 
 def candidates_as_of(queries: DataFrame, rounds: DataFrame, equal_to: str | None = None) -> DataFrame:
@@ -24,6 +25,27 @@ def candidates_as_of(queries: DataFrame, rounds: DataFrame, equal_to: str | None
     return joined.where(before).drop("_ts")
 
 
+def earlier_counts(rounds: DataFrame, within: str) -> DataFrame:
+    """All columns of rounds (`within`, ts) and `n`, how many of the same `within` have a smaller ts; null times have null.
+
+    Times are counted first, so those that are equal are one row. These are sorted
+    over all tasks, each adds up what it holds of a key, and a running sum over the
+    tasks' totals is put before that: so a key of any size is split. A null key is a
+    key like others.
+    """
+    same = F.struct(within, "ts")
+    times = rounds.where("ts is not null").groupBy(F.col(within).alias("_g"), F.col("ts").alias("_ts")).agg(F.count(F.lit(1)).alias("_c"))
+    path = scratch_path(rounds.sparkSession, "times")
+    times.repartitionByRange("_g", "_ts").withColumn("_task", F.spark_partition_id()).write.parquet(path)
+    times = rounds.sparkSession.read.parquet(path)
+    upto = W.rowsBetween(W.unboundedPreceding, -1)
+    totals = times.groupBy("_g", "_task").agg(F.sum("_c").alias("_t"))
+    totals = totals.select(F.col("_g").alias("_h"), F.col("_task").alias("_k"), F.coalesce(F.sum("_t").over(upto.partitionBy("_g").orderBy("_task")), F.lit(0)).alias("_before"))
+    here = times.withColumn("_here", F.coalesce(F.sum("_c").over(upto.partitionBy("_g", "_task").orderBy("_ts")), F.lit(0)))
+    n = here.join(totals, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_task") == F.col("_k"))).select(F.struct(F.col("_g").alias(within), F.col("_ts").alias("ts")).alias("_at"), (F.col("_here") + F.col("_before")).alias("n"))
+    return rounds.join(n, same.eqNullSafe(F.col("_at")), "left").drop("_at")
+
+
 def excluded_without_time(rounds: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, excluded): distinct rounds other than the query that have no time."""
     blank = rounds.where("ts is null").select("round_file").distinct()

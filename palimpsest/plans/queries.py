@@ -330,9 +330,8 @@ def _rated(s, d):
 @query
 def asof_candidates(s, d):
     """How many earlier events of its user each event could be answered from."""
-    e = C.event_rounds(s, d).select("round_file", "ts", "user_id")
-    x = evaluate.candidates_as_of(e.withColumnRenamed("round_file", "query"), e, "user_id")
-    return x.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    e = C.event_rounds(s, d).select(F.col("round_file").alias("query"), "ts", "user_id")
+    return evaluate.earlier_counts(e, "user_id").where("n > 0").select("query", "n")
 
 
 @query
@@ -587,10 +586,10 @@ def parent_chain_recursive(s, d):
 
 @query
 def origin_posterior(s, d):
-    r = _parents(s, d)
-    links = chain.walk_chain(r.select(F.col("round_file").alias("target")), r).join(r.select("round_file", F.least(F.lit(1.0), F.col("value") / 100).alias("fault")), "round_file")
-    x = chain.origin_profile(links)
-    return x.select("target", r6("p_outside").alias("p_outside"), r6("entropy").alias("entropy"), "top", r6(F.element_at("p_origin", -1)).alias("p_last"))
+    """What the whole chain of every event tells of where a fault began."""
+    r = _parents(s, d).withColumn("fault", F.least(F.lit(1.0), F.col("value") / 100))
+    x = chain.origin_profiles(r.select(F.col("round_file").alias("target")), r)
+    return x.select("target", r6("p_outside").alias("p_outside"), r6("entropy").alias("entropy"), "top", r6("p_last").alias("p_last"))
 
 
 @query
