@@ -31,6 +31,7 @@ SURE = 2 * (PARTS // CHUNK) - 1
 #: probability 0.2, so a link's distance is over SURE once in 40,000 times and over FAR less than once in 10^10; and one in
 #: 1.8 * 10^9 has two errors in every chunk, so isn't found.
 FAR = 43
+CROWD = 32  # documents of a key, beyond which they meet at rare shingles instead
 FLUSH = 1_500_000  # keys that a task holds before it sends them
 BUCKET_BYTES = 256 << 10  # of stored signatures, whose keys a task holds at a time
 
@@ -174,7 +175,23 @@ def _near(pairs: DataFrame, sigs: DataFrame, far: int) -> DataFrame:
     return pairs.where(differ <= far).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE, growth: int = GROWTH, far: int = FAR) -> DataFrame:
+def _uncrowded(entries: DataFrame, sets: DataFrame, crowd: int, total: int) -> DataFrame:
+    """(h, doc_id, n, pos): entries (h, doc_id, n) of the keys that at most `crowd` documents have, and finer ones in the place of others.
+
+    Two documents that link also share one of the rarest shingles of either, of so
+    many as prefix_length says. So those that a crowded key brings together meet at
+    these, each of which few of them have, and no link between them is lost.
+    """
+    crowded = materialize(narrow(entries.groupBy("h").count().where(F.col("count") > crowd).select("h"), total))
+    own = materialize(narrow(entries.join(crowded, "h", "left_semi").select("doc_id").distinct(), total))
+    rare = sets.join(own, "doc_id", "left_semi").select("doc_id", "n", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("i", "h"), "unshared")
+    few = entries.join(crowded, "h", "left_anti").select("h", "doc_id", "n", F.lit(0).cast("long").alias("pos"))
+    return few.unionByName(rare.select("h", "doc_id", "n", (F.col("unshared") + F.col("i")).alias("pos")))
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_here: int = HOT_HERE, growth: int = GROWTH, far: int = FAR, crowd: int = CROWD
+) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (whether that is its own).
 
     Words are runs of bytes other than space, tab and line breaks, with A-Z
@@ -187,8 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
 
     Documents of equal sets are one class, whose first document stands for it, so a group
     of copies of any size is a row. The entries of a key meet its leaders in rounds (see
-    leader_rounds), never each other all at once; a key that very many documents have
-    isn't gathered in a task.
+    leader_rounds), never each other all at once. A key that very many documents have
+    isn't gathered in a task, and one that more than `crowd` have is split by their rare shingles.
     """
     docs = one_row_per_id(docs.select("doc_id", "text"))
     sets = materialize(signatures(docs, words))
@@ -198,10 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     live = materialize(entries.select(F.col("doc_id").alias("_live")).distinct())
     full = shingle_sets(docs.join(live, F.col("doc_id") == F.col("_live"), "left_semi"), words, threshold, hot_here)
     can, size = materialize_counted(full.where("prefix > 0").join(classes.select("lead", "sig"), F.col("doc_id") == F.col("lead")).drop("lead"))
-    slim = materialize(can.select("doc_id", "bins"))
-    entries = narrow(entries.join(slim, "doc_id").withColumn("pos", F.lit(0).cast("long")), total)
+    entries, total = materialize_counted(narrow(entries.join(can.select("doc_id"), "doc_id", "left_semi"), total))
+    entries = narrow(_uncrowded(entries, can, crowd, total).join(can.select("doc_id", "bins"), "doc_id"), total)
     labels = leader_rounds(
-        entries, total, size, threshold, growth,
+        materialize(entries), total, size, threshold, growth,
         lambda pairs, rows: narrow(_near(pairs, can, far), rows),
         lambda pairs, rows: verify_pairs(pairs, can, threshold, rows=rows, size=size),
     )

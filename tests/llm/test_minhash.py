@@ -87,11 +87,11 @@ def texts(seed, n=300):
     return out
 
 
-@pytest.mark.parametrize("seed, hot, growth", [(1, 4096, 8), (2, 3, 2), (3, 0, 8)])
-def test_equals_brute_force(spark, seed, hot, growth):
+@pytest.mark.parametrize("seed, hot, growth, crowd", [(1, 4096, 8, 32), (2, 3, 2, 1), (3, 0, 8, 4)])
+def test_equals_brute_force(spark, seed, hot, growth, crowd):
     docs = [(i * 7 - 900, t.upper() if i % 5 == 0 else t) for i, t in enumerate(texts(seed))]
     df = spark.createDataFrame(docs, DOCS).repartition(5)
-    assert got(minhash.near_duplicates(df, hot_here=hot, growth=growth)) == want(docs)
+    assert got(minhash.near_duplicates(df, hot_here=hot, growth=growth, crowd=crowd)) == want(docs)
 
 
 def test_nulls_empty_repeated_long_and_clashing_columns(spark):
