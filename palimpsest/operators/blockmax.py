@@ -1,7 +1,7 @@
 """The best lexical hits of each query, without scoring every document that has one of its words.
 
-Documents are dealt to ranges by a hash. What a range has of a term is a block: the places of its documents, what the
-term adds to each (but for its rarity), and the greatest of that. A range answers all queries by itself: it adds up the
+Documents are dealt to ranges by a hash. What a range has of a term is a block: the places of its documents and how
+often each has the term; the most that it can add to one of them is the block's worth. A range answers all queries by itself: it adds up the
 blocks of a query's strongest terms, drops the documents that can't reach the query's floor even with the most that the
 other blocks add, and opens those blocks only where documents are left. So a range sends the best few of each query, and
 no table of queries and documents comes about.
@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import bm25
-from palimpsest.sources.scratch import scratch_path
+from palimpsest.sources.scratch import exists, scratch_path
 
 RANGE = 1024  # documents of a range, about
 FIRST = 8  # one of so many ranges goes first, where there are so many
@@ -31,35 +31,52 @@ TERMS = 200_000  # terms of queries that go to the ranges together; more queries
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """blocks (range, term, places, gains, most), members (range, place, key), terms (term, df), n documents, number of ranges."""
+    """blocks (range, term, places, tf), members (range, place, key, dl, stamp), terms (term, df), n documents, their mean length, number of ranges."""
 
     blocks: DataFrame
     members: DataFrame
     terms: DataFrame
     n: int
+    avgdl: float
     ranges: int
 
 
-def build(index: DataFrame, lengths: DataFrame, key: str, path: str, size: int = RANGE) -> BlockIndex:
-    """Writes the blocks of postings (key, term, tf) and lengths (key, dl), and reads them back.
+def write(docs: DataFrame, key: str, text: str, path: str, size: int = RANGE) -> None:
+    """Writes the blocks of documents (key, text), each key once.
 
-    A common term is many blocks, each of one range: so no row and no task holds a term's postings.
+    The texts are dealt to their ranges, the one shuffle: words are counted and
+    gathered to blocks where they are then. A common term is many blocks, each of one
+    range, so no row and no task holds a term's postings.
     """
-    spark = index.sparkSession
-    s = bm25.corpus_stats(lengths).first()
-    ranges = max(1, -(-s.n // size))
+    spark = docs.sparkSession
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    ranges = max(1, -(-d.count() // size))
+    d = d.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
     place = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
-    said = lengths.select(F.col(key).alias("key"), "dl", F.pmod(F.xxhash64(key), F.lit(ranges)).alias("range"))
-    said.withColumn("place", place).write.mode("overwrite").parquet(f"{path}/members")
-    members = spark.read.parquet(f"{path}/members")
-    gain = F.col("tf") * (bm25.K1 + 1) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(s.avgdl or 1.0)))
-    rows = index.join(members, index[key] == members["key"]).select("range", "term", "place", gain.alias("gain"))
-    one = F.collect_list(F.struct("place", "gain"))
-    blocks = rows.groupBy("range", "term").agg(one.alias("p"), F.max("gain").alias("most")).select("range", "term", F.col("p.place").alias("places"), F.col("p.gain").alias("gains"), "most")
-    blocks.sortWithinPartitions("range", "term").write.mode("overwrite").parquet(f"{path}/blocks")
-    stored = spark.read.parquet(f"{path}/blocks")
-    stored.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    return BlockIndex(stored, members, spark.read.parquet(f"{path}/terms"), s.n, ranges)
+    placed = d.repartition("range").withColumn("at", F.struct("range", place.alias("place")))
+    counted = bm25.tokens(placed.select("at", "text"), "at", "text").select("at.range", "at.place", "term").groupBy("range", "place", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    one = counted.groupBy("range", "term").agg(F.collect_list(F.struct("place", "tf")).alias("p"))
+    one.select("range", "term", F.col("p.place").alias("places"), F.col("p.tf").alias("tf")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    said = blocks.select("range", F.explode(F.arrays_zip("places", "tf")).alias("p")).groupBy("range", F.col("p.places").alias("place")).agg(F.sum("p.tf").alias("dl"))
+    members = d.select("range", "key", bm25.stamp_of("text")).withColumn("place", place).join(said, ["range", "place"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    members.write.mode("overwrite").parquet(f"{path}/members")
+
+
+def read(spark: SparkSession, path: str) -> BlockIndex:
+    blocks, members, terms = (spark.read.parquet(f"{path}/{x}") for x in ("blocks", "members", "terms"))
+    n, avgdl, ranges = members.agg(F.count(F.lit(1)), F.avg("dl"), F.max("range")).first()
+    return BlockIndex(blocks, members, terms, n, avgdl or 1.0, (ranges or 0) + 1)
+
+
+def stored(docs: DataFrame, key: str, text: str, path: str) -> BlockIndex:
+    """The index at `path`, written anew where it is missing or not of these documents in their present wording."""
+    spark = docs.sparkSession
+    now = docs.select(F.col(key).alias("key"), bm25.stamp_of(text))
+    if not exists(spark, f"{path}/members/_SUCCESS") or not bm25.is_fresh(spark.read.parquet(f"{path}/members"), now, "key"):
+        write(docs, key, text, path)
+    return read(spark, path)
 
 
 def weighted(index: BlockIndex, terms: DataFrame) -> DataFrame:
@@ -93,17 +110,19 @@ def best_of_range(blocks: dict[str, tuple[np.ndarray, np.ndarray, float]], wante
 _HITS = "query string, range long, place int, score double, opened int, blocks int"
 
 
-def _answer(queries: dict[str, list[tuple[str, float]]], floors: dict[str, float], k: int):
+def _answer(queries: dict[str, list[tuple[str, float]]], floors: dict[str, float], k: int, avgdl: float):
     def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if blocks.num_rows and members.num_rows:
-            own = {}
-            places, gains = blocks.column("places").combine_chunks(), blocks.column("gains").combine_chunks()
-            p, g, at = places.flatten().to_numpy(), gains.flatten().to_numpy(), np.r_[0, np.cumsum(places.value_lengths().to_numpy())]
-            for i, (term, most) in enumerate(zip(blocks.column("term").to_pylist(), blocks.column("most").to_pylist())):
-                own[term] = (p[at[i] : at[i + 1]], g[at[i] : at[i + 1]], most)
-            wanted = np.zeros(max(int(p.max()), int(members.column("place").to_numpy().max())) + 1, bool)
-            wanted[members.column("place").to_numpy()] = True
+            own, o = {}, members.column("place").to_numpy().argsort()
+            length, wanted = members.column("dl").to_numpy()[o], members.column("wanted").to_numpy()[o]
+            places = blocks.column("places").combine_chunks()
+            p, tf = places.flatten().to_numpy(), blocks.column("tf").combine_chunks().flatten().to_numpy()
+            at = np.r_[0, np.cumsum(places.value_lengths().to_numpy())]
+            gains = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length[p] / avgdl))
+            most = np.maximum.reduceat(gains, at[:-1])
+            for i, term in enumerate(blocks.column("term").to_pylist()):
+                own[term] = (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i]))
             here = blocks.column("range")[0].as_py()
             for query, terms in queries.items():
                 found, score, opened = best_of_range(own, wanted, terms, floors.get(query, 0.0), k)
@@ -132,20 +151,21 @@ def _stored(df: DataFrame) -> DataFrame:
 def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
     """Rows (query, range, place, score, opened, blocks) that hold the k best documents of each query; see best."""
     w = _stored(weighted(index, terms))
-    n, members, done = w.count(), index.members, None
+    n, members, done = w.count(), index.members.withColumn("wanted", F.lit(True)), None
     if scope is not None:
-        members = members.join(scope.select("key"), "key", "left_semi")
+        inside = scope.select("key").distinct().withColumn("_in", F.lit(True))
+        members = index.members.join(inside, "key", "left").withColumn("wanted", F.coalesce("_in", F.lit(False)))
     turns = -(-n // TERMS)
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
         queries: dict[str, list[tuple[str, float]]] = {}
         for r in mine.collect():  # the texts of queries, TERMS of their words at a time
             queries.setdefault(r.query, []).append((r.term, r.idf))
-        read = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        asked = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
 
         def ask(which: Column, floors: dict[str, float]) -> DataFrame:
-            own = members.where(which).select("range", "place")
-            return _stored(read.where(which).groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_answer(queries, floors, k), _HITS))  # noqa: B023
+            own = members.where(which).select("range", "place", "dl", "wanted")
+            return _stored(asked.where(which).groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_answer(queries, floors, k, index.avgdl), _HITS))  # noqa: B023
 
         first = F.col("range") % FIRST == 0
         if index.ranges < FIRST:

@@ -66,17 +66,15 @@ def _lexical(s, d, queries: DataFrame) -> DataFrame:
     return bm25.score_index(*index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
 
 
-_blocks: dict[tuple[str, str], blockmax.BlockIndex] = {}
+_blocks: dict[tuple[str, str], str] = {}
 
 
 def _best_hits(s, d, scope: DataFrame | None = None) -> DataFrame:
     """The benchmark's texts and the ten best documents of each, with those that tie: what the top five and the scale need."""
-    at = (s.sparkContext.applicationId, d)
-    if at not in _blocks:
-        path = _indexes.setdefault(at, scratch_path(s, "lexical"))
-        _blocks[at] = blockmax.build(*bm25.stored_index(C.documents(s, d), "round_file", "text", path), "round_file", scratch_path(s, "blocks"))
+    path = _blocks.setdefault((s.sparkContext.applicationId, d), scratch_path(s, "blocks"))
+    index = blockmax.stored(C.documents(s, d), "round_file", "text", path)
     terms = bm25.query_terms(C.text_queries(s, d), "query", "text")
-    return blockmax.best(_blocks[at], terms, scope=scope).withColumnRenamed("key", "round_file")
+    return blockmax.best(index, terms, scope=scope).withColumnRenamed("key", "round_file")
 
 
 def _scores(s, d):

@@ -42,8 +42,9 @@ class RetrievalStore:
 
     @cached_property
     def block_index(self) -> blockmax.BlockIndex:
-        """The same in blocks, for searches that want the best alone."""
-        return blockmax.build(*self.lexical_index, "round_file", scratch_path(self.spark, "blocks"))
+        """The rounds' texts in blocks, for searches that want the best alone; stored beside the lexical index."""
+        path = f"{self.index_path}/by_range" if self.index_path else scratch_path(self.spark, "blocks")
+        return blockmax.stored(self.texts, "round_file", "text", path)
 
     def _text_match(self, queries: DataFrame, p: ranked_search.SearchParams) -> DataFrame:
         """(query, round_file, score, normalized) of each query's best rounds: as many as the scale and the limit need."""

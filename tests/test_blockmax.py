@@ -32,7 +32,9 @@ def made(spark, tmp_path_factory):
     whole = {}
     for r in bm25.score_index(postings, lengths, terms, "k", "query").collect():
         whole.setdefault(r.query, {})[r.k] = r.score
-    return blockmax.build(postings, lengths, "k", f"file://{tmp_path_factory.mktemp('blocks')}", size=64), terms, whole
+    path = f"file://{tmp_path_factory.mktemp('blocks')}"
+    blockmax.write(d, "k", "t", path, size=64)
+    return blockmax.read(spark, path), terms, whole
 
 
 def same(got, scores, k):
@@ -101,11 +103,24 @@ def test_a_range_keeps_all_that_reaches_the_floor(seed, k, floor):
 
 def test_empty_corpus_and_queries(spark, tmp_path):
     d = spark.createDataFrame([], "k string, t string")
-    index = blockmax.build(bm25.postings(d, "k", "t"), bm25.doc_lengths(d, "k", "t"), "k", f"file://{tmp_path}")
+    index = blockmax.stored(d, "k", "t", f"file://{tmp_path}/i")
     q = bm25.query_terms(spark.createDataFrame([("q", "cat")], "query string, text string"), "query", "text")
     assert index.n == 0 and blockmax.best(index, q).count() == 0
 
 
+def test_blocks_are_written_anew_for_other_texts(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "cat dog"), ("b", None), ("c", "cat cat")], "k string, t string")
+    path = f"file://{tmp_path}/i"
+    index = blockmax.stored(docs, "k", "t", path)
+    assert (index.n, index.ranges, index.avgdl) == (3, 1, 4 / 3)
+    assert sorted(map(tuple, index.members.select("key", "dl").collect())) == [("a", 2), ("b", 0), ("c", 2)]
+    files = sorted(tmp_path.rglob("*.parquet"))
+    blockmax.stored(docs, "k", "t", path)
+    assert sorted(tmp_path.rglob("*.parquet")) == files
+    index = blockmax.stored(docs.withColumn("t", F.lit("owl")), "k", "t", path)
+    assert [tuple(r) for r in index.terms.collect()] == [("owl", 3)]
+
+
 def test_an_edited_text_is_not_fresh(spark, tmp_path):
     docs = spark.createDataFrame([("a", "cat"), ("b", None)], "round_file string, text string")
     bm25.write_index(docs, "round_file", "text", f"file://{tmp_path}/i")
