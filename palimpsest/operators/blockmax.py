@@ -53,8 +53,8 @@ def write(docs: DataFrame, key: str, text: str, path: str, size: int = RANGE) ->
     ranges = max(1, -(-d.count() // size))
     d = d.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
     place = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
-    placed = d.repartition("range").withColumn("at", F.struct("range", place.alias("place")))
-    counted = bm25.tokens(placed.select("at", "text"), "at", "text").select("at.range", "at.place", "term").groupBy("range", "place", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    placed = d.repartition("range").withColumn("place", place)  # what follows is clustered by range already
+    counted = bm25.tokens(placed, ["range", "place"], "text").groupBy("range", "place", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     one = counted.groupBy("range", "term").agg(F.collect_list(F.struct("place", "tf")).alias("p"))
     one.select("range", "term", F.col("p.place").alias("places"), F.col("p.tf").alias("tf")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
