@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,17 +58,65 @@ def excluded_without_time(rounds: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query").join(own, "query", "left").join(F.broadcast(n)).select("query", (F.col("_n") - F.coalesce("_own", F.lit(0))).alias("excluded"))
 
 
+TURN = 2048  # queries that go to all tasks together
+
+
+def _nearest_before(queries: list[tuple[str, object, list[float]]], k: int):
+    """In each batch of rows (round_file, _ts, vector) the k best rounds before each query's time, and what ties with the last but for rounding."""
+    by_size: dict[int, list] = {}
+    for q in queries:
+        by_size.setdefault(len(q[2]), []).append(q)
+    sets = {d: ([q[0] for q in qs], [q[1] for q in qs], np.array([q[2] for q in qs], float).reshape(len(qs), d)) for d, qs in by_size.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, times, vectors = batch.column("round_file").to_pylist(), batch.column("_ts").to_pylist(), batch.column("vector")
+            sizes, place = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False), {f: i for i, f in enumerate(files)}
+            out: list[tuple[str, int]] = []
+            for d, (names, limits, wanted) in sets.items():
+                rows = np.flatnonzero(sizes == d)
+                if not len(rows):
+                    continue
+                score = wanted @ vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d).T
+                at = np.array([times[i] for i in rows])
+                own = np.array([place[files[i]] for i in rows])  # rows of one round have its place
+                for name, limit, s in zip(names, limits, score):
+                    ok = np.flatnonzero(np.isfinite(s) & (at < limit) & (own != place.get(name, -1)))
+                    if not len(ok):
+                        continue
+                    best = np.full(len(files), -np.inf)
+                    np.maximum.at(best, own[ok], s[ok])
+                    found = np.flatnonzero(best > -np.inf)
+                    if len(found) > k:
+                        last = np.partition(best[found], -k)[-k]
+                        found = found[best[found] >= last - 1e-9 * (1 + abs(last))]
+                    chosen = ok[np.isin(own[ok], found)]
+                    out += [(name, int(rows[i])) for i in chosen]
+            if out:
+                take = pa.array([i for _, i in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.string()), batch.column("round_file").take(take), vectors.take(take)], ["query", "round_file", "vector"])
+
+    return run
+
+
 def rank_as_of(queries: DataFrame, vectors: DataFrame, rounds: DataFrame, k: int = 5) -> DataFrame:
     """(query, round_file, score, rank): each query's k best rounds by inner product among those before it.
 
-    queries (query, ts, vector). The best of a round's rows counts. Scores are
-    computed on Arrow-free expressions; the top k is cut by a window limit before
-    anything wide is joined.
+    queries (query, ts, vector), vectors (round_file, vector), rounds (round_file,
+    ts). The best of a round's rows counts; vectors of another size than the query's
+    take no part, nor do null and non-finite ones. The queries go to all tasks in turns; a batch of
+    rows is one product of matrices and sends its own best rounds alone, of which
+    the scores are taken anew as sums in order, so equal vectors tie.
     """
-    rows = vectors.join(rounds.select("round_file", F.col("ts").alias("_ts")), "round_file")
-    q = queries.withColumnRenamed("vector", "_q")
-    near = rows.join(q, (F.col("_ts") < F.col("ts")) & (F.col("round_file") != F.col("query")))
-    scored = near.withColumn("score", dot(F.col("_q"), F.col("vector"))).where("score is not null")
+    rows = vectors.select("round_file", F.col("vector").cast("array<double>").alias("vector")).join(rounds.select("round_file", F.col("ts").alias("_ts")), "round_file").where("_ts is not null")
+    q = queries.select("query", "ts", F.col("vector").cast("array<double>").alias("_q")).where("_q is not null and ts is not null and not exists(_q, x -> x is null)")
+    turns = max(1, -(-q.count() // TURN))
+    near = None
+    for turn in range(turns):
+        mine = [(r.query, r.ts, r._q) for r in q.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn).collect()]  # TURN queries, about
+        part = rows.where("not exists(vector, x -> x is null)").mapInArrow(_nearest_before(mine, k), "query string, round_file string, vector array<double>")
+        near = part if near is None else near.unionByName(part)
+    scored = near.join(q.select("query", "_q"), "query").withColumn("score", dot(F.col("_q"), F.col("vector"))).where("score is not null")
     return top(scored.groupBy("query", "round_file").agg(F.max("score").alias("score")), k)
 
 

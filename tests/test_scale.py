@@ -80,3 +80,30 @@ def test_earlier_counts(spark):
     at = Counter((g, t) for _, g, t in rows if t is not None)
     assert got == {i: None if t is None else sum(c for (h, u), c in at.items() if h == g and u < t) for i, g, t in rows}
     assert evaluate.earlier_counts(spark.createDataFrame([], "id int, user string, ts double"), "user").count() == 0
+
+
+@pytest.mark.parametrize("turn, k", [(2048, 3), (2, 1), (2048, 500)])
+def test_rank_as_of(spark, monkeypatch, turn, k):
+    """Ties, several rows of a round over several batches, other sizes, nulls, equal times, the query among the rounds."""
+    monkeypatch.setattr(evaluate, "TURN", turn)
+    r = random.Random(4)
+    vector = lambda: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
+    rounds = [(f"r{i}", None if i % 17 == 0 else i // 2) for i in range(120)]
+    rows = [(f"r{i}", vector()) for i in range(120) for _ in range(i % 3)] + [("r5", [1.0, 2.0]), ("r6", None), ("r7", [None, 1.0, 1.0, 1.0]), ("gone", vector()), ("r8", [])]
+    queries = [(f"r{i}", i // 2, vector()) for i in range(0, 120, 9)] + [("new", 1000, vector()), ("short", 50, [1.0, 1.0]), ("blank", 50, None), ("never", None, vector())]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = evaluate.rank_as_of(
+            spark.createDataFrame(queries, "query string, ts int, vector array<double>"), spark.createDataFrame(rows, "round_file string, vector array<double>"), spark.createDataFrame(rounds, "round_file string, ts int"), k
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    times, want = dict(rounds), []
+    for q, ts, v in queries:
+        best = {}
+        for f, x in rows:
+            at = times.get(f)
+            if v and x and None not in x and len(x) == len(v) and at is not None and ts is not None and at < ts and f != q:
+                best[f] = max(best.get(f, -math.inf), sum(a * b for a, b in zip(v, x)))
+        want += [(q, f, s, n) for n, (f, s) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:k], 1)]
+    assert sorted((x.query, x.round_file, x.score, x["rank"]) for x in got) == sorted(want)
