@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import materialize
+
 #: Rows of a tree that one task reads at a time: neighbouring leaves share a block, a larger leaf has several.
 BLOCK_ROWS = 32_768
 
 
-#: Queries that a task compares with a block at a time.
-QUERY_ROWS = 4096
+#: Queries that visit one copy of a block. A block goes out once for every so many visits, so what moves grows with the visits.
+VISITS = 65_536
+#: Queries of one vector that meet its hits in one task.
+SHARERS = 65_536
 
 
 @dataclass(frozen=True)
@@ -158,8 +162,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     The trees are fitted on at most params.sample rows and broadcast (size bound
     by the sample); every row is indexed. How much a query reads is measured on
     the sample, for params.recall: little where vectors cluster, nearly all where
-    they have no structure. Leaves are read in blocks of about BLOCK_ROWS rows by
-    QUERY_ROWS queries at a time.
+    they have no structure. Leaves are read in blocks of about BLOCK_ROWS rows. A
+    task holds one block and lets the queries that visit it pass by in batches; a
+    block that more than VISITS queries visit is copied once for each VISITS of
+    them, and one that nobody visits stays where it is. Queries that share a
+    vector are searched as one and meet its hits in tasks of SHARERS.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -171,8 +178,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
     members = good.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("key", "vec_id", "v")
     distinct = good.groupBy("key").agg(F.first("v").alias("v"))
     queries = good.where(is_query)
-    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = -(-query_vectors.count() // QUERY_ROWS) or 1
+    query_vectors = queries.groupBy("key").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = distinct.count()
     norm = lambda: F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sample = distinct.orderBy(F.col("key.a"), F.col("key.b")).limit(params.sample - 1).union(distinct.orderBy(F.desc(norm()), "key").limit(1))
@@ -190,7 +196,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
                 for t in range(leaves.shape[1]):
                     yield pd.DataFrame({"a": p["a"], "b": p["b"], "v": p["v"], "tree": t, "leaf": leaves[:, t]})
 
-    flat = lambda df: df.select("key.a", "key.b", "v")
+    flat = lambda df, *more: df.select("key.a", "key.b", "v", *more)
     indexed = flat(distinct).mapInPandas(assign, "a long, b long, v array<double>, tree int, leaf long")
     counts = indexed.groupBy("tree", "leaf").count().collect()  # bounded by the sample
     per_tree = [np.zeros(max([c["leaf"] for c in counts if c["tree"] == t], default=0) + 1) for t in range(params.trees)]
@@ -202,47 +208,69 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, params: ForestParams = Fo
 
     def visit(it):
         for p in it:
-            for a, b, v in zip(p["a"], p["b"], p["v"]):
+            out = []
+            for v in p["v"]:
                 to: dict[int, list[int]] = {}
                 for t, f in forest.value.search(np.asarray(v, float), sizes.value, wanted):
                     first, parts = placed.value[t, f]
                     for c in range(first, first + parts):
                         to.setdefault(c, []).append(f)
-                yield pd.DataFrame({"a": a, "b": b, "v": [v] * len(to), "block": list(to), "leaves": list(to.values())})
+                out.append([{"block": c, "leaves": leaves} for c, leaves in to.items()])
+            yield p.assign(visits=out)
 
-    asked = flat(query_vectors).mapInPandas(visit, "a long, b long, v array<double>, block long, leaves array<long>")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("b", "a"), F.lit(parts)))
+    asks = flat(query_vectors, "n").mapInPandas(visit, "a long, b long, v array<double>, n long, visits array<struct<block long, leaves array<long>>>")
+    asks = materialize(asks)
     table = spark.createDataFrame([(t, f, *x) for (t, f), x in blocks.items()], "tree int, leaf long, first long, parts long")
-    indexed = indexed.join(F.broadcast(table), ["tree", "leaf"]).select(
-        "a", "b", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("b", "a"), "parts")).alias("block"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part")
-    )
-
-    def rerank(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    visits = asks.select("a", "b", "v", F.explode("visits").alias("x")).select("a", "b", "v", F.col("x.block").alias("block"), F.col("x.leaves").alias("leaves"))
+    copies = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITS).alias("copies"))
+    asked = visits.join(copies, "block").withColumn("part", F.pmod(F.xxhash64("b", "a"), "copies"))
+    placed_rows = indexed.join(F.broadcast(table), ["tree", "leaf"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("b", "a"), "parts"))
+    sent = placed_rows.join(copies, "block").select("a", "b", "v", F.array("leaf").alias("leaves"), "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+    met = sent.withColumn("ask", F.lit(False)).unionByName(asked.drop("copies").withColumn("ask", F.lit(True)))
+
+    def best_of(ask: pd.DataFrame, ids: np.ndarray, v: np.ndarray, by_leaf: dict[int, np.ndarray]) -> pd.DataFrame:
         found = [pd.DataFrame({"q": [], "r": [], "score": []})]
-        if len(ask) and len(rows):
-            v, q = np.stack(rows["v"].to_numpy()), np.stack(ask["v"].to_numpy())
-            at = np.repeat(np.arange(len(ask)), ask["leaves"].map(len))
-            asks = pd.Series(at).groupby(np.concatenate(ask["leaves"].to_numpy())).indices
-            for leaf, own in pd.Series(range(len(rows))).groupby(rows["leaf"].to_numpy()).indices.items():
-                who = at[asks[leaf]] if leaf in asks else []
-                for i in range(0, len(who), 512):
-                    part = who[i : i + 512]
-                    s = q[part] @ v[own].T
-                    top = min(k + 1, len(own))
-                    best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    exact = np.cumsum(q[part][:, None, :] * v[own[best]], axis=-1)[..., -1]  # in the order of components
-                    found.append(pd.DataFrame({"q": np.repeat(part, top), "r": own[best].ravel(), "score": exact.ravel()}))
+        q = np.stack(ask["v"].to_numpy())
+        at = np.repeat(np.arange(len(ask)), ask["leaves"].map(len))
+        for leaf, who in pd.Series(at).groupby(np.concatenate(ask["leaves"].to_numpy())):
+            own = by_leaf.get(leaf)
+            for i in range(0, len(who) if own is not None else 0, 512):
+                part = who.to_numpy()[i : i + 512]
+                s = q[part] @ v[own].T
+                top = min(k + 1, len(own))
+                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                exact = np.cumsum(q[part][:, None, :] * v[own[best]], axis=-1)[..., -1]  # in the order of components
+                found.append(pd.DataFrame({"q": np.repeat(part, top), "r": own[best].ravel(), "score": exact.ravel()}))
         f = pd.concat(found)
         f = f[f.groupby("q")["score"].rank(method="min", ascending=False) <= k + 1]
         q, r = f["q"].to_numpy(int), f["r"].to_numpy(int)
-        return pd.DataFrame({"qa": ask["a"].to_numpy()[q], "qb": ask["b"].to_numpy()[q], "a": rows["a"].to_numpy()[r], "b": rows["b"].to_numpy()[r], "score": f["score"].to_numpy()})
+        return pd.DataFrame({"qa": ask["a"].to_numpy()[q], "qb": ask["b"].to_numpy()[q], "a": ids[r, 0], "b": ids[r, 1], "score": f["score"].to_numpy()})
 
-    pairs = asked.groupBy("block", "part").cogroup(indexed.groupBy("block", "part")).applyInPandas(rerank, "qa long, qb long, a long, b long, score double")
+    def rerank(it):
+        """Rows of a copy of a block come before the queries that visit it: they stay until the next one's."""
+        key, rows, made = None, [], None
+        for p in it:
+            for (*own, ask), g in p.groupby(["block", "part", "ask"]):
+                if own != key:
+                    key, rows, made = own, [], None
+                if not ask:
+                    rows.append((g[["a", "b"]].to_numpy(), np.stack(g["v"].to_numpy()), g["leaves"].str[0].to_numpy()))
+                elif rows or made:
+                    if not made:
+                        ids, v, leaf = (np.concatenate(x) for x in zip(*rows))
+                        made, rows = (ids, v, pd.Series(range(len(leaf))).groupby(leaf).indices), []
+                    yield best_of(g, *made)
+
+    pairs = met.repartition("block", "part").sortWithinPartitions("block", "part", "ask").mapInPandas(rerank, "qa long, qb long, a long, b long, score double")
     best = pairs.distinct().withColumn("n", F.rank().over(W.partitionBy("qa", "qb").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n")
     m = members.select(F.col("key.a").alias("a"), F.col("key.b").alias("b"), "vec_id")
     hits = best.join(m, ["a", "b"])
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("qa", "qb").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
     ask = queries.select(F.col("vec_id").alias("query_id"), F.col("key.a").alias("qa"), F.col("key.b").alias("qb"))
-    joined = ask.join(hits, ["qa", "qb"]).where("vec_id <> query_id")
+    shared = asks.where(F.col("n") > SHARERS).select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.ceil(F.col("n") / SHARERS).alias("shares"))
+    shared = F.broadcast(shared)  # a row for SHARERS queries, at most
+    ask = ask.join(shared, ["qa", "qb"], "left").withColumn("share", F.pmod(F.xxhash64("query_id"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    hits = hits.join(shared, ["qa", "qb"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    joined = ask.join(hits, ["qa", "qb", "share"]).where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return joined.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

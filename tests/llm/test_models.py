@@ -223,12 +223,22 @@ def test_what_is_read_follows_the_vectors(spread, most):
     assert hits / 600 >= 0.9
 
 
-def test_queries_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("visits, sharers, batch", [(7, 20, 10000), (64, 1, 9), (1 << 16, 1 << 16, 33)])
+def test_blocks_are_copied_and_queries_that_share_a_vector_dealt_out(spark, monkeypatch, visits, sharers, batch):
+    """A hundred of the queries have one vector; batches end within a block's rows and within its queries."""
     v, df = near_rows(spark, 600, 8)
     whole = sorted(map(tuple, rp_forest.nearest(df, F.col("vec_id") % 3 == 0, 5).collect()))
-    monkeypatch.setattr(rp_forest, "QUERY_ROWS", 7)
+    for q in range(0, 600, 3):
+        assert [x[2] for x in whole if x[0] == q] == [i for i, _ in brute_nearest(v, q, 5)]
+    monkeypatch.setattr(rp_forest, "VISITS", visits)
+    monkeypatch.setattr(rp_forest, "SHARERS", sharers)
     monkeypatch.setattr(rp_forest, "BLOCK_ROWS", 100)
-    assert sorted(map(tuple, rp_forest.nearest(df, F.col("vec_id") % 3 == 0, 5).collect())) == whole
+    batch_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert sorted(map(tuple, rp_forest.nearest(df, F.col("vec_id") % 3 == 0, 5).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_before)
 
 
 def test_neighbour_edges(spark):
