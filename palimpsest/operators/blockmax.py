@@ -8,6 +8,10 @@ no table of queries and documents comes about.
 
 Some ranges go first, with no floor. The k-th best that they have of a query is the floor of the others: what is below
 it isn't among the k best of all. Statistics are the whole corpus's, and the result is that of scoring everything.
+
+A stored index grows by turns. A turn adds ranges for the documents that are new or have a new wording, and notes which
+documents are gone (deleted, or in an old wording): these stay in their blocks, where they can only make a bound too
+high, but are never found, and counts leave them out. So a turn writes as much as has changed.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import bm25
-from palimpsest.sources.scratch import exists, scratch_path
+from palimpsest.sources.scratch import delete, exists, scratch_path
 
 RANGE = 1024  # documents of a range, about
 FIRST = 8  # one of so many ranges goes first, where there are so many
 TIES = 1e-5  # share of a floor down to which documents are kept: equal scores differ in their last digits
 TERMS = 200_000  # terms of queries that go to the ranges together; more queries go in several turns
+TURNS = 64  # turns of growth after which the index is written anew, as small turns leave small ranges
 
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """blocks (range, term, places, tf), members (range, place, key, dl, stamp), terms (term, df), n documents, their mean length, number of ranges."""
+    """blocks (range, term, places, tf), members (range, place, key, dl, stamp, live), terms (term, df), and counts.
+
+    Of the documents that are live: df of terms, n documents, their mean length. Of all: gone documents, ranges, turns.
+    """
 
     blocks: DataFrame
     members: DataFrame
@@ -39,43 +47,91 @@ class BlockIndex:
     n: int
     avgdl: float
     ranges: int
+    gone: int
+    turns: int
 
 
 def write(docs: DataFrame, key: str, text: str, path: str, size: int = RANGE) -> None:
-    """Writes the blocks of documents (key, text), each key once.
+    """Writes the blocks of documents (key, text), each key once, in the place of what was at `path`."""
+    delete(docs.sparkSession, path)
+    _write_turn(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), path, size, 0, 0)
+
+
+def _write_turn(d: DataFrame, path: str, size: int, turn: int, start: int, index: BlockIndex | None = None, gone: DataFrame | None = None) -> None:
+    """Adds documents (key, text) in ranges from `start` on, and takes the `gone` (range, place) of `index` out of the counts.
 
     The texts are dealt to their ranges, the one shuffle: words are counted and
     gathered to blocks where they are then. A common term is many blocks, each of one
-    range, so no row and no task holds a term's postings.
+    range, so no row and no task holds a term's postings. The members come last: a
+    turn without them doesn't count, and the next attempt writes over it.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    spark = d.sparkSession
+    at = lambda name: f"{path}/{name}/turn={turn}"
     ranges = max(1, -(-d.count() // size))
-    d = d.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
+    d = d.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)) + F.lit(start))
     place = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
     placed = d.repartition("range").withColumn("place", place)  # what follows is clustered by range already
     counted = bm25.tokens(placed, ["range", "place"], "text").groupBy("range", "place", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     one = counted.groupBy("range", "term").agg(F.collect_list(F.struct("place", "tf")).alias("p"))
-    one.select("range", "term", F.col("p.place").alias("places"), F.col("p.tf").alias("tf")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
-    blocks.groupBy("term").agg(F.sum(F.size("places")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    one.select("range", "term", F.col("p.place").alias("places"), F.col("p.tf").alias("tf")).write.mode("overwrite").option("compression", "zstd").parquet(at("blocks"))
+    blocks = spark.read.parquet(at("blocks"))
+    terms = blocks.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+    lost = d.select("range", F.lit(0).alias("place")).limit(0)
+    if gone is not None:
+        gone.write.mode("overwrite").parquet(at("gone"))
+        lost = spark.read.parquet(at("gone"))
+        said = index.blocks.join(lost.select("range").distinct(), "range", "left_semi").select("range", "term", F.explode("places").alias("place"))
+        less = said.join(lost, ["range", "place"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    else:
+        lost.write.mode("overwrite").parquet(at("gone"))
+    terms.write.mode("overwrite").parquet(at("terms"))
     said = blocks.select("range", F.explode(F.arrays_zip("places", "tf")).alias("p")).groupBy("range", F.col("p.places").alias("place")).agg(F.sum("p.tf").alias("dl"))
     members = d.select("range", "key", bm25.stamp_of("text")).withColumn("place", place).join(said, ["range", "place"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    members.write.mode("overwrite").parquet(f"{path}/members")
+    members.write.mode("overwrite").parquet(at("members"))
+
+
+def _turns(spark: SparkSession, path: str) -> int:
+    """How many turns are whole."""
+    turn = 0
+    while exists(spark, f"{path}/members/turn={turn}/_SUCCESS"):
+        turn += 1
+    return turn
 
 
 def read(spark: SparkSession, path: str) -> BlockIndex:
-    blocks, members, terms = (spark.read.parquet(f"{path}/{x}") for x in ("blocks", "members", "terms"))
-    n, avgdl, ranges = members.agg(F.count(F.lit(1)), F.avg("dl"), F.max("range")).first()
-    return BlockIndex(blocks, members, terms, n, avgdl or 1.0, (ranges or 0) + 1)
+    turns = _turns(spark, path)
+    blocks, members, terms, gone = (spark.read.parquet(f"{path}/{x}").where(F.col("turn") < turns).drop("turn") for x in ("blocks", "members", "terms", "gone"))
+    members = members.join(gone.withColumn("_gone", F.lit(True)), ["range", "place"], "left").withColumn("live", F.col("_gone").isNull()).drop("_gone")
+    terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if turns > 1 else terms
+    n, avgdl, ranges, dead = members.agg(F.count_if("live"), F.avg(F.when(F.col("live"), F.col("dl"))), F.max("range"), F.count_if(~F.col("live"))).first()
+    return BlockIndex(blocks, members, terms, n, avgdl or 1.0, 0 if ranges is None else ranges + 1, dead, turns)
 
 
-def stored(docs: DataFrame, key: str, text: str, path: str) -> BlockIndex:
-    """The index at `path`, written anew where it is missing or not of these documents in their present wording."""
+def stored(docs: DataFrame, key: str, text: str, path: str, size: int = RANGE) -> BlockIndex:
+    """The index at `path`, brought to these documents in their present wording.
+
+    Documents are compared by key and a stamp of their text, so one that changed is
+    a gone and a new one. Where the index is missing, where most of its documents
+    would be gone, and after TURNS turns, it is written anew. One writer at a time.
+    """
     spark = docs.sparkSession
-    now = docs.select(F.col(key).alias("key"), bm25.stamp_of(text))
-    if not exists(spark, f"{path}/members/_SUCCESS") or not bm25.is_fresh(spark.read.parquet(f"{path}/members"), now, "key"):
-        write(docs, key, text, path)
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), bm25.stamp_of(text))
+    if not _turns(spark, path):
+        write(d, "key", "text", path, size)
+        return read(spark, path)
+    index = read(spark, path)
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.stamp") == F.col("b.stamp"))
+    live = index.members.where("live")
+    new = d.alias("a").join(live.select("key", "stamp").alias("b"), same, "left_anti").select("a.key", "a.text")
+    gone = live.alias("a").join(d.select("key", "stamp").alias("b"), same, "left_anti").select("a.range", "a.place")
+    n_gone = gone.count()
+    if not n_gone and new.isEmpty():
+        return index
+    if index.turns >= TURNS or index.gone + n_gone > index.n - n_gone:
+        write(d, "key", "text", path, size)
+    else:
+        _write_turn(new, path, size, index.turns, index.ranges, index, gone if n_gone else None)
     return read(spark, path)
 
 
@@ -151,10 +207,10 @@ def _stored(df: DataFrame) -> DataFrame:
 def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
     """Rows (query, range, place, score, opened, blocks) that hold the k best documents of each query; see best."""
     w = _stored(weighted(index, terms))
-    n, members, done = w.count(), index.members.withColumn("wanted", F.lit(True)), None
+    n, members, done = w.count(), index.members.withColumn("wanted", F.col("live")), None
     if scope is not None:
         inside = scope.select("key").distinct().withColumn("_in", F.lit(True))
-        members = index.members.join(inside, "key", "left").withColumn("wanted", F.coalesce("_in", F.lit(False)))
+        members = index.members.join(inside, "key", "left").withColumn("wanted", F.col("live") & F.coalesce("_in", F.lit(False)))
     turns = -(-n // TERMS)
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)

@@ -120,6 +120,9 @@ _SIZE = r"case when {0} < 1024 then regexp_replace(printf('%.2f', floor({0} / 10
 ORACLE: dict[str, str] = {
     "bm25_tokens": f"select doc_id, len(t) n_tokens, len(list_distinct(t)) n_terms, md5(array_to_string(t, ' ')) digest from (select doc_id, {_TOKENS} t from documents)",
     "bm25_term_freq": f"select term, sum(tf)::bigint tf, count(*) df, max(tf) most from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TOKENS}) term from documents) group by all) group by term",
+    "lexical_growth": f"""select term, sum(tf)::bigint tf, count(*) df, max(tf) most, any_value(turns) turns, any_value(n) n, any_value(avgdl) avgdl
+        from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TOKENS}) term from documents) group by all),
+            (select 3::bigint turns, count(*) n, round(avg(len({_TOKENS})), 6) avgdl from documents) group by term""",
     "bm25_doc_stats": f"select count(*) n, round(avg(len({_TOKENS})), 6) avgdl from documents",
     "bm25_score": f"with {_bm25(_BENCH)[:-1]} select query, round_file, round(score, 6) score from scores",
     "bm25_score_unstored": f"with {_bm25(_BENCH)[:-1]} select query, round_file, round(score, 6) score from scores",

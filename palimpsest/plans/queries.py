@@ -88,6 +88,20 @@ def bm25_score_unstored(s, d):
     return x.select("query", "round_file", r6("score").alias("score"))
 
 
+@query
+def lexical_growth(s, d):
+    """What the blocks say of each term after three turns: documents in an older wording and some since deleted, then the missing ones as well, then all as they are."""
+    docs, path = C.documents(s, d).select("round_file", "text", "doc_id"), scratch_path(s, "blocks")
+    older = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("an older wording "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    before = docs.withColumn("text", older).unionByName(docs.where("doc_id % 11 = 0").withColumn("round_file", F.concat(F.lit("deleted-"), "round_file")))
+    for turn in (before.where("doc_id % 7 <> 0"), before, docs):
+        index = blockmax.stored(turn, "round_file", "text", path)
+    posting = index.blocks.select("range", "term", F.explode(F.arrays_zip("places", "tf")).alias("p")).select("range", "term", F.col("p.places").alias("place"), F.col("p.tf").alias("tf"))
+    said = posting.join(index.members.where("live").select("range", "place"), ["range", "place"]).groupBy("term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("most"))
+    counts = F.lit(index.turns).cast("long").alias("turns"), F.lit(index.n).cast("long").alias("n"), F.round(F.lit(index.avgdl), 6).alias("avgdl")
+    return index.terms.join(said, "term").select("term", "tf", "df", long("most").alias("most"), *counts)
+
+
 @query
 def lexical_freshness(s, d):
     """A stored index is read while it has exactly the documents of the store; with one more or one less it is written anew."""

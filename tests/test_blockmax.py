@@ -121,6 +121,90 @@ def test_blocks_are_written_anew_for_other_texts(spark, tmp_path):
     assert [tuple(r) for r in index.terms.collect()] == [("owl", 3)]
 
 
+def scored(spark, docs, terms):
+    d = spark.createDataFrame(docs, "k string, t string")
+    out = {}
+    for r in bm25.score_index(bm25.postings(d, "k", "t"), bm25.doc_lengths(d, "k", "t"), terms, "k", "query").collect():
+        out.setdefault(r.query, {})[r.k] = r.score
+    return out
+
+
+def agrees(spark, index, docs, terms, k=3):
+    whole, got = scored(spark, docs, terms), {}
+    for r in blockmax.best(index, terms, k).collect():
+        got.setdefault(r.query, {})[r.key] = r.score
+    assert set(got) == set(whole) and index.n == len(docs)
+    for query, scores in whole.items():
+        same(got[query], scores, k)
+
+
+def test_an_index_grows_by_turns(spark, tmp_path):
+    """New, edited, deleted and returning documents: each turn's answers are those of an index made anew."""
+    docs, queries = corpus(500, 3)
+    terms = bm25.query_terms(spark.createDataFrame(queries, "query string, text string"), "query", "text")
+    path = f"file://{tmp_path}/i"
+    text = dict(docs)
+    store = lambda: blockmax.stored(spark.createDataFrame(sorted(text.items()), "k string, t string"), "k", "t", path, 64)
+    index = store()
+    agrees(spark, index, text.items(), terms)
+    steps = [
+        lambda: text.update({f"n{i}": docs[i][1] + " w7x w399x" for i in range(30)}),
+        lambda: [text.pop(f"d{i:04}") for i in range(0, 120, 3)],
+        lambda: text.update({f"d{i:04}": f"w{i}x w1x" for i in range(200, 290)} | {"d0001": None, "d0002": ""}),
+        lambda: text.update({f"d{i:04}": docs[i][1] for i in range(0, 120, 3)}),
+    ]
+    for turn, step in enumerate(steps, 2):
+        step()
+        index = store()
+        assert index.turns == turn
+        agrees(spark, index, text.items(), terms)
+    assert index.gone == 40 + 92 and store().turns == 5
+    scope = spark.createDataFrame([("d0003",), ("d0200",)], "key string")
+    assert {r.key for r in blockmax.best(index, terms, 3, scope).collect()} <= {"d0003", "d0200"}
+    df = {r.term: r.df for r in index.terms.collect()}
+    assert df == {r.term: r.df for r in bm25.postings(spark.createDataFrame(sorted(text.items()), "k string, t string"), "k", "t").groupBy("term").agg(F.count("*").alias("df")).collect()}
+
+
+def test_a_turn_writes_what_has_changed(spark, tmp_path):
+    docs, _ = corpus(4000, 4)
+    path = f"file://{tmp_path}/i"
+    blockmax.stored(spark.createDataFrame(docs, "k string, t string"), "k", "t", path)
+    more = [(f"n{i}", docs[i][1]) for i in range(40)]
+    index = blockmax.stored(spark.createDataFrame(docs + more, "k string, t string"), "k", "t", path)
+    posted = lambda turn: spark.read.parquet(f"{path}/blocks/turn={turn}").agg(F.sum(F.size("places"))).first()[0]
+    assert index.turns == 2 and 0 < posted(1) <= 0.02 * posted(0)
+    assert spark.read.parquet(f"{path}/members/turn=1").count() == 40
+
+
+def test_half_a_turn_does_not_count(spark, tmp_path):
+    """A turn that ended before its members were written, with other documents gone than in the next attempt."""
+    path, schema = f"file://{tmp_path}/i", "k string, t string"
+    first = [(f"k{i}", f"cat w{i}") for i in range(8)]
+    blockmax.stored(spark.createDataFrame(first, schema), "k", "t", path)
+    blockmax.stored(spark.createDataFrame(first[1:] + [("new", "cat owl")], schema), "k", "t", path)
+    (tmp_path / "i/members/turn=1/_SUCCESS").unlink()
+    assert blockmax.read(spark, path).n == 8
+    terms = bm25.query_terms(spark.createDataFrame([("q", "cat owl w0")], "query string, text string"), "query", "text")
+    docs = first + [("other", "owl")]
+    index = blockmax.stored(spark.createDataFrame(docs, schema), "k", "t", path)
+    assert (index.turns, index.gone) == (2, 0)
+    agrees(spark, index, docs, terms, 20)
+
+
+def test_written_anew_when_most_is_gone_or_after_many_turns(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/i", "k string, t string"
+    docs = [(None, "cat")] + [(f"k{i}", "cat") for i in range(9)]
+    store = lambda rows: blockmax.stored(spark.createDataFrame(rows, schema), "k", "t", path)
+    assert store(docs).turns == 1 and store(docs).turns == 1  # a null key is a key
+    index = store(docs[:6])
+    assert (index.turns, index.gone, index.n) == (2, 4, 6)
+    index = store(docs[:4])
+    assert (index.turns, index.gone, index.n) == (1, 0, 4)
+    assert store([]).n == 0 and store(docs).turns == 2
+    monkeypatch.setattr(blockmax, "TURNS", 2)
+    assert [store(docs + [("x", str(i))]).turns for i in range(3)] == [1, 2, 1]
+
+
 def test_an_edited_text_is_not_fresh(spark, tmp_path):
     docs = spark.createDataFrame([("a", "cat"), ("b", None)], "round_file string, text string")
     bm25.write_index(docs, "round_file", "text", f"file://{tmp_path}/i")
