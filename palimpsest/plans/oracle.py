@@ -133,6 +133,18 @@ ORACLE: dict[str, str] = {
     "text_match_scoped": f"with {_bm25(_BENCH)} scoped as (select s.* from scores s join docs d using (round_file) where d.lang = 'de'),{_normalized('scoped')} x as (select query, round_file, round(normalized, 6) score from norm) {_top('x', 5, 'score >= 0.25')}",
     "golden_token_counts": f"select doc_id, len(t) n_tokens, md5(array_to_string(t, ' ')) digest from (select doc_id, {_SPLIT_GOLD} t from documents)",
     "lexical_overlap": f"with {_LEX} select query, round_file, score, rank from lex",
+    "topic_grouping": f"""with recursive {_VEC[:-1]},
+        turns as (select label session, vec_id pos, vector v, row_number() over (partition by label order by vec_id) n from v),
+        walk as (
+            select session, pos, n, [v] topics, [1] sizes, 0 topic from turns where n = 1
+            union all
+            select session, pos, n, case when topic < len(topics) then list_transform(topics, lambda c, i: case when i = topic + 1 then list_transform(c, lambda x, j: x + (v[j] - x) / (sizes[i] + 1)) else c end)
+                else list_append(topics, v) end,
+                case when topic < len(topics) then list_transform(sizes, lambda c, i: case when i = topic + 1 then c + 1 else c end) else list_append(sizes, 1) end, topic
+            from (select *, case when list_max(near) >= 0.3 then list_position(near, list_max(near)) - 1 else len(topics)::int end::int topic
+                from (select w.session, t.pos, t.n, t.v, w.topics, w.sizes, list_transform(w.topics, lambda c: list_dot_product(c, t.v)) near
+                    from walk w join turns t on t.session = w.session and t.n = w.n + 1)))
+        select session, pos, topic from walk""",
     "vector_normalize": """select vec_id, round(sqrt(list_dot_product(v, v)), 6) norm, round(v[1], 6) as first from (
         select vec_id, list_transform(w, lambda x: case when m = 0 then x else x / m end) v from (select vec_id, w, sqrt(list_dot_product(w, w)) m from (select vec_id, list_transform(embedding::double[], lambda x: x * label) w from embeddings)))""",
     "vector_topk": f"{_TOPK} select query, vec_id, score, rank from topk",

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -103,6 +105,57 @@ def test_topics():
     assert t.assign([1.0, 0.0], forced=9) == 0
 
 
+def one_topic_at_a_time(rounds, threshold=0.77):
+    """(session, pos, topic) by the definition: lists of centroids, one product after the other."""
+    out, state = [], {}
+    for session, pos, vector, forced in sorted(rounds, key=lambda r: (str(r[0]), r[1])):
+        topics = state.setdefault(session, [])
+        at = forced if forced is not None and 0 <= forced < len(topics) else None
+        if at is None and vector is not None:
+            near = [(sum(a * b for a, b in zip(c, vector)) if len(c) == len(vector) else -1.0, -i) for i, (c, _) in enumerate(topics)]
+            best = max([x for x in near if x[0] >= threshold], default=None)
+            at = -best[1] if best else None
+        if at is None:
+            topics.append((list(vector or []), 1))
+            at = len(topics) - 1
+        else:
+            c, n = topics[at]
+            topics[at] = ([x + (y - x) / (n + 1) for x, y in zip(c, vector)] if len(vector or []) == len(c) else c, n + 1)
+        out.append((session, pos, at))
+    return sorted(out, key=str)
+
+
+def test_topics_as_rounds_pass_by(spark):
+    """Sessions that end within batches and batches that end within sessions, odd rounds among them."""
+    r = random.Random(5)
+    angle = lambda: r.choice([0.1, 1.2, 2.3, 4.0]) + r.gauss(0, 0.2)
+    rounds = []
+    for session in ["a", "b", "long", None, ""]:
+        for pos in range(400 if session == "long" else 23):
+            x = angle()
+            vector = r.choice([[math.cos(x), math.sin(x)]] * 8 + [None, [], [0.0, 0.0], [1.0, 0.0, 0.0]])
+            rounds.append((session, pos, vector, r.choice([None] * 6 + [0, 2, 99, -1])))
+    df = spark.createDataFrame(r.sample(rounds, len(rounds)), "session string, pos int, vector array<double>, forced int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, grouping.topics(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == one_topic_at_a_time(rounds)
+    assert grouping.topics(df.limit(0)).count() == 0
+
+
+def test_topics_of_one_session_of_many_rounds(spark):
+    """No frame or cell holds the session: its rounds come in batches, sorted before."""
+    x = F.pmod(F.col("id"), F.lit(3))
+    rounds = spark.range(300_000).select(F.lit("s").alias("session"), F.col("id").alias("pos"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: (x == i).cast("double")).alias("vector"), F.lit(None).cast("int").alias("forced"))
+    df = grouping.topics(rounds)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan
+    assert {tuple(r) for r in df.groupBy("topic", (F.col("pos") % 3).alias("kind")).count().collect()} == {(i, i, 100_000) for i in range(3)}
+
+
 def test_golden_selection_and_interleave(spark):
     got = golden.select_golden([(f"q{i}", ("miss", "hard", "control")[i % 3]) for i in range(30)], 10, 1)
     assert len(got) == len(set(got)) == 10
