@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def walk_chain(targets: DataFrame, rounds: DataFrame, max_depth: int | None = No
     round that it has already, or at max_depth links (None or 0: no such limit).
     A round is stored once, so it has one parent.
     """
-    return _walk_some(targets, rounds, max_depth) if max_depth else _walk_to_root(targets, rounds)
+    return _walk_some(targets, rounds, max_depth) if max_depth else _walk_trees(targets, rounds)
 
 
 def _walk_some(targets: DataFrame, rounds: DataFrame, max_depth: int) -> DataFrame:
@@ -38,6 +41,74 @@ def _walk_some(targets: DataFrame, rounds: DataFrame, max_depth: int) -> DataFra
         select target, depth, round_file, missing from walk""")
 
 
+PAIRS, BUCKET = 500_000, 20_000  # links that a group gives at most, where a tree can be split by its targets; rounds of a group
+
+
+def _links(rounds: pa.Table) -> pa.Table:
+    """The chains of the wanted rounds of whole trees (round_file, up, gone, wanted)."""
+    names = rounds.column("round_file").combine_chunks()
+    number = {r: i for i, r in enumerate(names.to_pylist())}
+    up = np.array([number.get(p, -1) for p in rounds.column("up").to_pylist()], np.int64)
+    gone = rounds.column("gone").to_numpy()
+    own = np.flatnonzero(rounds.column("wanted").to_numpy())
+    at, depth, out = own, 0, []
+    while len(own):
+        out.append((own, np.full(len(own), depth), at, np.zeros(len(own), bool)))
+        lost = gone[at]
+        if lost.any():
+            out.append((own[lost], np.full(lost.sum(), depth + 1), at[lost], np.ones(lost.sum(), bool)))
+        on = up[at] >= 0
+        own, at, depth = own[on], up[at[on]], depth + 1
+    own, depths, at, missing = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    found = names.take(pa.array(at, pa.int64()))
+    if missing.any():  # the parent that isn't stored
+        found = pc.if_else(pa.array(missing), rounds.column("up").combine_chunks().take(pa.array(at)), found)
+    return pa.table({"target": names.take(pa.array(own, pa.int64())), "depth": pa.array(depths, pa.int32()), "round_file": found, "missing": pa.array(missing.astype(bool))})
+
+
+def _walk_trees(targets: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Rounds find the root of their tree in steps that double; then a tree's rounds come together, and links are made in place.
+
+    So what moves are rounds, log2 of the longest chain times and once more, and
+    never links. A tree with very many links is split by its targets, each part with
+    all its rounds. Targets whose parents run in a circle, which have no root after
+    log2 n steps, and rounds that are stored with several parents, are walked by joins.
+    """
+    known = rounds.select(F.col("round_file").alias("_known")).distinct()
+    own = rounds.select("round_file", F.nullif("parentId", F.lit("")).alias("up")).distinct()
+    own = own.join(known, F.col("up") == F.col("_known"), "left").select("round_file", "up", (F.col("up").isNotNull() & F.col("_known").isNull()).alias("gone"))
+    at = _kept(own.select("round_file", F.when(F.col("up").isNull() | F.col("gone"), F.col("round_file")).otherwise(F.col("up")).alias("to"), F.when(F.col("up").isNull() | F.col("gone"), 0).otherwise(1).cast("long").alias("depth"), (F.col("up").isNull() | F.col("gone")).alias("ended")))
+    n, distinct, going = at[0].agg(F.count(F.lit(1)), F.count_distinct("round_file"), F.count_if(~F.col("ended"))).first()
+    if n != distinct:
+        _drop(at)
+        return _walk_to_root(targets, rounds)
+    steps = 0
+    while going and 1 << steps <= 2 * n:
+        far = at[0].select(F.col("round_file").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_d"), F.col("ended").alias("_e"))
+        further = at[0].where("not ended").join(far, "to").select("round_file", F.col("_to").alias("to"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_e").alias("ended"))
+        more = _kept(further.unionByName(at[0].where("ended")))
+        _drop(at)
+        at, steps, going = more, steps + 1, more[0].where("not ended").count()
+    asked = targets.select("target").distinct()
+    x = at[0].where("ended").select("round_file", F.col("to").alias("root"), "depth").join(own, "round_file").join(asked.withColumn("wanted", F.lit(True)), F.col("round_file") == F.col("target"), "left")
+    x = _kept(x.select("root", "round_file", "up", "gone", "depth", F.coalesce("wanted", F.lit(False)).alias("wanted")))
+    sizes = x[0].groupBy("root").agg(F.sum(F.when(F.col("wanted"), F.col("depth") + 1).otherwise(0)).alias("_links")).where("_links > 0")
+    sizes = sizes.select("root", F.greatest(F.lit(1), F.ceil(F.col("_links") / PAIRS)).cast("int").alias("_parts"))
+    dealt = x[0].join(sizes, "root").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    mine = F.col("wanted") & (F.pmod(F.xxhash64("round_file"), F.col("_parts")) == F.col("_part"))
+    bucket = F.when(F.col("_parts") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, n // BUCKET))))
+    dealt = dealt.select(bucket.alias("_bucket"), "_part", "round_file", "up", "gone", mine.alias("wanted"))
+    name = rounds.schema["round_file"].dataType.simpleString()
+    links = dealt.groupBy("_bucket", "_part").applyInArrow(_links, f"target {name}, depth int, round_file {name}, missing boolean")
+    lost = asked.join(known, F.col("target") == F.col("_known"), "left_anti")
+    out = links.unionByName(lost.select("target", F.lit(0).alias("depth"), F.col("target").alias("round_file"), F.lit(True).alias("missing")))
+    if going:
+        round_trips = asked.join(at[0].where("not ended"), F.col("target") == F.col("round_file"), "left_semi")
+        return out.unionByName(_walk_to_root(round_trips, rounds))
+    _drop(at)
+    return out
+
+
 def _walk_to_root(targets: DataFrame, rounds: DataFrame) -> DataFrame:
     """Steps that double: the links known so far, and from each of them the ancestor as many links further up.
 
