@@ -20,17 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from palimpsest.functions.words import blocks_of, invert, whole_scores
 from palimpsest.operators import bm25
 from palimpsest.sources.scratch import delete, exists, scratch_path
 
 RANGE = 1024  # documents of a range, about
 FIRST = 8  # one of so many ranges goes first, where there are so many
 TIES = 1e-5  # share of a floor down to which documents are kept: equal scores differ in their last digits
+QUERIES = 2048  # queries that get the scores of a range together
+LONG = 64  # terms of a query from which a range adds up all its blocks at once: skipping them costs more
 TERMS = 200_000  # terms of queries that go to the ranges together; more queries go in several turns
+_BLOCKS = "range long, term string, places array<int>, tf array<int>"
 TURNS = 64  # turns of growth after which the index is written anew, as small turns leave small ranges
 
 
@@ -57,38 +63,67 @@ def write(docs: DataFrame, key: str, text: str, path: str, size: int = RANGE) ->
     _write_turn(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), path, size, 0, 0)
 
 
+def _packed(key: pa.DataType):
+    """Of the documents of one range (range, key, text, stamp): a row for each term with its places and counts, and one without a term that lists the documents by place."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        docs = docs.take(pc.sort_indices(docs.column("key")))
+        number, at, places, tf, lengths = invert(docs.column("text").to_pylist())
+        at, n, m = at.astype(np.int32), len(number), docs.num_rows
+        rows = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(at), values), pa.nulls(1, pa.list_(values.type))])
+        all_ = lambda values: pa.concat_arrays([pa.nulls(n, pa.list_(values.type)), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), values)])
+        keys, stamps = docs.column("key").combine_chunks().cast(key), docs.column("stamp").combine_chunks()
+        cols = {"range": pa.array([docs.column("range")[0].as_py()] * (n + 1), pa.int64()), "term": pa.array([*number, None], pa.string()), "places": rows(pa.array(places)), "tf": rows(pa.array(tf))}
+        return pa.table(cols | {"keys": all_(keys), "stamps": all_(stamps), "lengths": all_(pa.array(lengths, pa.int64()))})
+
+    return run
+
+
+def flags(rows: DataFrame, flag: Column) -> DataFrame:
+    """(range, flags): of each range what `flag` says of its documents, by place. For all members of the ranges: places have no gaps."""
+    by = rows.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("place", flag.alias("f")))).alias("_f"))
+    return by.select("range", F.transform("_f", lambda x: x["f"]).alias("flags"))
+
+
+def counts_of(blocks: DataFrame, flags: DataFrame) -> DataFrame:
+    """(term, tf, df, most) over the documents that are flagged: blocks meet the flags of their range, so no posting is a row."""
+    own = F.filter(F.arrays_zip("places", "tf"), lambda p: F.get("flags", p["places"]))
+    x = blocks.join(flags, "range").select("term", F.transform(own, lambda p: p["tf"]).alias("_t")).where(F.size("_t") > 0)
+    total = F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a + t)
+    return x.groupBy("term").agg(F.sum(total).alias("tf"), F.sum(F.size("_t")).alias("df"), F.max(F.array_max("_t")).alias("most"))
+
+
 def _write_turn(d: DataFrame, path: str, size: int, turn: int, start: int, index: BlockIndex | None = None, gone: DataFrame | None = None) -> None:
     """Adds documents (key, text) in ranges from `start` on, and takes the `gone` (range, place) of `index` out of the counts.
 
-    The texts are dealt to their ranges, the one shuffle: words are counted and
-    gathered to blocks where they are then. A common term is many blocks, each of one
-    range, so no row and no task holds a term's postings. The members come last: a
-    turn without them doesn't count, and the next attempt writes over it.
+    The texts are dealt to their ranges, the one shuffle: a task counts the words of
+    one range after the other, so its memory is that of a range, whatever it is dealt. A
+    common term is many blocks, each of one range, so no row and no task holds a
+    term's postings. The members come last: a turn without them doesn't count, and
+    the next attempt writes over it.
     """
     spark = d.sparkSession
     at = lambda name: f"{path}/{name}/turn={turn}"
     ranges = max(1, -(-d.count() // size))
-    d = d.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)) + F.lit(start))
-    place = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
-    placed = d.repartition("range").withColumn("place", place)  # what follows is clustered by range already
-    counted = bm25.tokens(placed, ["range", "place"], "text").groupBy("range", "place", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    one = counted.groupBy("range", "term").agg(F.collect_list(F.struct("place", "tf")).alias("p"))
-    one.select("range", "term", F.col("p.place").alias("places"), F.col("p.tf").alias("tf")).write.mode("overwrite").option("compression", "zstd").parquet(at("blocks"))
-    blocks = spark.read.parquet(at("blocks"))
+    placed = d.select((F.pmod(F.xxhash64("key"), F.lit(ranges)) + F.lit(start)).alias("range"), "key", "text", bm25.stamp_of("text"))
+    kind = d.schema["key"].dataType
+    packed = placed.groupBy("range").applyInArrow(_packed(to_arrow_type(kind)), f"{_BLOCKS}, keys array<{kind.simpleString()}>, stamps array<long>, lengths array<long>")
+    packed.write.mode("overwrite").option("compression", "zstd").parquet(at("blocks"))
+    both = spark.read.schema(packed.schema).parquet(at("blocks"))
+    blocks = both.where("term is not null")
     terms = blocks.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
-    lost = d.select("range", F.lit(0).alias("place")).limit(0)
+    lost = d.select(F.lit(0).cast("long").alias("range"), F.lit(0).alias("place")).limit(0)
     if gone is not None:
         gone.write.mode("overwrite").parquet(at("gone"))
         lost = spark.read.parquet(at("gone"))
-        said = index.blocks.join(lost.select("range").distinct(), "range", "left_semi").select("range", "term", F.explode("places").alias("place"))
-        less = said.join(lost, ["range", "place"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        here = index.members.join(lost.select("range").distinct(), "range", "left_semi").join(lost.withColumn("_lost", F.lit(True)), ["range", "place"], "left")
+        less = counts_of(index.blocks, flags(here, F.col("_lost").isNotNull())).select("term", (-F.col("df")).alias("df"))
         terms = terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     else:
         lost.write.mode("overwrite").parquet(at("gone"))
     terms.write.mode("overwrite").parquet(at("terms"))
-    said = blocks.select("range", F.explode(F.arrays_zip("places", "tf")).alias("p")).groupBy("range", F.col("p.places").alias("place")).agg(F.sum("p.tf").alias("dl"))
-    members = d.select("range", "key", bm25.stamp_of("text")).withColumn("place", place).join(said, ["range", "place"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    members.write.mode("overwrite").parquet(at("members"))
+    one = both.where("term is null").select("range", F.posexplode(F.arrays_zip("keys", "stamps", "lengths")).alias("place", "m"))
+    one.select("range", "place", F.col("m.keys").alias("key"), F.col("m.lengths").alias("dl"), F.col("m.stamps").alias("stamp")).write.mode("overwrite").parquet(at("members"))
 
 
 def _turns(spark: SparkSession, path: str) -> int:
@@ -101,7 +136,8 @@ def _turns(spark: SparkSession, path: str) -> int:
 
 def read(spark: SparkSession, path: str) -> BlockIndex:
     turns = _turns(spark, path)
-    blocks, members, terms, gone = (spark.read.parquet(f"{path}/{x}").where(F.col("turn") < turns).drop("turn") for x in ("blocks", "members", "terms", "gone"))
+    blocks = spark.read.schema(f"{_BLOCKS}, turn int").parquet(f"{path}/blocks").where((F.col("turn") < turns) & F.col("term").isNotNull()).drop("turn")
+    members, terms, gone = (spark.read.parquet(f"{path}/{x}").where(F.col("turn") < turns).drop("turn") for x in ("members", "terms", "gone"))
     members = members.join(gone.withColumn("_gone", F.lit(True)), ["range", "place"], "left").withColumn("live", F.col("_gone").isNull()).drop("_gone")
     terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if turns > 1 else terms
     n, avgdl, ranges, dead = members.agg(F.count_if("live"), F.avg(F.when(F.col("live"), F.col("dl"))), F.max("range"), F.count_if(~F.col("live"))).first()
@@ -163,6 +199,14 @@ def best_of_range(blocks: dict[str, tuple[np.ndarray, np.ndarray, float]], wante
     return found, score[found], opened
 
 
+def opened(blocks: pa.Table, length: np.ndarray, avgdl: float) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each term, at, places, gains) of the blocks of a range, `length` being its documents' by place."""
+    listed = blocks.column("places").combine_chunks()
+    p, tf = listed.flatten().to_numpy(), blocks.column("tf").combine_chunks().flatten().to_numpy()
+    gains = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length[p] / avgdl))
+    return {t: i for i, t in enumerate(blocks.column("term").to_pylist())}, np.r_[0, np.cumsum(listed.value_lengths().to_numpy())], p, gains
+
+
 _HITS = "query string, range long, place int, score double, opened int, blocks int"
 
 
@@ -170,19 +214,24 @@ def _answer(queries: dict[str, list[tuple[str, float]]], floors: dict[str, float
     def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if blocks.num_rows and members.num_rows:
-            own, o = {}, members.column("place").to_numpy().argsort()
+            o = members.column("place").to_numpy().argsort()
             length, wanted = members.column("dl").to_numpy()[o], members.column("wanted").to_numpy()[o]
-            places = blocks.column("places").combine_chunks()
-            p, tf = places.flatten().to_numpy(), blocks.column("tf").combine_chunks().flatten().to_numpy()
-            at = np.r_[0, np.cumsum(places.value_lengths().to_numpy())]
-            gains = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length[p] / avgdl))
+            number, at, p, gains = opened(blocks, length, avgdl)
             most = np.maximum.reduceat(gains, at[:-1])
-            for i, term in enumerate(blocks.column("term").to_pylist()):
-                own[term] = (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i]))
+            own = {t: (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i])) for t, i in number.items()}
             here = blocks.column("range")[0].as_py()
             for query, terms in queries.items():
-                found, score, opened = best_of_range(own, wanted, terms, floors.get(query, 0.0), k)
-                out += [(query, here, int(x), float(s), opened, len(terms)) for x, s in zip(found, score)]
+                floor = floors.get(query, 0.0)
+                if len(terms) <= LONG:
+                    found, score, n = best_of_range(own, wanted, terms, floor, k)
+                else:
+                    mine, idf = blocks_of(number, terms)
+                    score, n = whole_scores(at, p, gains, len(wanted), mine, idf), len(mine)
+                    found = np.flatnonzero(wanted & (score > 0) & (score >= floor))
+                    if len(found) > k:
+                        found = found[score[found] >= np.partition(score[found], -k)[-k] * (1 - TIES)]
+                    score = score[found]
+                out += [(query, here, int(x), float(s), n, len(terms)) for x, s in zip(found, score)]
         names = [x.split(" ")[0] for x in _HITS.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
         cols = list(zip(*out)) if out else [[]] * len(names)
@@ -234,6 +283,46 @@ def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None =
     return done if done is not None else index.blocks.sparkSession.createDataFrame([], _HITS)
 
 
+def _all_scores(queries: dict[str, list[tuple[str, float]]], avgdl: float, key: pa.DataType):
+    names = pa.array(list(queries), pa.string())
+
+    def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
+        out = [pa.table({"query": names[:0], "key": pa.array([], key), "score": pa.array([], pa.float64())})]
+        if blocks.num_rows and members.num_rows:
+            members = members.take(pc.sort_indices(members.column("place")))
+            number, at, p, gains = opened(blocks, members.column("dl").to_numpy(), avgdl)
+            live, keys = members.column("live").to_numpy(), members.column("key").combine_chunks().cast(key)
+            for i, terms in enumerate(queries.values()):
+                score = whole_scores(at, p, gains, members.num_rows, *blocks_of(number, terms))
+                found = np.flatnonzero(live & (score > 0))
+                out.append(pa.table({"query": names.take(pa.array(np.full(len(found), i))), "key": keys.take(pa.array(found)), "score": pa.array(score[found])}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def scores(index: BlockIndex, terms: DataFrame) -> DataFrame:
+    """(query, key, score) of all documents that have a term of a query: each range gives its own, so pairs never move.
+
+    The words of the queries go to every task, in turns of a bounded number of words
+    and queries.
+    """
+    w = _stored(weighted(index, terms))
+    n, of = w.agg(F.count(F.lit(1)), F.count_distinct("query")).first()
+    turns, out = max(1, -(-n // TERMS), -(-of // QUERIES)), None
+    kind = index.members.schema["key"].dataType
+    members = index.members.select("range", "place", "key", "dl", "live")
+    for turn in range(turns):
+        mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
+        queries: dict[str, list[tuple[str, float]]] = {}
+        for r in mine.collect():
+            queries.setdefault(r.query, []).append((r.term, r.idf))
+        asked = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        part = asked.groupBy("range").cogroup(members.groupBy("range")).applyInArrow(_all_scores(queries, index.avgdl, to_arrow_type(kind)), f"query string, key {kind.simpleString()}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def best(index: BlockIndex, terms: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """(query, key, score): of each query the k best documents, and all that tie with the last of them.
 

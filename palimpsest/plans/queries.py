@@ -96,8 +96,7 @@ def lexical_growth(s, d):
     before = docs.withColumn("text", older).unionByName(docs.where("doc_id % 11 = 0").withColumn("round_file", F.concat(F.lit("deleted-"), "round_file")))
     for turn in (before.where("doc_id % 7 <> 0"), before, docs):
         index = blockmax.stored(turn, "round_file", "text", path)
-    posting = index.blocks.select("range", "term", F.explode(F.arrays_zip("places", "tf")).alias("p")).select("range", "term", F.col("p.places").alias("place"), F.col("p.tf").alias("tf"))
-    said = posting.join(index.members.where("live").select("range", "place"), ["range", "place"]).groupBy("term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("most"))
+    said = blockmax.counts_of(index.blocks, blockmax.flags(index.members, F.col("live"))).select("term", "tf", "most")
     counts = F.lit(index.turns).cast("long").alias("turns"), F.lit(index.n).cast("long").alias("n"), F.round(F.lit(index.avgdl), 6).alias("avgdl")
     return index.terms.join(said, "term").select("term", "tf", "df", long("most").alias("most"), *counts)
 
