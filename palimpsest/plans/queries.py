@@ -56,17 +56,13 @@ def bm25_doc_stats(s, d):
     return bm25.corpus_stats(bm25.doc_lengths(C.documents(s, d), "doc_id", "text")).select("n", r6("avgdl").alias("avgdl"))
 
 
-_indexes: dict[tuple[str, str], str] = {}
-
-
-def _lexical(s, d, queries: DataFrame) -> DataFrame:
-    """Scores over the session's stored index of the documents, which the first search writes; queries (query, text)."""
-    path = _indexes.setdefault((s.sparkContext.applicationId, d), scratch_path(s, "lexical"))
-    index = bm25.stored_index(C.documents(s, d), "round_file", "text", path)
-    return bm25.score_index(*index, bm25.query_terms(queries, "query", "text"), "round_file", "query")
+_blocks: dict[tuple[str, str], str] = {}
 
 
-_blocks: dict[tuple[str, str], str] = {}
+def _block_index(s, d) -> blockmax.BlockIndex:
+    """The session's stored blocks of the documents, which the first search writes."""
+    path = _blocks.setdefault((s.sparkContext.applicationId, d), scratch_path(s, "blocks"))
+    return blockmax.stored(C.documents(s, d), "round_file", "text", path)
 
 
 def _best_hits(s, d, scope: DataFrame | None = None) -> DataFrame:
@@ -78,7 +74,8 @@ def _best_hits(s, d, scope: DataFrame | None = None) -> DataFrame:
 
 
 def _scores(s, d):
-    return _lexical(s, d, C.text_queries(s, d))
+    x = blockmax.scores(_block_index(s, d), bm25.query_terms(C.text_queries(s, d), "query", "text"))
+    return x.withColumnRenamed("key", "round_file")
 
 
 @query
@@ -120,7 +117,8 @@ def bm25_score(s, d):
 
 @query
 def bm25_normalized(s, d):
-    return bm25.normalize(_scores(s, d), "query").select("query", "round_file", r6("normalized").alias("normalized"))
+    scales = bm25.scale(_best_hits(s, d), "query")
+    return bm25.normalize(_scores(s, d), "query", F.broadcast(scales)).select("query", "round_file", r6("normalized").alias("normalized"))
 
 
 @query
