@@ -12,7 +12,7 @@ from palimpsest.functions import text as X
 from palimpsest.functions.envelope import extract_envelope
 from palimpsest.functions.noise import prompt_input
 from palimpsest.functions.vectors import dot, normalize
-from palimpsest.operators import blockmax, bm25, chain, details, evaluate, golden, grouping, maintain, memory, search, sessions, toolsearch
+from palimpsest.operators import blockmax, bm25, chain, details, evaluate, golden, grouping, maintain, memory, nearest, search, sessions, toolsearch
 from palimpsest.plans import catalog as C
 from palimpsest.plans import parts
 from palimpsest.sources import embed, shards
@@ -181,7 +181,7 @@ def _model_queries(s, d):
 
 @query
 def multi_model_search(s, d):
-    x = search.similarity(C.vectors(s, d), _model_queries(s, d), "base")
+    x = search.best_per_round(nearest.nearest(C.vectors(s, d), _model_queries(s, d), 5, "base"))
     return search.top(x.select("query", "round_file", r6("score").alias("score")), 5, 0.25)
 
 
