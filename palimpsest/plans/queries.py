@@ -162,8 +162,8 @@ def vector_normalize(s, d):
 
 @query
 def vector_topk(s, d):
-    rows = search.semantic_rows(C.vectors(s, d).select("vec_id", "vector", F.lit(None).alias("model")), C.vector_queries(s, d))
-    x = rows.select("query", F.col("vec_id").alias("round_file"), r6("semantic").alias("score"))
+    rows = nearest.nearest(C.vectors(s, d).select(F.col("vec_id").alias("round_file"), "vector"), C.vector_queries(s, d), 12)
+    x = search.best_per_round(rows).select("query", "round_file", r6("score").alias("score"))
     return search.top(x, 12).select("query", F.col("round_file").alias("vec_id"), "score", "rank")
 
 
