@@ -169,7 +169,7 @@ def vector_topk(s, d):
 
 @query
 def vector_best_per_round(s, d):
-    x = search.similarity(C.vectors(s, d), C.vector_queries(s, d))
+    x = nearest.every(C.vectors(s, d), C.vector_queries(s, d))
     return x.select("query", "round_file", r6("score").alias("score"))
 
 
