@@ -201,9 +201,9 @@ def hybrid_search(s, d):
 
 @query
 def hybrid_no_lexical(s, d):
-    """Without a lexical hit the semantic score counts alone, even at alpha 0."""
-    none = s.createDataFrame([], "query string, round_file string, normalized double")
-    x = search.similarity(C.vectors(s, d), C.vector_queries(s, d), lexical=none, alpha=0.0)
+    """Without a lexical hit the semantic score counts alone, even at alpha 0: the rounds have no texts."""
+    none = blockmax.stored(s.createDataFrame([], "round_file string, text string"), "round_file", "text", scratch_path(s, "blocks"))
+    x = search.best_per_round(nearest.hybrid(none, C.vectors(s, d), C.vector_queries(s, d), none.terms.select(F.col("term").alias("query"), "term"), 5, 0.0))
     return search.top(x.select("query", "round_file", r6("score").alias("score")), 5)
 
 
