@@ -25,10 +25,12 @@ def search_tools(rows: DataFrame, queries: DataFrame, query: str = "query", text
     """(query, round_file, matched, total, score, tools): rounds with any keyword; score = matched distinct keywords / total.
 
     `tools` are the calls with a hit as (index, name) by index. The keyword table
-    meets each row by a `contains` condition; Spark broadcasts it while it is small.
+    meets each call by a `contains` condition; Spark broadcasts it while it is small. Calls
+    of a round that read alike are one before that, and hits are one before they are listed.
     """
-    hits = rows.join(keywords(queries, query, text), F.col("searchable").contains(F.col("keyword")))
+    calls = rows.select("round_file", "tool_index", "tool_name", "searchable").distinct()
+    hits = calls.join(keywords(queries, query, text), F.col("searchable").contains(F.col("keyword"))).select("query", "round_file", "total", "keyword", "tool_index", "tool_name").distinct()
     out = hits.groupBy("query", "round_file", "total").agg(
-        F.count_distinct("keyword").alias("matched"), F.array_sort(F.collect_set(F.struct(F.col("tool_index").alias("index"), F.col("tool_name").alias("name")))).alias("tools")
+        F.size(F.collect_set("keyword")).cast("long").alias("matched"), F.array_sort(F.collect_set(F.struct(F.col("tool_index").alias("index"), F.col("tool_name").alias("name")))).alias("tools")
     )
     return out.withColumn("score", F.col("matched") / F.col("total"))
