@@ -67,10 +67,8 @@ def _block_index(s, d) -> blockmax.BlockIndex:
 
 def _best_hits(s, d, scope: DataFrame | None = None) -> DataFrame:
     """The benchmark's texts and the ten best documents of each, with those that tie: what the top five and the scale need."""
-    path = _blocks.setdefault((s.sparkContext.applicationId, d), scratch_path(s, "blocks"))
-    index = blockmax.stored(C.documents(s, d), "round_file", "text", path)
     terms = bm25.query_terms(C.text_queries(s, d), "query", "text")
-    return blockmax.best(index, terms, scope=scope).withColumnRenamed("key", "round_file")
+    return blockmax.best(_block_index(s, d), terms, scope=scope).withColumnRenamed("key", "round_file")
 
 
 def _scores(s, d):
@@ -185,17 +183,17 @@ def multi_model_search(s, d):
     return search.top(x.select("query", "round_file", r6("score").alias("score")), 5, 0.25)
 
 
-def _hybrid(s, d, alpha: float = 0.7):
-    """Queries of the vector set with the text of the document of the same id; a document is the round of its number."""
+def _hybrid(s, d, k: int, alpha: float = 0.7):
+    """Rows with each query's k best rounds. Queries of the vector set with the text of the document of the same id; a document is the round of its number."""
     q = C.vector_queries(s, d)
     texts = q.join(C.documents(s, d).select(F.col("round_file").alias("query"), "text"), "query").select("query", "text")
-    lexical = bm25.normalize(_lexical(s, d, texts), "query")
-    return search.similarity(C.vectors(s, d), q, lexical=lexical, alpha=alpha)
+    rows = nearest.hybrid(_block_index(s, d), C.vectors(s, d), q, bm25.query_terms(texts, "query", "text"), k, alpha)
+    return search.best_per_round(rows)
 
 
 @query
 def hybrid_search(s, d):
-    x = _hybrid(s, d).select("query", "round_file", r6("score").alias("score"))
+    x = _hybrid(s, d, 5).select("query", "round_file", r6("score").alias("score"))
     return search.top(x, 5, 0.25)
 
 
@@ -219,7 +217,7 @@ def context_budget(s, d):
 @query
 def context_select(s, d):
     """The relevance list of each query: entries rendered with their rank, charged to a budget from the best score."""
-    ranked = search.top(_hybrid(s, d).withColumn("score", r6("score")), 20)
+    ranked = search.top(_hybrid(s, d, 20).withColumn("score", r6("score")), 20)
     texts = C.documents(s, d).select("round_file", "text")
     x = ranked.join(texts, "round_file", "left").withColumn("text", F.coalesce("text", F.lit("")))
     best = x.groupBy("query").agg(F.max("score").alias("best")).select("query", (search.context_budget(F.col("best"), window=30_000) / 4).alias("budget"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators import blockmax, bm25, evaluate, maintain, toolsearch
+from palimpsest.operators import blockmax, bm25, evaluate, maintain, nearest, toolsearch
 from palimpsest.operators import search as ranked_search
 from palimpsest.sources import embed
 from palimpsest.sources.embed import Embedder, hashing_embedder
@@ -46,10 +46,12 @@ class RetrievalStore:
         path = f"{self.index_path}/by_range" if self.index_path else scratch_path(self.spark, "blocks")
         return blockmax.stored(self.texts, "round_file", "text", path)
 
+    def _scope(self, p: ranked_search.SearchParams) -> DataFrame | None:
+        return ranked_search.in_scope(self.rounds.select("round_file"), p.rounds).withColumnRenamed("round_file", "key") if p.rounds else None
+
     def _text_match(self, queries: DataFrame, p: ranked_search.SearchParams) -> DataFrame:
         """(query, round_file, score, normalized) of each query's best rounds: as many as the scale and the limit need."""
-        scope = ranked_search.in_scope(self.rounds.select("round_file"), p.rounds).withColumnRenamed("round_file", "key") if p.rounds else None
-        found = blockmax.best(self.block_index, bm25.query_terms(queries, "query", "text"), max(10, p.limit), scope)
+        found = blockmax.best(self.block_index, bm25.query_terms(queries, "query", "text"), max(10, p.limit), self._scope(p))
         return bm25.normalize(found.withColumnRenamed("key", "round_file"), "query")
 
     def lexical(self, queries: DataFrame) -> DataFrame:
@@ -73,10 +75,13 @@ class RetrievalStore:
             return ranked_search.top(hits.join(self.rounds.select("round_file"), "round_file", "left_semi"), p.limit)
         if p.mode == "text-match":
             return ranked_search.top(self._text_match(queries, p).withColumn("score", F.col("normalized")).drop("normalized"), p.limit, p.threshold)
-        lexical = self.lexical(queries) if p.mode != "similarity" else None
-        if lexical is not None:
-            lexical = bm25.normalize(ranked_search.in_scope(lexical, p.rounds), "query")
-        scores = ranked_search.similarity(ranked_search.in_scope(self.vectors, p.rounds), self._query_vectors(queries), self.model, lexical, p.alpha, self.rounds)
+        vectors = ranked_search.in_scope(self.vectors, p.rounds).join(self.rounds.select("round_file"), "round_file", "left_semi")
+        if p.mode == "similarity":
+            rows = nearest.nearest(vectors, self._query_vectors(queries), p.limit, self.model)
+        else:
+            terms = bm25.query_terms(queries, "query", "text")
+            rows = nearest.hybrid(self.block_index, vectors, self._query_vectors(queries), terms, p.limit, p.alpha, self.model, self._scope(p))
+        scores = ranked_search.best_per_round(rows)
         return ranked_search.top(scores, p.limit, p.threshold)
 
     def search(self, query: str | None, **params) -> DataFrame:
