@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.functions.words import blocks_of, invert, whole_scores
+from palimpsest.functions.words import invert, whole_scores
 from palimpsest.operators import bm25
 from palimpsest.sources.scratch import delete, exists, scratch_path
 
@@ -35,7 +35,7 @@ FIRST = 8  # one of so many ranges goes first, where there are so many
 TIES = 1e-5  # share of a floor down to which documents are kept: equal scores differ in their last digits
 QUERIES = 2048  # queries that get the scores of a range together
 LONG = 64  # terms of a query from which a range adds up all its blocks at once: skipping them costs more
-TERMS = 200_000  # terms of queries that go to the ranges together; more queries go in several turns
+TERMS = 2_000_000  # terms of queries that go to the ranges together; more queries go in several turns
 _BLOCKS = "range long, term string, places array<int>, tf array<int>"
 TURNS = 64  # turns of growth after which the index is written anew, as small turns leave small ranges
 
@@ -177,6 +177,39 @@ def weighted(index: BlockIndex, terms: DataFrame) -> DataFrame:
     return index.terms.join(terms, "term").select("query", "term", idf.alias("idf"))
 
 
+@dataclass(frozen=True)
+class Asked:
+    """Queries as numbers of their terms, so that millions of them are small: query i has terms[at[i] : at[i + 1]] of the words, each with its idf."""
+
+    names: list[str]
+    at: np.ndarray
+    terms: np.ndarray
+    words: pa.Array
+    idf: np.ndarray
+
+    def places(self, words: pa.ChunkedArray) -> np.ndarray:
+        """Which of `words` each word is, -1 where it isn't there."""
+        out = np.full(len(self.words), -1)
+        found = pc.index_in(words.combine_chunks(), value_set=self.words)
+        out[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        return out
+
+    def blocks(self, i: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, idf) of the terms of query i that are there."""
+        mine = self.terms[self.at[i] : self.at[i + 1]]
+        own = places[mine]
+        return own[own >= 0], self.idf[mine[own >= 0]]
+
+
+def asked(weighted: DataFrame) -> Asked:
+    """The queries of weighted terms (query, term, idf), fetched as columns."""
+    t = weighted.select("query", "term", "idf").toArrow()
+    q, w = (t.column(c).combine_chunks().dictionary_encode() for c in ("query", "term"))
+    of, terms, idf = q.indices.to_numpy(), w.indices.to_numpy(), np.zeros(len(w.dictionary))
+    idf[terms] = t.column("idf").to_numpy()
+    return Asked(q.dictionary.to_pylist(), np.r_[0, np.cumsum(np.bincount(of, minlength=len(q.dictionary)))], terms[np.argsort(of, kind="stable")], w.dictionary, idf)
+
+
 def best_of_range(blocks: dict[str, tuple[np.ndarray, np.ndarray, float]], wanted: np.ndarray, terms: list[tuple[str, float]], floor: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(places, scores, blocks opened) of the k best of a range, and of those that tie with the last, none below the floor.
 
@@ -210,7 +243,10 @@ def opened(blocks: pa.Table, length: np.ndarray, avgdl: float) -> tuple[dict[str
 _HITS = "query string, range long, place int, score double, opened int, blocks int"
 
 
-def _answer(queries: dict[str, list[tuple[str, float]]], floors: dict[str, float], k: int, avgdl: float):
+def _answer(queries: Asked, floors: dict[str, float], k: int, avgdl: float):
+    sizes = np.diff(queries.at)
+    short = {i: [(queries.words[int(t)].as_py(), float(queries.idf[t])) for t in queries.terms[queries.at[i] : queries.at[i + 1]]] for i in np.flatnonzero(sizes <= LONG)}
+
     def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if blocks.num_rows and members.num_rows:
@@ -219,19 +255,19 @@ def _answer(queries: dict[str, list[tuple[str, float]]], floors: dict[str, float
             number, at, p, gains = opened(blocks, length, avgdl)
             most = np.maximum.reduceat(gains, at[:-1])
             own = {t: (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i])) for t, i in number.items()}
-            here = blocks.column("range")[0].as_py()
-            for query, terms in queries.items():
+            here, local = blocks.column("range")[0].as_py(), queries.places(blocks.column("term"))
+            for i, query in enumerate(queries.names):
                 floor = floors.get(query, 0.0)
-                if len(terms) <= LONG:
-                    found, score, n = best_of_range(own, wanted, terms, floor, k)
+                if i in short:
+                    found, score, n = best_of_range(own, wanted, short[i], floor, k)
                 else:
-                    mine, idf = blocks_of(number, terms)
+                    mine, idf = queries.blocks(i, local)
                     score, n = whole_scores(at, p, gains, len(wanted), mine, idf), len(mine)
                     found = np.flatnonzero(wanted & (score > 0) & (score >= floor))
                     if len(found) > k:
                         found = found[score[found] >= np.partition(score[found], -k)[-k] * (1 - TIES)]
                     score = score[found]
-                out += [(query, here, int(x), float(s), n, len(terms)) for x, s in zip(found, score)]
+                out += [(query, here, int(x), float(s), n, int(sizes[i])) for x, s in zip(found, score)]
         names = [x.split(" ")[0] for x in _HITS.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
         cols = list(zip(*out)) if out else [[]] * len(names)
@@ -263,14 +299,12 @@ def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None =
     turns = -(-n // TERMS)
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
-        queries: dict[str, list[tuple[str, float]]] = {}
-        for r in mine.collect():  # the texts of queries, TERMS of their words at a time
-            queries.setdefault(r.query, []).append((r.term, r.idf))
-        asked = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        queries = asked(mine)  # the texts of queries, TERMS of their words at a time
+        said = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
 
         def ask(which: Column, floors: dict[str, float]) -> DataFrame:
             own = members.where(which).select("range", "place", "dl", "wanted")
-            return _stored(asked.where(which).groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_answer(queries, floors, k, index.avgdl), _HITS))  # noqa: B023
+            return _stored(said.where(which).groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_answer(queries, floors, k, index.avgdl), _HITS))  # noqa: B023
 
         first = F.col("range") % FIRST == 0
         if index.ranges < FIRST:
@@ -283,17 +317,18 @@ def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None =
     return done if done is not None else index.blocks.sparkSession.createDataFrame([], _HITS)
 
 
-def _all_scores(queries: dict[str, list[tuple[str, float]]], avgdl: float, key: pa.DataType):
-    names = pa.array(list(queries), pa.string())
+def _all_scores(queries: Asked, avgdl: float, key: pa.DataType):
+    names = pa.array(queries.names, pa.string())
 
     def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
         out = [pa.table({"query": names[:0], "key": pa.array([], key), "score": pa.array([], pa.float64())})]
         if blocks.num_rows and members.num_rows:
             members = members.take(pc.sort_indices(members.column("place")))
-            number, at, p, gains = opened(blocks, members.column("dl").to_numpy(), avgdl)
+            _, at, p, gains = opened(blocks, members.column("dl").to_numpy(), avgdl)
+            local = queries.places(blocks.column("term"))
             live, keys = members.column("live").to_numpy(), members.column("key").combine_chunks().cast(key)
-            for i, terms in enumerate(queries.values()):
-                score = whole_scores(at, p, gains, members.num_rows, *blocks_of(number, terms))
+            for i in range(len(names)):
+                score = whole_scores(at, p, gains, members.num_rows, *queries.blocks(i, local))
                 found = np.flatnonzero(live & (score > 0))
                 out.append(pa.table({"query": names.take(pa.array(np.full(len(found), i))), "key": keys.take(pa.array(found)), "score": pa.array(score[found])}))
         return pa.concat_tables(out)
@@ -314,11 +349,9 @@ def scores(index: BlockIndex, terms: DataFrame) -> DataFrame:
     members = index.members.select("range", "place", "key", "dl", "live")
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
-        queries: dict[str, list[tuple[str, float]]] = {}
-        for r in mine.collect():
-            queries.setdefault(r.query, []).append((r.term, r.idf))
-        asked = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
-        part = asked.groupBy("range").cogroup(members.groupBy("range")).applyInArrow(_all_scores(queries, index.avgdl, to_arrow_type(kind)), f"query string, key {kind.simpleString()}, score double")
+        queries = asked(mine)
+        said = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        part = said.groupBy("range").cogroup(members.groupBy("range")).applyInArrow(_all_scores(queries, index.avgdl, to_arrow_type(kind)), f"query string, key {kind.simpleString()}, score double")
         out = part if out is None else out.unionByName(part)
     return out
 
