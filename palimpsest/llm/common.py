@@ -155,7 +155,7 @@ def pack(*cols: np.ndarray) -> bytes:
     for c in cols:
         c = np.ascontiguousarray(c)
         planes = c.view(np.uint8).reshape(n, c.dtype.itemsize).T if n else np.zeros((c.dtype.itemsize, 0), np.uint8)
-        kept = [i for i in range(len(planes)) if planes[i].any()]
+        kept = np.flatnonzero(np.bitwise_or.reduce(c.view(f"u{c.dtype.itemsize}"), keepdims=True).view(np.uint8)).tolist()
         out.append(np.array([ord(c.dtype.kind), c.dtype.itemsize, len(kept), *kept], np.uint8).tobytes())
         out += [planes[i].tobytes() for i in kept]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))

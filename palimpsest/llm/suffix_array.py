@@ -26,43 +26,65 @@ def _smaller_than_successor(t: np.ndarray) -> np.ndarray:
 
 
 def _sort_directly(pos: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """`pos` ordered by their suffixes' first `depth` bytes, eight at a time; only ties are sorted further."""
+    """`pos` ordered by their suffixes' first `depth` bytes, eight at a time; only ties are sorted further, pairs by one comparison."""
     n = len(word)
     at = lambda p, off: np.where(p + off < n, word[np.minimum(p + off, n - 1)], np.uint64(0))
     order = pos[np.argsort(word[pos])]
     key = word[order]
-    active, group = np.arange(len(order)), np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(order) else np.zeros(0, np.int64)
+    active, new = np.arange(len(order)), np.r_[True, key[1:] != key[:-1]][: len(order)]
     for off in range(8, depth, 8):
-        tied = np.zeros(len(group), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        active, group = active[tied], group[tied]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        active, new = active[tied], new[tied]
         if not len(active):
             break
         p = order[active]
         key = at(p, off)
-        o = np.argsort(key, kind="stable")
-        o = o[np.argsort(group[o], kind="stable")]
-        order[active] = p[o]
-        key = key[o]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.r_[begin, len(key)])
+        first = begin[size == 2]
+        swap = first[key[first] > key[first + 1]]
+        for x in (p, key):
+            x[swap], x[swap + 1] = x[swap + 1], x[swap]
+        many = np.repeat(size > 2, size)
+        if many.any():
+            group = np.repeat(np.arange((size > 2).sum()), size[size > 2])
+            k = key[many]
+            o = np.argsort(k)
+            for shift in range(0, int(group[-1]).bit_length(), 16):  # by group, least digits first: numbers of 16 bits are sorted in linear time
+                o = o[np.argsort((group[o] >> shift).astype(np.uint16), kind="stable")]
+            p[many], key[many] = p[many][o], k[o]
+        order[active] = p
+        new[1:] |= key[1:] != key[:-1]
     return order
 
 
-def two_stage(t: np.ndarray, depth: int) -> np.ndarray:
+def _next_small(small: np.ndarray) -> np.ndarray:
+    """The first suffix from each on that is smaller than its successor; the length where there is none."""
+    at = np.where(small, np.arange(len(small)), len(small))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def two_stage(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffix array of the bytes `t`, exact to the first `depth` bytes of the suffixes.
 
     Stage one sorts directly the suffixes smaller than their successors. Stage
     two scans the buckets of first bytes upwards: each suffix met puts the one
     before it, if that is larger than its successor, next into the bucket of its
-    first byte, so all others fall into place unsorted.
+    first byte, so all others fall into place unsorted. With `wanted` (flags) stage
+    one takes those alone that the wanted suffixes are or come from: the result has
+    all that are wanted and some others.
     """
     n = len(t)
     if n == 0:
         return np.zeros(0, np.int64)
     small = _smaller_than_successor(t)
-    direct = _sort_directly(np.flatnonzero(small), _words(t), depth)
+    chosen = small
+    if wanted is not None:
+        chosen = np.zeros(n + 1, bool)
+        chosen[_next_small(small)[wanted]] = True
+        chosen = chosen[:n]
+    direct = _sort_directly(np.flatnonzero(chosen), _words(t), depth)
     edges = np.searchsorted(t[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[n - 1]].append(np.array([n - 1]))  # from the empty suffix

@@ -10,8 +10,6 @@ stages, then adjacent common prefixes); equal pieces repeat as they are.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import batches, materialize, mix64, n_buckets, on_release, one_row_per_id, pack, ranges, release, trimmed, unpack
+from palimpsest.llm.common import batches, materialize, mix64, n_buckets, on_release, one_row_per_id, pack, ranges, release, sized_buckets, trimmed, unpack
 from palimpsest.llm.suffix_array import adjacent_equal, two_stage
 
 K = 28
 SLICE = 1 << 20  # longer texts are searched in slices that share LENGTH - 1 bytes
 FLUSH = 2_000_000  # pieces that a task holds before it sends them
-HOT = (512, 4096)  # different pieces of one K-gram, in a task and in all, beyond which strings go out one by one
+HOT = (2048, 32_768)  # different pieces of one K-gram, in a task and in all, beyond which strings go out one by one
+PER_BUCKET = 4 << 20  # stored bytes for each bucket of K-grams, at least as many as n_buckets gives
+PART = 1 << 22  # bytes of texts that are cut together
 
 
 @dataclass(frozen=True)
@@ -122,8 +122,15 @@ _FOUND = "kind int, doc_id long, start long, end long, gram long"
 COVERED, NEEDED, NEEDED_HOT, PIECES = 0, 1, 2, 3
 
 
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The stable order of bucket numbers, by their low and then their high 16 bits: those are sorted in linear time."""
+    bucket = bucket - bucket.min(initial=0)
+    o = np.argsort(bucket.astype(np.uint16), kind="stable")
+    return o[np.argsort((bucket[o] >> 16).astype(np.uint16), kind="stable")] if bucket.max(initial=0) >> 16 else o
+
+
 def _blob_rows(kind: int, bucket: np.ndarray, cols: list[np.ndarray], rows: list) -> None:
-    o = np.argsort(bucket, kind="stable")
+    o = _by_bucket(bucket)
     bucket, cols = bucket[o], [c[o] for c in cols]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
@@ -138,7 +145,13 @@ def _to_batch(rows: list) -> pa.RecordBatch:
 def _local(parts: list[tuple], buckets: int, hot_here: int):
     """A task's pieces: repeats within the task are settled here, the rest goes to the K-gram's bucket."""
     gram, piece, doc, start, end = (np.concatenate(c) for c in zip(*parts))
-    o = np.lexsort((start, doc, piece, gram))
+    o = np.argsort(gram)
+    g = gram[o]
+    twice = np.zeros(len(g), bool)
+    twice[1:] = g[1:] == g[:-1]
+    twice[:-1] |= twice[1:]
+    own = o[twice]  # most K-grams are met once: only the others have an order to settle
+    o[twice] = own[np.lexsort((start[own], doc[own], piece[own], gram[own]))]
     gram, piece, doc, start, end = gram[o], piece[o], doc[o], start[o], end[o]
     first = np.r_[True, (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])]
     rows: list = []
@@ -236,19 +249,22 @@ def _cut_pieces(length: int, buckets: int):
     """
 
     def run(it):
-        pieces: list[tuple] = []  # (bucket, doc, start, bytes)
+        pieces: list[tuple] = []  # columns (bucket, doc, start, size, bytes of all)
         first: dict[bytes, tuple] = {}  # string -> (doc, start, bucket)
         later: list[tuple] = []
         size = 0
 
         def flush():
-            rows = pieces + [(b, d, s, body) for body, (d, s, b) in first.items()]
-            rows.sort(key=itemgetter(0))
-            out = []
-            for bucket, group in groupby(rows, itemgetter(0)):
-                _, doc, start, body = zip(*group)
-                meta = pack(np.array(doc, np.int64), np.array(start, np.int64), np.array([len(x) for x in body], np.int64))
-                out.append((bucket, meta, pack(np.frombuffer(b"".join(body), np.uint8))))
+            if first:
+                d, s, b = np.array(list(first.values()), np.int64).T
+                pieces.append((b, d, s, np.full(len(b), length), np.frombuffer(b"".join(first), np.uint8)))
+            bucket, doc, start, n, data = (np.concatenate(c) for c in zip(*pieces))
+            o = _by_bucket(bucket)
+            data = data[ranges((np.cumsum(n) - n)[o], n[o])]
+            bucket, doc, start, n = bucket[o], doc[o], start[o], n[o]
+            ends = np.r_[0, np.cumsum(n)]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            out = [(int(bucket[a]), pack(doc[a:b], start[a:b], n[a:b]), pack(data[ends[a] : ends[b]])) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
             if later:
                 spans: list = []
                 d, s = np.array(later, np.int64).T
@@ -260,24 +276,28 @@ def _cut_pieces(length: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.binary()), pa.array(z, pa.binary())], ["bucket", "data", "bytes"])
 
         for batch in it:
-            ids, texts, needs = (batch.column(c).to_pylist() for c in ("doc_id", "text", "needs"))
-            for doc, text, need in zip(ids, texts, needs):
-                raw = (text or "").encode("utf-8", "surrogatepass") if isinstance(text, str) or text is None else text
-                for x in need:
-                    a, b = x["start"], x["end"]
-                    if x["kind"] == NEEDED:
-                        pieces.append((x["gram"] % buckets, doc, a, raw[a:b]))
-                        size += b - a
-                        continue
-                    part = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8, b - a, a), length)
+            ids, needs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("needs")
+            for at, x, off in batches(batch.column("text"), PART):
+                mine = needs.slice(at, len(off) - 1)
+                owner = np.repeat(np.arange(len(mine)), mine.value_lengths().to_numpy(zero_copy_only=False))
+                start, end, gram, kind = (mine.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "gram", "kind"))
+                doc = ids[at + owner]
+                cold = kind == NEEDED
+                n = (end - start)[cold]
+                pieces.append((gram[cold] % buckets, doc[cold], start[cold], n, x[ranges(off[owner[cold]] + start[cold], n)]))
+                size += int(n.sum())
+                for i in np.flatnonzero(~cold).tolist():
+                    a, b, base, own = int(start[i]), int(end[i]), int(off[owner[i]]), int(doc[i])
+                    raw = x[base + a : base + b].tobytes()
+                    part = np.lib.stride_tricks.sliding_window_view(x[base + a : base + b], length)
                     keys = (mix64((_BYTE[part] * _power(length)[0]).sum(1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64).tolist()
-                    for p, key in zip(range(a, b - length + 1), keys):
-                        body, own = raw[p : p + length], (doc, p, key)
-                        least = min(first.setdefault(body, own), own)
-                        if least is own and first[body] is own:
+                    for p, key in enumerate(keys):
+                        body, place = raw[p : p + length], (own, a + p, key)
+                        least = min(first.setdefault(body, place), place)
+                        if least is place and first[body] is place:
                             size += length
                         else:
-                            later.append(max(first[body], own)[:2])
+                            later.append(max(first[body], place)[:2])
                             first[body] = least
                             size += 16
                 if size >= 32 << 20:
@@ -292,10 +312,10 @@ def _cut_pieces(length: int, buckets: int):
 
 def repeated_spans(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int):
     """Merged spans (doc, start, end) of the strings in the pieces that occur at a smaller (doc, start) in another piece."""
-    sa = two_stage(data, length)
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(data)) + length <= ends[owner]
+    sa = two_stage(data, length, inside)
     sa = sa[inside[sa]]
     zero = np.zeros(0, np.int64)
     if len(sa) < 2:
@@ -331,8 +351,8 @@ def _sort_bucket(length: int):
 def covered_spans(docs: DataFrame, length: int = 100, hot: tuple[int, int] = HOT) -> DataFrame:
     """doc_id, spans: for each document with repeats, array of (start, end) bytes, unmerged across origins."""
     spark = docs.sparkSession
-    buckets = n_buckets(spark)
     texts = docs.select("doc_id", "text")
+    buckets = max(n_buckets(spark), sized_buckets(texts, PER_BUCKET))
     blobs = texts.mapInArrow(_find_pieces(length, buckets, hot[0]), _BLOBS)
     found = materialize(blobs.groupBy("bucket").applyInArrow(trimmed(lambda t: _judge_bucket(t, hot[1])), _FOUND))
     needs = found.where(F.col("kind") != COVERED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "gram", "kind")).alias("needs"))
@@ -360,22 +380,21 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: tuple[int, int] = HOT)
 
     def run(it):
         for batch in it:
-            texts, spans = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
-            n, out, kept = [], [], []
-            for raw, found in zip(texts, spans):
-                raw = raw or b""
-                n.append(len(raw))
-                if not found:
-                    out.append([]), kept.append(raw)
-                    continue
-                s, e = np.array([x["start"] for x in found]), np.array([x["end"] for x in found])
-                _, s, e = merge_spans(np.zeros(len(s), np.int64), s, e)
-                out.append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())])
-                edges = [0, *np.stack([s, e], 1).reshape(-1).tolist(), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            cols = [batch.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "spans", "kept"])
+            spans = batch.column("spans").fill_null([])
+            for at, x, off in batches(batch.column("text"), PART):
+                mine = spans.slice(at, len(off) - 1)
+                owner = np.repeat(np.arange(len(mine)), mine.value_lengths().to_numpy(zero_copy_only=False))
+                owner, s, e = merge_spans(owner, *(mine.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")))
+                edge = np.zeros(len(x) + 1, np.int8)  # runs of a text never touch, but the last of one text may touch the first of the next
+                np.add.at(edge, off[owner] + s, 1)
+                np.add.at(edge, off[owner] + e, -1)
+                kept = x[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+                left = np.diff(off) - np.bincount(owner, e - s, len(mine)).astype(np.int64)
+                count = lambda n: pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+                runs = pa.ListArray.from_arrays(count(np.bincount(owner, minlength=len(mine))), pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["start", "end"]))
+                rest = pa.Array.from_buffers(pa.binary(), len(mine), [None, count(left).buffers()[1], pa.py_buffer(kept)])
+                cols = [batch.column(c).slice(at, len(mine)) for c in names] + [pa.array(np.diff(off), pa.int64()), runs, rest]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "spans", "kept"])
         release()
 
     return joined.select(*names, "spans").mapInArrow(run, schema)

@@ -29,6 +29,26 @@ def test_suffix_array_sorts_directly_what_is_smaller_than_its_successor():
     assert suffix_array.two_stage(t, 100).tolist() == sorted(range(11), key=lambda i: t[i:].tobytes())
 
 
+def test_stage_one_sorts_only_what_the_wanted_suffixes_come_from(monkeypatch):
+    r = np.random.default_rng(3)
+    t = np.tile(r.integers(0, 4, 700, np.uint8), 3)
+    wanted, sorted_, sort = r.random(len(t)) < 0.1, [], suffix_array._sort_directly
+    monkeypatch.setattr(suffix_array, "_sort_directly", lambda pos, *a: sorted_.append(len(pos)) or sort(pos, *a))
+    whole = suffix_array.two_stage(t, 100)
+    sa = suffix_array.two_stage(t, 100, wanted)
+    heads = [t[i : i + 100].tobytes() for i in sa]
+    assert heads == sorted(heads) and len(set(sa.tolist())) == len(sa) and set(np.flatnonzero(wanted)) <= set(sa.tolist())
+    assert len(whole) == len(t) and sorted_[1] < 0.5 * sorted_[0]
+
+
+def test_a_boilerplate_line_in_a_thousand_surroundings_stays_in_pieces():
+    """A hundred bytes for each string cost 27 times a piece's bytes: that is for K-grams that a bucket can't hold."""
+    n = np.arange(1000)
+    part = (np.full(1000, 7, np.uint64), n.astype(np.uint64), n, np.full(1000, 5), np.full(1000, 141))
+    kinds = {kind for _, kind, _ in suffix_dedup._local([part], 8, suffix_dedup.HOT[0])}
+    assert kinds == {suffix_dedup.PIECES}
+
+
 def test_adjacent_prefixes():
     t = np.frombuffer(b"abcdefghijk-abcdefghijz", np.uint8)
     sa = suffix_array.two_stage(t, 10)
