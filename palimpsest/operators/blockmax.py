@@ -17,6 +17,7 @@ high, but are never found, and counts leave them out. So a turn writes as much a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.functions.words import invert, whole_scores
+from palimpsest.functions.words import RangeScores, invert
 from palimpsest.operators import bm25
 from palimpsest.sources.scratch import delete, exists, scratch_path
 
 RANGE = 1024  # documents of a range, about
+WIDER = 4  # times so many where there would be more than RANGES ranges: a term then is fewer blocks
+RANGES = 256
 FIRST = 8  # one of so many ranges goes first, where there are so many
 TIES = 1e-5  # share of a floor down to which documents are kept: equal scores differ in their last digits
 QUERIES = 2048  # queries that get the scores of a range together
 LONG = 64  # terms of a query from which a range adds up all its blocks at once: skipping them costs more
+MANY = 256  # queries from which a range adds up the blocks of all of them, also of short ones
+CHUNK = 64  # queries whose scores a range holds at once
 TERMS = 2_000_000  # terms of queries that go to the ranges together; more queries go in several turns
 _BLOCKS = "range long, term string, places array<int>, tf array<int>"
 TURNS = 64  # turns of growth after which the index is written anew, as small turns leave small ranges
@@ -104,7 +109,8 @@ def _write_turn(d: DataFrame, path: str, size: int, turn: int, start: int, index
     """
     spark = d.sparkSession
     at = lambda name: f"{path}/{name}/turn={turn}"
-    ranges = max(1, -(-d.count() // size))
+    n = d.count()
+    ranges = max(1, -(-n // min(WIDER * size, max(size, n // RANGES))))
     placed = d.select((F.pmod(F.xxhash64("key"), F.lit(ranges)) + F.lit(start)).alias("range"), "key", "text", bm25.stamp_of("text"))
     kind = d.schema["key"].dataType
     packed = placed.groupBy("range").applyInArrow(_packed(to_arrow_type(kind)), f"{_BLOCKS}, keys array<{kind.simpleString()}>, stamps array<long>, lengths array<long>")
@@ -187,18 +193,27 @@ class Asked:
     words: pa.Array
     idf: np.ndarray
 
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_numpy(zero_copy_only=False).tolist())}  # once for all ranges of a task
+
     def places(self, words: pa.ChunkedArray) -> np.ndarray:
         """Which of `words` each word is, -1 where it isn't there."""
-        out = np.full(len(self.words), -1)
-        found = pc.index_in(words.combine_chunks(), value_set=self.words)
-        out[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        out, get = np.full(len(self.words), -1), self.number.get
+        found = np.array([get(w, -1) for w in words.to_numpy().tolist()], np.int64)
+        here = np.flatnonzero(found >= 0)
+        out[found[here]] = here
         return out
 
-    def blocks(self, i: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(blocks, idf) of the terms of query i that are there."""
-        mine = self.terms[self.at[i] : self.at[i + 1]]
-        own = places[mine]
-        return own[own >= 0], self.idf[mine[own >= 0]]
+    def only(self, chosen: np.ndarray) -> Asked:
+        """These of the queries."""
+        size = np.diff(self.at)[chosen]
+        take = np.repeat(self.at[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return Asked([self.names[i] for i in chosen.tolist()], np.r_[0, np.cumsum(size)], self.terms[take], self.words, self.idf)
+
+    def scores(self, words: pa.ChunkedArray, at: np.ndarray, places: np.ndarray, gains: np.ndarray, n: int) -> RangeScores:
+        """Of all queries over the blocks of a range, block i being of words[i]."""
+        return RangeScores(at, places, gains, n, (self.at, self.places(words)[self.terms], self.idf[self.terms]))
 
 
 def asked(weighted: DataFrame) -> Asked:
@@ -237,41 +252,54 @@ def opened(blocks: pa.Table, length: np.ndarray, avgdl: float) -> tuple[dict[str
     listed = blocks.column("places").combine_chunks()
     p, tf = listed.flatten().to_numpy(), blocks.column("tf").combine_chunks().flatten().to_numpy()
     gains = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length[p] / avgdl))
-    return {t: i for i, t in enumerate(blocks.column("term").to_pylist())}, np.r_[0, np.cumsum(listed.value_lengths().to_numpy())], p, gains
+    return {t: i for i, t in enumerate(blocks.column("term").to_numpy().tolist())}, np.r_[0, np.cumsum(listed.value_lengths().to_numpy())], p, gains
 
 
 _HITS = "query string, range long, place int, score double, opened int, blocks int"
 
 
+def _best_of_rows(score: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best of each row, and of those that tie with the last, none below the floor of its row."""
+    passed = (score > 0) & (score >= floors[:, None])
+    over = np.flatnonzero(passed.sum(1) > k)
+    if len(over):
+        last = np.partition(np.where(passed[over], score[over], 0.0), -k, axis=1)[:, -k]
+        passed[over] &= score[over] >= last[:, None] * (1 - TIES)
+    return np.nonzero(passed)
+
+
 def _answer(queries: Asked, floors: dict[str, float], k: int, avgdl: float):
     sizes = np.diff(queries.at)
-    short = {i: [(queries.words[int(t)].as_py(), float(queries.idf[t])) for t in queries.terms[queries.at[i] : queries.at[i + 1]]] for i in np.flatnonzero(sizes <= LONG)}
+    alone = np.flatnonzero(sizes <= LONG) if len(sizes) < MANY else np.zeros(0, np.int64)
+    short = {i: [(queries.words[int(t)].as_py(), float(queries.idf[t])) for t in queries.terms[queries.at[i] : queries.at[i + 1]]] for i in alone.tolist()}
+    together = np.setdiff1d(np.arange(len(sizes)), alone)
+    rest, least = queries.only(together), np.array([floors.get(q, 0.0) for q in queries.names])
+    names, kinds = pa.array(queries.names, pa.string()), [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
 
     def run(blocks: pa.Table, members: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found: list[tuple] = []  # columns (query, place, score, opened)
         if blocks.num_rows and members.num_rows:
             o = members.column("place").to_numpy().argsort()
             length, wanted = members.column("dl").to_numpy()[o], members.column("wanted").to_numpy()[o]
             number, at, p, gains = opened(blocks, length, avgdl)
-            most = np.maximum.reduceat(gains, at[:-1])
-            own = {t: (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i])) for t, i in number.items()}
-            here, local = blocks.column("range")[0].as_py(), queries.places(blocks.column("term"))
-            for i, query in enumerate(queries.names):
-                floor = floors.get(query, 0.0)
-                if i in short:
-                    found, score, n = best_of_range(own, wanted, short[i], floor, k)
-                else:
-                    mine, idf = queries.blocks(i, local)
-                    score, n = whole_scores(at, p, gains, len(wanted), mine, idf), len(mine)
-                    found = np.flatnonzero(wanted & (score > 0) & (score >= floor))
-                    if len(found) > k:
-                        found = found[score[found] >= np.partition(score[found], -k)[-k] * (1 - TIES)]
-                    score = score[found]
-                out += [(query, here, int(x), float(s), n, int(sizes[i])) for x, s in zip(found, score)]
-        names = [x.split(" ")[0] for x in _HITS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-        cols = list(zip(*out)) if out else [[]] * len(names)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
+            if short:
+                most = np.maximum.reduceat(gains, at[:-1])
+                own = {t: (p[at[i] : at[i + 1]], gains[at[i] : at[i + 1]], float(most[i])) for t, i in number.items()}
+                for i, terms in short.items():
+                    x, score, n = best_of_range(own, wanted, terms, least[i], k)
+                    found.append((np.full(len(x), i), x, score, np.full(len(x), n)))
+            if len(together):
+                scores = rest.scores(blocks.column("term"), at, p, gains, len(wanted))
+                for first in range(0, len(together), CHUNK):
+                    mine = together[first : first + CHUNK]
+                    score, n = scores.of(first, first + len(mine))
+                    score *= wanted
+                    q, x = _best_of_rows(score, least[mine], k)
+                    found.append((mine[q], x, score[q, x], n[q]))
+        q, x, score, n = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+        here = np.full(len(q), blocks.column("range")[0].as_py() if len(q) else 0)
+        cols = [names.take(pa.array(q)), here, x, score, n, sizes[q]]
+        return pa.table({h.split(" ")[0]: c if isinstance(c, pa.Array) else pa.array(c).cast(t) for h, c, t in zip(_HITS.split(", "), cols, kinds)})
 
     return run
 
@@ -300,7 +328,7 @@ def hits(index: BlockIndex, terms: DataFrame, k: int, scope: DataFrame | None =
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
         queries = asked(mine)  # the texts of queries, TERMS of their words at a time
-        said = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        said = index.blocks.join(F.broadcast(mine.select("term").distinct()), "term", "left_semi")  # TERMS words at most, and blocks stay where they are
 
         def ask(which: Column, floors: dict[str, float]) -> DataFrame:
             own = members.where(which).select("range", "place", "dl", "wanted")
@@ -325,12 +353,12 @@ def _all_scores(queries: Asked, avgdl: float, key: pa.DataType):
         if blocks.num_rows and members.num_rows:
             members = members.take(pc.sort_indices(members.column("place")))
             _, at, p, gains = opened(blocks, members.column("dl").to_numpy(), avgdl)
-            local = queries.places(blocks.column("term"))
+            scores = queries.scores(blocks.column("term"), at, p, gains, members.num_rows)
             live, keys = members.column("live").to_numpy(), members.column("key").combine_chunks().cast(key)
-            for i in range(len(names)):
-                score = whole_scores(at, p, gains, members.num_rows, *queries.blocks(i, local))
-                found = np.flatnonzero(live & (score > 0))
-                out.append(pa.table({"query": names.take(pa.array(np.full(len(found), i))), "key": keys.take(pa.array(found)), "score": pa.array(score[found])}))
+            for first in range(0, len(names), CHUNK):
+                score, _ = scores.of(first, min(first + CHUNK, len(names)))
+                q, x = np.nonzero((score > 0) & live)
+                out.append(pa.table({"query": names.take(pa.array(first + q)), "key": keys.take(pa.array(x)), "score": pa.array(score[q, x])}))
         return pa.concat_tables(out)
 
     return run
@@ -350,7 +378,7 @@ def scores(index: BlockIndex, terms: DataFrame) -> DataFrame:
     for turn in range(turns):
         mine = w.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn)
         queries = asked(mine)
-        said = index.blocks.join(mine.select("term").distinct(), "term", "left_semi")
+        said = index.blocks.join(F.broadcast(mine.select("term").distinct()), "term", "left_semi")  # TERMS words at most, and blocks stay where they are
         part = said.groupBy("range").cogroup(members.groupBy("range")).applyInArrow(_all_scores(queries, index.avgdl, to_arrow_type(kind)), f"query string, key {kind.simpleString()}, score double")
         out = part if out is None else out.unionByName(part)
     return out

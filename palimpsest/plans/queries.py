@@ -186,7 +186,7 @@ def multi_model_search(s, d):
 def _hybrid(s, d, k: int, alpha: float = 0.7):
     """Rows with each query's k best rounds. Queries of the vector set with the text of the document of the same id; a document is the round of its number."""
     q = C.vector_queries(s, d)
-    texts = q.join(C.documents(s, d).select(F.col("round_file").alias("query"), "text"), "query").select("query", "text")
+    texts = C.documents(s, d).select(F.col("round_file").alias("query"), "text").join(F.broadcast(q.select("query")), "query")  # their vectors go to the driver anyway
     rows = nearest.hybrid(_block_index(s, d), C.vectors(s, d), q, bm25.query_terms(texts, "query", "text"), k, alpha)
     return search.best_per_round(rows)
 

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import words
 from palimpsest.functions.text import bm25_tokens
 from palimpsest.functions.words import term_counts
 from palimpsest.operators import blockmax, bm25, chain, golden, nearest, search, toolsearch
@@ -30,6 +33,45 @@ def test_words_are_those_of_the_expression(spark):
         assert {w: want.count(w) for w in want} == got
 
 
+def test_texts_of_a_range_are_inverted_together():
+    texts = ["", None, " ", "Cats and dogs/running-fast v1.2:3 ...", "İstanbul K-boxes ΣΑΣ flies", "a./b classes ed ing bedding\u0000x", "-:/. _a_ __", "a\x1fb\x0bc\x85d ties tie sing using ings es s as ass ies", "cats"]
+    for some in (texts, texts[:1], []):
+        number, at, places, tf, lengths = words.invert(some)
+        got = [{t: int(n) for t, i in number.items() for p, n in zip(places[at[i] : at[i + 1]], tf[at[i] : at[i + 1]]) if p == x} for x in range(len(some))]
+        assert got == [words.term_counts(t) for t in some] and lengths.tolist() == [sum(words.term_counts(t).values()) for t in some]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 2.0])
+def test_common_and_rare_terms_of_many_queries_add_up_as_one_by_one(monkeypatch, share):
+    monkeypatch.setattr(words, "SHARE", share)
+    r = np.random.default_rng(1)
+    has = r.random((30, 50)) < r.random((30, 1))
+    at, places, gains = np.r_[0, np.cumsum(has.sum(1))], np.nonzero(has)[1], r.random(has.sum())
+    asked = [r.permutation(40)[: r.integers(0, 40)] - 10 for _ in range(20)]  # blocks below 0 are elsewhere
+    asked = [np.where(a < 0, -1, a) for a in asked]
+    weights = r.random(30)
+    begin, block = np.r_[0, np.cumsum([len(a) for a in asked])], np.concatenate(asked)
+    s = words.RangeScores(at, places, gains, 50, (begin, block, np.where(block < 0, 9.0, weights[block])))
+    got, n = s.of(3, 17)
+    want = [words.whole_scores(at, places, gains, 50, a[a >= 0], weights[a[a >= 0]]) for a in asked[3:17]]
+    assert np.allclose(got, want, rtol=1e-12) and n.tolist() == [(a >= 0).sum() for a in asked[3:17]]
+
+
+def test_a_task_of_hybrid_search_sends_less_from_its_later_ranges():
+    """Rounds of several ranges, the best first: what can't be among the k best of those seen stays where it is."""
+    run = nearest._fused([("q", None, [1.0])], blockmax.Asked([], np.zeros(1, int), np.zeros(0, int), pa.array([], pa.string()), np.zeros(0)), {}, 1.0, 0.5, 2)
+    none = pa.table({"range": pa.array([], pa.int64()), "term": pa.array([], pa.string()), "places": pa.array([], pa.list_(pa.int32())), "tf": pa.array([], pa.list_(pa.int32()))})
+    rows = lambda i: pa.table({"range": [i] * 9, "place": [-1] * 9, "dl": [0] * 9, "round_file": [f"r{i}{j}" for j in range(9)], "model": pa.array([None] * 9, pa.string()), "vector": [[1.0 / (1 + i + j)] for j in range(9)]})
+    assert [run(none, rows(i)).num_rows for i in (0, 1, 5)] == [2, 1, 0]
+
+
+def test_ranges_are_wider_where_there_are_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blockmax, "RANGES", 4)
+    for n, ranges in ((30, 4), (300, 10)):
+        blockmax.write(spark.range(n).selectExpr("string(id) k", "'a b' t"), "k", "t", f"file://{tmp_path}/{n}", size=8)
+        assert blockmax.read(spark, f"file://{tmp_path}/{n}").ranges == ranges
+
+
 @pytest.mark.parametrize("k", [1, 7, 400])
 def test_nearest_equals_all_pairs_and_sends_few(spark, monkeypatch, k):
     monkeypatch.setattr(nearest, "ROWS", 97)
