@@ -217,8 +217,11 @@ def context_budget(s, d):
 @query
 def context_select(s, d):
     """The relevance list of each query: entries rendered with their rank, charged to a budget from the best score."""
-    ranked = search.top(_hybrid(s, d, 20).withColumn("score", r6("score")), 20)
-    texts = C.documents(s, d).select("round_file", "text")
+    path = scratch_path(s, "ranked")
+    search.top(_hybrid(s, d, 20).withColumn("score", r6("score")), 20).write.parquet(path)
+    ranked = s.read.parquet(path)
+    listed = F.broadcast(ranked.select("round_file").distinct())  # 20 names a query at most, whose vectors go to the driver anyway
+    texts = C.documents(s, d).select("round_file", "text").join(listed, "round_file", "left_semi")
     x = ranked.join(texts, "round_file", "left").withColumn("text", F.coalesce("text", F.lit("")))
     best = x.groupBy("query").agg(F.max("score").alias("best")).select("query", (search.context_budget(F.col("best"), window=30_000) / 4).alias("budget"))
     entry = X.relevance_entry(F.col("rank"), F.col("round_file"), F.lit(0.5), F.lit("0 tools"), "text")

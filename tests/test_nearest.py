@@ -11,6 +11,8 @@ from palimpsest.functions import words
 from palimpsest.functions.text import bm25_tokens
 from palimpsest.functions.words import term_counts
 from palimpsest.operators import blockmax, bm25, chain, golden, nearest, search, toolsearch
+from palimpsest.plans.queries import QUERIES
+from tests.conftest import DATA
 
 VECTORS = "round_file string, suffix string, model string, vector array<double>"
 
@@ -161,3 +163,8 @@ def test_a_written_index_reads_as_its_postings(spark, tmp_path):
     x = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
     assert x(index, "k", "term", "tf") == x(bm25.postings(d, "k", "t"), "k", "term", "tf")
     assert x(lengths, "k", "dl") == x(bm25.doc_lengths(d, "k", "t"), "k", "dl")
+
+
+def test_texts_of_the_relevance_list_are_looked_up_where_they_lie(spark):
+    plan = QUERIES["context_select"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
